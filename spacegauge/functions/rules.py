@@ -29,6 +29,13 @@ class Rule(NamedTuple):
     def count(self, text: Column) -> Column:
         return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(self.regex))
 
+    # The same as SQL text: a projection of many rules is parsed in one call that way.
+    def hit_sql(self, text: str) -> str:
+        return f"(coalesce({text}, '') rlike r\"{self.regex}\")"
+
+    def count_sql(self, text: str) -> str:
+        return f"regexp_count(coalesce({text}, ''), r\"{self.regex}\")"
+
     def find_all(self, text: Column, group: int = 0) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.regex), F.lit(group))
 

@@ -35,11 +35,18 @@ def has_three_parts(table_id: Column) -> Column:
     return F.size(F.split(table_id, r"\.")) == 3
 
 
+LINE_END = r"(?:\R|[\x1c-\x1e])"
+
+
 def line_count(text: Column) -> Column:
     """Lines as a text editor counts them: none in an empty text, one trailing line end ignored."""
-    line_end = r"(?:\R|[\x1c-\x1e])"
-    body = F.regexp_replace(text, line_end + r"\z", "")
-    return F.when(text == "", 0).otherwise(F.size(F.split(body, line_end)))
+    body = F.regexp_replace(text, LINE_END + r"\z", "")
+    return F.when(text == "", 0).otherwise(F.size(F.split(body, LINE_END)))
+
+
+def line_count_sql(text: str) -> str:
+    """The same as SQL text."""
+    return f"if({text} = '', 0, size(split(regexp_replace({text}, r'{LINE_END}\\z', ''), r'{LINE_END}')))"
 
 
 def first_present(*cols: Column) -> Column:

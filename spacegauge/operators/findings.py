@@ -1,7 +1,8 @@
 """Findings: for each rule, when it applies to a space and what it says.
 
-Rules read one wide row per space (see ``plans.facts``). ``shown`` maps a rule to the first names it
-concerns; the whole list of names is the items table.
+Rules read one wide row per space (see ``plans.facts``) and are stated as SQL text: a condition, and a
+message put together from wording and columns. ``shown`` maps a rule to the first names it concerns;
+the whole list of names is the items table.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 
 from spacegauge.functions import rules as R
 from spacegauge.functions import text as X
-from spacegauge.operators.lists import listing
 
 # Patterns of example SQL, with the wording used where one is missing.
 MISSING_PATTERNS = {
@@ -26,277 +26,281 @@ MISSING_PATTERNS = {
 }
 
 
-class Finding(NamedTuple):
-    rule_id: str
-    area: int
-    applies: Column
-    message: Column
+class Sql(str):
+    """SQL text, told apart from plain wording."""
+
+
+def quote(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def say(*parts: str) -> Sql:
+    """A message: wording is quoted, :class:`Sql` is evaluated."""
+    if len(parts) == 1:
+        return parts[0] if isinstance(parts[0], Sql) else Sql(quote(parts[0]))
+    return Sql("concat(" + ", ".join(p if isinstance(p, Sql) else quote(p) for p in parts) + ")")
 
 
-def names(rule_id: str) -> Column:
-    return F.coalesce(F.try_element_at("shown", F.lit(rule_id)), F.expr(X.NO_ARRAY))
+def col(name: str) -> Sql:
+    return Sql(f"cast({name} as string)")
 
 
-def _say(*parts) -> Column:
-    cols = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]
-    return F.concat(*cols)
+def present(options: Sequence[tuple[str, str]]) -> Sql:
+    """Array of the texts whose condition holds."""
+    cases = ", ".join(f"case when {cond} then {say(text)} end" for cond, text in options)
+    return Sql(f"filter(array({cases}), x -> x is not null)")
 
 
-def _list(rule_id: str, total: str, k: int | None = None, sep: str = ", ", quote: bool = True) -> Column:
-    return listing(names(rule_id), F.col(total), k, sep, quote)
+def joined(array: str, sep: str) -> Sql:
+    return Sql(f"array_join({array}, {quote(sep)})")
 
 
-def _first(rule_id: str, k: int | None, sep: str = ", ", quote: bool = True) -> Column:
+def _names(rule_id: str, k: int | None, ticks: bool) -> str:
+    names = f"coalesce(try_element_at(shown, {quote(rule_id)}), {X.NO_ARRAY})"
+    if k is not None:
+        names = f"slice({names}, 1, {k})"
+    return f"transform({names}, n -> concat('`', n, '`'))" if ticks else names
+
+
+def first(rule_id: str, k: int | None = None, sep: str = ", ", ticks: bool = True) -> Sql:
     """The first names, without saying how many follow."""
-    shown = names(rule_id) if k is None else F.slice(names(rule_id), 1, k)
-    return listing(shown, F.size(shown), None, sep, quote)
+    return joined(_names(rule_id, k, ticks), sep)
 
 
-def missing_patterns_expr() -> Column:
-    wanted = {name: ~F.col(name) for name in MISSING_PATTERNS}
-    wanted["has_join"] = wanted["has_join"] & (F.col("table_count") > 1)
-    return X.kept(*[F.when(cond, F.lit(MISSING_PATTERNS[name])) for name, cond in wanted.items()])
+def listed(rule_id: str, total: str, k: int | None = None, sep: str = ", ", ticks: bool = True) -> Sql:
+    """The first names as ``a, b, c (+N more)``."""
+    more = f"({total} - size({_names(rule_id, k, False)}))"
+    return Sql(
+        f"concat({first(rule_id, k, sep, ticks)}, case when {more} > 0 then concat(' (+', {more}, ' more)') else '' end)"
+    )
 
 
-def missing_sections_expr() -> Column:
-    return F.array_except(F.array(*[F.lit(s) for s in R.SECTIONS]), F.col("sections"))
+PATTERNS_MISSING = present(
+    [
+        (f"not {c} and table_count > 1" if c == "has_join" else f"not {c}", text)
+        for c, text in MISSING_PATTERNS.items()
+    ]
+)
+SECTIONS_MISSING = Sql(f"array_except(array({', '.join(quote(s) for s in R.SECTIONS)}), sections)")
+# What sample questions ask for and no example SQL shows, in spaces with three samples at least.
+GAPS = present(
+    [
+        ("samples >= 3 and asks_time and not has_date", "time trends, but no example SQL filters by time"),
+        (
+            "samples >= 3 and asks_join and not has_join and table_count > 1",
+            "several tables at once, but no example SQL joins tables",
+        ),
+        ("samples >= 3 and asks_topn and not has_topn", "rankings, but no example SQL orders and limits"),
+        ("samples >= 3 and asks_compare and not has_compare", "comparisons, but no example SQL compares periods"),
+    ]
+)
+DEFECTS = present(
+    [
+        ("coalesce(is_dump, false)", "reads like a data dictionary"),
+        ("n_inline > 0", "holds inline SQL"),
+        ("n_emphatic > 0", "holds emphatic overrides"),
+        (f"lines > {R.MAX_TEXT_LINES}", say("too long: ", col("lines"), " lines")),
+    ]
+)
+
+
+def missing_patterns_expr() -> Column:
+    return F.expr(PATTERNS_MISSING)
 
 
 def alignment_gaps_expr() -> Column:
-    """What sample questions ask for and no example SQL shows; asked of spaces with three samples at least."""
-    enough = F.col("samples") >= 3
-    several = F.col("table_count") > 1
-    gaps = (
-        ("asks_time", "has_date", enough, "time trends, but no example SQL filters by time"),
-        ("asks_join", "has_join", enough & several, "several tables at once, but no example SQL joins tables"),
-        ("asks_topn", "has_topn", enough, "rankings, but no example SQL orders and limits"),
-        ("asks_compare", "has_compare", enough, "comparisons, but no example SQL compares periods"),
-    )
-    return X.kept(*[F.when(cond & F.col(asks) & ~F.col(has), F.lit(text)) for asks, has, cond, text in gaps])
+    return F.expr(GAPS)
 
 
 def text_defects_expr() -> Column:
-    return X.kept(
-        F.when(F.coalesce("is_dump", F.lit(False)), "reads like a data dictionary"),
-        F.when(F.col("n_inline") > 0, "holds inline SQL"),
-        F.when(F.col("n_emphatic") > 0, "holds emphatic overrides"),
-        F.when(F.col("lines") > R.MAX_TEXT_LINES, _say("too long: ", F.col("lines"), " lines")),
-    )
+    return F.expr(DEFECTS)
 
 
-def _readiness() -> list[Finding]:
-    tables, joins, keyed = F.col("table_count"), F.col("join_count"), F.col("keyed")
-    held, extra = F.col("mv_count") > 0, F.size(names("metric_views_extra")) > 0
-    rules = [
-        ("no_joins", (tables > 1) & (joins == 0),
-         _say("No joins configured for ", tables, " tables; define joins so that questions over several tables work")),
-        ("no_keys", (keyed == 0) & (tables > 1),
-         _say("No table has a primary or foreign key; add keys so that join paths can be inferred")),
-        ("missing_keys", (keyed > 0) & (keyed < tables),
-         _say("No primary or foreign key on: ", _list("missing_keys", "n_missing_keys", 5, quote=False), "; add keys so that join paths can be resolved")),
-        ("unowned", F.col("unowned_count") > 0,
-         _say("Tables without an owner: ", _list("unowned", "unowned_count", 5, quote=False), "; assign owners")),
-        ("not_serverless", ~F.coalesce("is_serverless", F.lit(True)),
-         _say("The SQL warehouse is not serverless; a serverless one starts faster and scales by itself")),
-        ("not_shared", F.col("not_shared"),
-         _say("No user or group holds CAN_USE on the space; share it before people are asked to use it")),
-        ("warehouse_locked", F.col("warehouse_locked"),
-         _say("Only admins may use the SQL warehouse; grant CAN_USE or people's queries will fail")),
-        ("ungranted", F.col("ungranted_count") > 0,
-         _say("Tables that only their owner may read (", F.col("ungranted_count"), "): ", _list("ungranted", "ungranted_count", 5), "; grant SELECT to those who need it")),
-        ("grants_unknown", F.col("unknown_grant_count") > 0,
-         _say("Grants could not be read on ", F.col("unknown_grant_count"), " table(s): ", _list("grants_unknown", "unknown_grant_count", 3, quote=False), "; check them with an administrator")),
-        ("no_tags", (F.col("base_tagged_count") == 0) & (F.col("base_count") > 0),
-         _say("No table carries a tag; tag domain, classification and sensitivity")),
-        ("metric_views_in_space", held,
-         _say("OK: metric views in the space: ", _list("metric_views_in_space", "mv_count"), "; measures and dimensions are defined in the catalog")),
-        ("metric_views_extra", held & extra,
-         _say("Further metric views in the catalog, not in the space: ", _first("metric_views_extra", 3), "; add those that cover its metrics")),
-        ("metric_views_only_in_catalog", ~held & extra,
-         _say("Metric views in the catalog but none in the space: ", _first("metric_views_extra", 5), "; add them rather than maintain expressions by hand")),
-    ]
-    return [Finding(r, 0, a, m) for r, a, m in rules]
-
-
-def _curation() -> list[Finding]:
-    size = F.length(X.strip(F.col("description")))
-    missing = F.coalesce("desc_missing", F.expr(X.NO_ARRAY))
-    base, mvs = F.col("base_count"), F.col("mv_count")
-    rules = [
-        ("schema_spread", F.col("n_schemas") > 1,
-         _say("Tables come from ", F.col("n_schemas"), " schemas; consider one space per domain")),
-        ("too_many_tables", base > 9,
-         _say(base, " base tables are too many; answers get worse beyond 9", F.when(mvs > 0, _say(" (", mvs, " metric view(s) not counted)")).otherwise(""))),
-        ("non_gold", F.col("n_non_gold") > 0,
-         _say("Tables below the gold layer: ", _list("non_gold", "n_non_gold", quote=False), "; replace them with gold or semantic ones")),
-        ("unclear_layer", F.col("n_unclear") > 0,
-         _say("Layer unclear for: ", _list("unclear_layer", "n_unclear", 5), "; tag the layer, such as layer = gold")),
-        ("wide", F.col("n_wide") > 0,
-         _say("Tables with more than 50 columns: ", _list("wide", "n_wide", quote=False), "; hide columns or offer a narrower view")),
-        ("no_description", size == 0,
-         _say("The space has no description; state purpose, key metrics, dimensions, grain and users")),
-        ("short_description", (size > 0) & (size < R.SHORT_DESCRIPTION_CHARS),
-         _say("The description is short (", size, " characters); add key metrics, dimensions, grain and users")),
-        ("incomplete_description", (size >= R.SHORT_DESCRIPTION_CHARS) & (F.size(missing) >= 2),
-         _say("The description lacks: ", F.array_join(missing, ", "))),
-    ]
-    return [Finding(r, 1, a, m) for r, a, m in rules]
-
-
-def _metadata() -> list[Finding]:
-    def counted(text: str, rule: str, total: str, k: int | None, end: str) -> Column:
-        return _say(text, " (", F.col(total), "): ", _list(rule, total, k), end)
-
-    rules = [
-        ("undocumented", F.col("n_undocumented") > 0,
-         _say("Tables without any described column: ", _list("undocumented", "n_undocumented"))),
-        ("no_comment", F.col("n_no_comment") > 0,
-         _say("Tables without a comment: ", _list("no_comment", "n_no_comment"))),
-        ("thin_comment", F.col("n_thin") > 0,
-         _say("Tables with a comment under 50 characters: ", _list("thin_comment", "n_thin", quote=False), "; describe grain, scope, key metrics and links")),
-        ("generic", F.col("n_generic") > 0,
-         _say("Generic or technical column comments: ", _list("generic", "n_generic", 5))),
-        ("technical", F.col("n_technical") > 0,
-         counted("Technical column names without a comment", "technical", "n_technical", 4, "; comment them or give them a display name")),
-        ("coded", F.col("n_coded") > 0,
-         counted("Coded columns whose values are not explained", "coded", "n_coded", 4, "; list the values in the comment, such as A=Active, I=Inactive")),
-        ("date_string", F.col("n_date_string") > 0,
-         _say("Dates or times stored as text (", F.col("n_date_string"), "): ", _first("date_string", 3), "; use DATE or TIMESTAMP")),
-        ("restricted", F.col("n_restricted") > 0,
-         _say("Tables with row filters or column masks: ", _list("restricted", "n_restricted", 5), "; results may be incomplete for some users")),
-        ("unmapped", F.col("n_unmapped") > 0,
-         _say("Abbreviations in column names that no synonym or instruction explains (", F.col("n_unmapped"), "): ", _list("unmapped", "n_unmapped", quote=False), "; add a synonym or a business term for each")),
-    ]
-    return [Finding(r, 2, a, m) for r, a, m in rules]
-
-
-def _configuration() -> list[Finding]:
-    sql, texts, base, joins = F.col("sql"), F.col("text_count"), F.col("base_count"), F.col("join_count")
-    has_text, exprs = texts > 0, F.col("expr_count")
-    own_layer = F.col("mv_count") == 0
-    missing, gaps, sections = missing_patterns_expr(), alignment_gaps_expr(), missing_sections_expr()
-    rules = [
-        ("no_sql", sql == 0, _say("Example SQL: none; add 10 to 15 that cover all query patterns")),
-        ("few_sql", (sql > 0) & (sql < 10), _say("Example SQL: only ", sql, "; add up to 10 to 15")),
-        ("hardcoded_sql", F.col("n_hardcoded") > 0,
-         _say("Example SQL with hardcoded values: ", _first("hardcoded_sql", 3, "; ", False), "; use :param_name")),
-        ("no_parameterised_sql", (sql > 0) & ~F.col("has_param"),
-         _say("Example SQL: none has parameters (:param_name), so no answer can be marked as trusted")),
-        ("missing_patterns", (sql > 0) & (F.size(missing) > 0),
-         _say("Example SQL: no example of ", F.array_join(missing, ", "))),
-        ("unknown_tables", F.col("n_unknown") > 0,
-         _say("Example SQL reads tables that are not in the space (", F.col("n_unknown"), "): ", _list("unknown_tables", "n_unknown", 3, "; ", False))),
-        ("no_text", texts == 0,
-         _say("Text instructions: none; state role, critical rules, business terms and date handling in at most 100 lines")),
-        ("inline_sql", has_text & (F.col("n_inline") > 0),
-         _say("Text instructions: SQL in ", F.col("n_inline"), " block(s) (", _first("inline_sql", 2, "; ", False), "); move it to the example SQL")),
-        ("metric_prose", has_text & (F.col("metric_hits") > 0),
-         _say("Text instructions define metrics; move them to expressions or column comments")),
-        ("join_prose", has_text & (F.col("join_hits") > 0),
-         _say("Text instructions describe table relationships; move them to the joins")),
-        ("missing_sections", has_text & (F.size(sections) > 0),
-         _say("Text instructions lack sections: ", F.array_join(sections, ", "))),
-        ("long_text", has_text & (F.col("lines") > R.MAX_TEXT_LINES),
-         _say("Text instructions: ", F.col("lines"), " lines; keep to 100")),
-        ("vague_text", has_text & (F.col("lines") <= R.MAX_TEXT_LINES) & (F.col("vague_hits") >= 2) & ~F.col("has_directives"),
-         _say("Text instructions are vague; write directives such as: when asked X, do Y")),
-        ("few_joins", (base > 1) & (joins > 0) & (joins < base - 1),
-         _say("Joins: only ", joins, " for ", base, " base tables", F.when(~own_layer, _say(" (and ", F.col("mv_count"), " metric view(s) with their own joins)")).otherwise(""), "; check that every relationship is configured")),
-        ("no_expressions", own_layer & (exprs == 0),
-         _say("Expressions: no measure, dimension, filter or synonym; define key metrics and synonyms")),
-        ("no_measures", own_layer & (exprs > 0) & (F.col("n_measures") == 0),
-         _say("Expressions: no measure; define key metrics")),
-        ("no_synonyms", own_layer & (exprs > 0) & (F.col("n_synonyms") == 0),
-         _say("Expressions: no synonym; add abbreviations and other names")),
-        ("few_expressions", own_layer & (exprs > 0) & (exprs < 3),
-         _say("Expressions: only ", exprs, "; add more measures, dimensions, filters and synonyms")),
-        ("misaligned_questions", F.size(gaps) > 0,
-         _say("Sample questions ask for ", F.array_join(gaps, "; "), ". Match the example SQL to the questions")),
-    ]
-    return [Finding(r, 3, a, m) for r, a, m in rules]
-
-
-def _samples() -> list[Finding]:
-    n = F.col("samples")
-    rules = [
-        ("no_samples", n == 0, _say("No sample question: users start from a blank page")),
-        ("few_samples", (n > 0) & (n < 10), _say("Only ", n, " sample questions; offer 10 or more")),
-        ("sample_diversity", n > 0,
-         _say("Check by hand that the questions cover different metrics, dimensions, periods and kinds of user")),
-        ("uncovered", F.col("n_uncovered") > 0,
-         _say("Tables no sample question mentions (", F.col("n_uncovered"), "): ", _list("uncovered", "n_uncovered"), "; add a question for each")),
-    ]
-    return [Finding(r, 4, a, m) for r, a, m in rules]
-
-
-def _benchmarks() -> list[Finding]:
-    n = F.col("benchmarks")
-    rules = [
-        ("no_benchmarks", n == 0, _say("No benchmark; add at least 5 pairs of question and SQL")),
-        ("few_benchmarks", (n > 0) & (n < 5),
-         _say("Only ", n, F.when(n == 1, " benchmark").otherwise(" benchmarks"), "; add up to 15 or more, simple to complex")),
-        ("some_benchmarks", (n >= 5) & (n < 15),
-         _say("Only ", n, " benchmarks; 15 to 30 should cover every key metric and dimension")),
-        ("missing_gold", F.col("n_missing_gold") > 0,
-         _say(F.col("n_missing_gold"), " benchmark(s) without expected SQL")),
-        ("hardcoded_gold", F.col("n_hardcoded_gold") > 0,
-         _say("Benchmark SQL with hardcoded values: ", _first("hardcoded_gold", 2, "; ", False))),
-    ]
-    return [Finding(r, 5, a, m) for r, a, m in rules]
-
-
-_AREAS = (_readiness, _curation, _metadata, _configuration, _samples, _benchmarks)
-
-
-def registry(areas: Sequence[int] | None = None) -> list[Finding]:
-    wanted = range(len(_AREAS)) if areas is None else areas
-    return [f for area in wanted for f in _AREAS[area]()]
+class Finding(NamedTuple):
+    rule_id: str
+    area: int
+    applies: str
+    message: Sql
+
+
+OWN_LAYER = "mv_count = 0"
+LINES = R.MAX_TEXT_LINES
+SHORT = R.SHORT_DESCRIPTION_CHARS
+DESCRIPTION = "length(regexp_replace(coalesce(description, ''), r'(?U)^\\s+|\\s+\\z', ''))"
+
+# Area 0, readiness.
+_READINESS = [
+    ("no_joins", "table_count > 1 and join_count = 0",
+     say("No joins configured for ", col("table_count"), " tables; define joins so that questions over several tables work")),
+    ("no_keys", "keyed = 0 and table_count > 1",
+     say("No table has a primary or foreign key; add keys so that join paths can be inferred")),
+    ("missing_keys", "keyed > 0 and keyed < table_count",
+     say("No primary or foreign key on: ", listed("missing_keys", "n_missing_keys", 5, ticks=False), "; add keys so that join paths can be resolved")),
+    ("unowned", "unowned_count > 0",
+     say("Tables without an owner: ", listed("unowned", "unowned_count", 5, ticks=False), "; assign owners")),
+    ("not_serverless", "is_serverless = false",
+     say("The SQL warehouse is not serverless; a serverless one starts faster and scales by itself")),
+    ("not_shared", "not_shared",
+     say("No user or group holds CAN_USE on the space; share it before people are asked to use it")),
+    ("warehouse_locked", "warehouse_locked",
+     say("Only admins may use the SQL warehouse; grant CAN_USE or people's queries will fail")),
+    ("ungranted", "ungranted_count > 0",
+     say("Tables that only their owner may read (", col("ungranted_count"), "): ", listed("ungranted", "ungranted_count", 5), "; grant SELECT to those who need it")),
+    ("grants_unknown", "unknown_grant_count > 0",
+     say("Grants could not be read on ", col("unknown_grant_count"), " table(s): ", listed("grants_unknown", "unknown_grant_count", 3, ticks=False), "; check them with an administrator")),
+    ("no_tags", "base_tagged_count = 0 and base_count > 0",
+     say("No table carries a tag; tag domain, classification and sensitivity")),
+    ("metric_views_in_space", "mv_count > 0",
+     say("OK: metric views in the space: ", listed("metric_views_in_space", "mv_count"), "; measures and dimensions are defined in the catalog")),
+    ("metric_views_extra", "mv_count > 0 and has_extra_views",
+     say("Further metric views in the catalog, not in the space: ", first("metric_views_extra", 3), "; add those that cover its metrics")),
+    ("metric_views_only_in_catalog", "mv_count = 0 and has_extra_views",
+     say("Metric views in the catalog but none in the space: ", first("metric_views_extra", 5), "; add them rather than maintain expressions by hand")),
+]
+
+# Area 1, curation.
+_CURATION = [
+    ("schema_spread", "n_schemas > 1",
+     say("Tables come from ", col("n_schemas"), " schemas; consider one space per domain")),
+    ("too_many_tables", "base_count > 9",
+     say(col("base_count"), " base tables are too many; answers get worse beyond 9", Sql(f"case when mv_count > 0 then {say(' (', col('mv_count'), ' metric view(s) not counted)')} else '' end"))),
+    ("non_gold", "n_non_gold > 0",
+     say("Tables below the gold layer: ", listed("non_gold", "n_non_gold", ticks=False), "; replace them with gold or semantic ones")),
+    ("unclear_layer", "n_unclear > 0",
+     say("Layer unclear for: ", listed("unclear_layer", "n_unclear", 5), "; tag the layer, such as layer = gold")),
+    ("wide", "n_wide > 0",
+     say("Tables with more than 50 columns: ", listed("wide", "n_wide", ticks=False), "; hide columns or offer a narrower view")),
+    ("no_description", f"{DESCRIPTION} = 0",
+     say("The space has no description; state purpose, key metrics, dimensions, grain and users")),
+    ("short_description", f"{DESCRIPTION} between 1 and {SHORT - 1}",
+     say("The description is short (", col(DESCRIPTION), " characters); add key metrics, dimensions, grain and users")),
+    ("incomplete_description", f"{DESCRIPTION} >= {SHORT} and size(coalesce(desc_missing, {X.NO_ARRAY})) >= 2",
+     say("The description lacks: ", joined("desc_missing", ", "))),
+]
+
+# Area 2, metadata.
+_METADATA = [
+    ("undocumented", "n_undocumented > 0",
+     say("Tables without any described column: ", listed("undocumented", "n_undocumented"))),
+    ("no_comment", "n_no_comment > 0",
+     say("Tables without a comment: ", listed("no_comment", "n_no_comment"))),
+    ("thin_comment", "n_thin > 0",
+     say("Tables with a comment under 50 characters: ", listed("thin_comment", "n_thin", ticks=False), "; describe grain, scope, key metrics and links")),
+    ("generic", "n_generic > 0",
+     say("Generic or technical column comments: ", listed("generic", "n_generic", 5))),
+    ("technical", "n_technical > 0",
+     say("Technical column names without a comment (", col("n_technical"), "): ", listed("technical", "n_technical", 4), "; comment them or give them a display name")),
+    ("coded", "n_coded > 0",
+     say("Coded columns whose values are not explained (", col("n_coded"), "): ", listed("coded", "n_coded", 4), "; list the values in the comment, such as A=Active, I=Inactive")),
+    ("date_string", "n_date_string > 0",
+     say("Dates or times stored as text (", col("n_date_string"), "): ", first("date_string", 3), "; use DATE or TIMESTAMP")),
+    ("restricted", "n_restricted > 0",
+     say("Tables with row filters or column masks: ", listed("restricted", "n_restricted", 5), "; results may be incomplete for some users")),
+    ("unmapped", "n_unmapped > 0",
+     say("Abbreviations in column names that no synonym or instruction explains (", col("n_unmapped"), "): ", listed("unmapped", "n_unmapped", ticks=False), "; add a synonym or a business term for each")),
+]
+
+# Area 3, configuration.
+_CONFIGURATION = [
+    ("no_sql", "sql = 0", say("Example SQL: none; add 10 to 15 that cover all query patterns")),
+    ("few_sql", "sql between 1 and 9", say("Example SQL: only ", col("sql"), "; add up to 10 to 15")),
+    ("hardcoded_sql", "n_hardcoded > 0",
+     say("Example SQL with hardcoded values: ", first("hardcoded_sql", 3, "; ", False), "; use :param_name")),
+    ("no_parameterised_sql", "sql > 0 and not has_param",
+     say("Example SQL: none has parameters (:param_name), so no answer can be marked as trusted")),
+    ("missing_patterns", f"sql > 0 and size({PATTERNS_MISSING}) > 0",
+     say("Example SQL: no example of ", joined(PATTERNS_MISSING, ", "))),
+    ("unknown_tables", "n_unknown > 0",
+     say("Example SQL reads tables that are not in the space (", col("n_unknown"), "): ", listed("unknown_tables", "n_unknown", 3, "; ", False))),
+    ("no_text", "text_count = 0",
+     say("Text instructions: none; state role, critical rules, business terms and date handling in at most 100 lines")),
+    ("inline_sql", "n_inline > 0",
+     say("Text instructions: SQL in ", col("n_inline"), " block(s) (", first("inline_sql", 2, "; ", False), "); move it to the example SQL")),
+    ("metric_prose", "text_count > 0 and metric_hits > 0",
+     say("Text instructions define metrics; move them to expressions or column comments")),
+    ("join_prose", "text_count > 0 and join_hits > 0",
+     say("Text instructions describe table relationships; move them to the joins")),
+    ("missing_sections", f"text_count > 0 and size({SECTIONS_MISSING}) > 0",
+     say("Text instructions lack sections: ", joined(SECTIONS_MISSING, ", "))),
+    ("long_text", f"lines > {LINES}", say("Text instructions: ", col("lines"), " lines; keep to 100")),
+    ("vague_text", f"text_count > 0 and lines <= {LINES} and vague_hits >= 2 and not has_directives",
+     say("Text instructions are vague; write directives such as: when asked X, do Y")),
+    ("few_joins", "base_count > 1 and join_count > 0 and join_count < base_count - 1",
+     say("Joins: only ", col("join_count"), " for ", col("base_count"), " base tables", Sql(f"case when mv_count > 0 then {say(' (and ', col('mv_count'), ' metric view(s) with their own joins)')} else '' end"), "; check that every relationship is configured")),
+    ("no_expressions", f"{OWN_LAYER} and expr_count = 0",
+     say("Expressions: no measure, dimension, filter or synonym; define key metrics and synonyms")),
+    ("no_measures", f"{OWN_LAYER} and expr_count > 0 and n_measures = 0",
+     say("Expressions: no measure; define key metrics")),
+    ("no_synonyms", f"{OWN_LAYER} and expr_count > 0 and n_synonyms = 0",
+     say("Expressions: no synonym; add abbreviations and other names")),
+    ("few_expressions", f"{OWN_LAYER} and expr_count between 1 and 2",
+     say("Expressions: only ", col("expr_count"), "; add more measures, dimensions, filters and synonyms")),
+    ("misaligned_questions", f"size({GAPS}) > 0",
+     say("Sample questions ask for ", joined(GAPS, "; "), ". Match the example SQL to the questions")),
+]
+
+# Area 4, sample questions.
+_SAMPLES = [
+    ("no_samples", "samples = 0", say("No sample question: users start from a blank page")),
+    ("few_samples", "samples between 1 and 9", say("Only ", col("samples"), " sample questions; offer 10 or more")),
+    ("sample_diversity", "samples > 0",
+     say("Check by hand that the questions cover different metrics, dimensions, periods and kinds of user")),
+    ("uncovered", "n_uncovered > 0",
+     say("Tables no sample question mentions (", col("n_uncovered"), "): ", listed("uncovered", "n_uncovered"), "; add a question for each")),
+]
+
+# Area 5, benchmarks.
+_BENCHMARKS = [
+    ("no_benchmarks", "benchmarks = 0", say("No benchmark; add at least 5 pairs of question and SQL")),
+    ("few_benchmarks", "benchmarks between 1 and 4",
+     say("Only ", col("benchmarks"), Sql("case when benchmarks = 1 then ' benchmark' else ' benchmarks' end"), "; add up to 15 or more, simple to complex")),
+    ("some_benchmarks", "benchmarks between 5 and 14",
+     say("Only ", col("benchmarks"), " benchmarks; 15 to 30 should cover every key metric and dimension")),
+    ("missing_gold", "n_missing_gold > 0", say(col("n_missing_gold"), " benchmark(s) without expected SQL")),
+    ("hardcoded_gold", "n_hardcoded_gold > 0",
+     say("Benchmark SQL with hardcoded values: ", first("hardcoded_gold", 2, "; ", False))),
+]
+
+RULES = [
+    Finding(rule_id, area, applies, message)
+    for area, rules in enumerate((_READINESS, _CURATION, _METADATA, _CONFIGURATION, _SAMPLES, _BENCHMARKS))
+    for rule_id, applies, message in rules
+]
 
 
 def finding(facts: DataFrame, rule_id: str) -> DataFrame:
     """The spaces one rule applies to, with its message."""
-    rule = next(f for f in registry() if f.rule_id == rule_id)
-    return facts.where(rule.applies).select("space_id", rule.message.alias("message"))
-
-
-def _exploded(facts: DataFrame, rules: list[Finding]) -> DataFrame:
-    found = {
-        area: X.kept(
-            *[
-                F.when(
-                    F.coalesce(f.applies, F.lit(False)),
-                    F.struct(F.lit(f.rule_id).alias("rule_id"), f.message.alias("message")),
-                )
-                for f in rules
-                if f.area == area
-            ]
-        )
-        for area in sorted({f.area for f in rules})
-    }
-    numbered = [
-        F.transform(
-            items,
-            lambda x, i, area=area: F.struct(
-                F.lit(area).alias("area"), (i + 1).alias("seq"), x["rule_id"].alias("rule_id"), x["message"].alias("message")
-            ),
-        )
-        for area, items in found.items()
-    ]
-    everything = numbered[0] if len(numbered) == 1 else F.concat(*numbered)
-    return facts.select("space_id", F.inline(everything))
+    rule = next(f for f in RULES if f.rule_id == rule_id)
+    return facts.where(rule.applies).selectExpr("space_id", f"{rule.message} as message")
 
 
-def messages(area: int) -> Column:
-    """Messages of one area that apply to the row, in rule order."""
-    return X.kept(*[F.when(F.coalesce(f.applies, F.lit(False)), f.message) for f in registry([area])])
+def _found(rules: Sequence[Finding], with_message: bool = True) -> str:
+    """Array of the findings that apply, numbered."""
+    message = (lambda f: f", 'message', {f.message}") if with_message else (lambda f: "")
+    cases = ", ".join(
+        f"case when {f.applies} then named_struct('rule_id', {quote(f.rule_id)}{message(f)}) end" for f in rules
+    )
+    kept = f"filter(array({cases}), x -> x is not null)"
+    carried = ", 'message', x.message" if with_message else ""
+    return (
+        f"transform({kept}, (x, i) -> named_struct('area', {rules[0].area}, 'seq', i + 1, 'rule_id', x.rule_id{carried}))"
+    )
 
 
-def area_findings(facts: DataFrame, area: int, only: Sequence[str] | None = None) -> DataFrame:
+def area_findings(
+    facts: DataFrame, area: int, only: Sequence[str] | None = None, with_message: bool = True
+) -> DataFrame:
     """Findings of one area, numbered in rule order; ``only`` limits the rules to those named."""
-    rules = [f for f in registry([area]) if only is None or f.rule_id in only]
-    return _exploded(facts, rules)
+    rules = [f for f in RULES if f.area == area and (only is None or f.rule_id in only)]
+    return facts.selectExpr("space_id", f"inline({_found(rules, with_message)})")
 
 
-def findings(facts: DataFrame) -> DataFrame:
+def findings(facts: DataFrame, with_message: bool = True) -> DataFrame:
     """Findings of all areas: ``space_id, area, seq, rule_id, message``."""
-    return _exploded(facts, registry())
+    areas = ", ".join(_found([f for f in RULES if f.area == a], with_message) for a in R.AREAS)
+    return facts.selectExpr("space_id", f"inline(concat({areas}))")
+
+
+def messages(area: int) -> str:
+    """SQL of the messages of one area that apply to the row, in rule order."""
+    return present([(f.applies, f.message) for f in RULES if f.area == area])

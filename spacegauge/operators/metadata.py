@@ -15,22 +15,22 @@ from spacegauge.operators.texts import joints, space_text
 COLUMN_RULES = ("described", "generic", "coded", "date_string", "technical")
 
 
-def column_flags() -> dict[str, Column]:
-    """All column rules, as expressions over one column row."""
-    name, comment = F.col("name"), F.col("comment")
-    described = ~X.is_blank(comment)
+def column_rules() -> dict[str, str]:
+    """All column rules, as SQL expressions over one column row."""
+    described = r"(coalesce(comment, '') rlike r'(?U)\S')"
+    types = ", ".join(f"'{t}'" for t in R.STRING_TYPES)
     return {
         "described": described,
-        "generic": described & R.GENERIC_COMMENT.hit(comment),
-        "coded": R.CODED_NAME.hit(name) & ~R.VALUE_DICTIONARY.hit(comment),
-        "date_string": R.DATE_NAME.hit(name) & F.upper("data_type").isin(*R.STRING_TYPES),
-        "technical": R.TECHNICAL_NAME.hit(name) & ~described,
+        "generic": f"{described} and {R.GENERIC_COMMENT.hit_sql('comment')}",
+        "coded": f"{R.CODED_NAME.hit_sql('name')} and not {R.VALUE_DICTIONARY.hit_sql('comment')}",
+        "date_string": f"{R.DATE_NAME.hit_sql('name')} and upper(data_type) in ({types})",
+        "technical": f"{R.TECHNICAL_NAME.hit_sql('name')} and not {described}",
     }
 
 
 def lint_columns(columns: DataFrame) -> DataFrame:
     """Every column with the outcome of every column rule, in one projection."""
-    return columns.select("table_id", "ordinal", "name", *[e.alias(k) for k, e in column_flags().items()])
+    return columns.selectExpr("table_id", "ordinal", "name", *[f"{e} as {k}" for k, e in column_rules().items()])
 
 
 def table_widths(columns: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def table_widths(columns: DataFrame) -> DataFrame:
 
 
 def column_hits(columns: DataFrame, rule: str) -> DataFrame:
-    return columns.where(column_flags()[rule]).select("table_id", "name")
+    return columns.where(column_rules()[rule]).select("table_id", "name")
 
 
 def generic_comments(columns: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def question_asks(questions: DataFrame) -> DataFrame:
     rows = samples(questions).select("space_id", "question_id", "question_text")
     asked = rows.select(
         "space_id",
-        *[rule.hit(F.lower("question_text")).alias(n) for n, rule in R.QUESTION_PATTERNS.items()],
+        *[F.expr(rule.hit_sql("lower(question_text)")).alias(n) for n, rule in R.QUESTION_PATTERNS.items()],
     )
     return (
         asked.unionByName(question_joint_asks(rows))

@@ -171,14 +171,11 @@ def metric_view_findings(split_metric_views: DataFrame, k_in: int = 100, k_extra
     wide = held.select("space_id", F.col("shown").alias("held"), F.col("n_more").alias("held_more")).join(
         extra.select("space_id", F.col("shown").alias("extra")), "space_id", "full"
     )
-    shown = F.create_map(
-        F.lit("metric_views_in_space"), F.coalesce("held", F.expr(X.NO_ARRAY)),
-        F.lit("metric_views_extra"), F.coalesce("extra", F.expr(X.NO_ARRAY)),
-    )
-    facts = wide.select(
+    facts = wide.selectExpr(
         "space_id",
-        shown.alias("shown"),
-        (F.size(F.coalesce("held", F.expr(X.NO_ARRAY))) + F.coalesce("held_more", F.lit(0))).alias("mv_count"),
+        f"map('metric_views_in_space', coalesce(held, {X.NO_ARRAY}), 'metric_views_extra', coalesce(extra, {X.NO_ARRAY})) as shown",
+        f"size(coalesce(held, {X.NO_ARRAY})) + coalesce(held_more, 0) as mv_count",
+        "extra is not null as has_extra_views",
     )
     return finding(facts, "metric_views_in_space").unionByName(finding(facts, "metric_views_extra")).unionByName(
         finding(facts, "metric_views_only_in_catalog")

@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 from spacegauge.functions import rules as R
 from spacegauge.functions import text as X
 from spacegauge.operators.findings import (
-    _first,
-    _list,
-    _say,
-    alignment_gaps_expr,
-    missing_patterns_expr,
-    missing_sections_expr,
+    GAPS,
+    OWN_LAYER,
+    PATTERNS_MISSING,
+    SECTIONS_MISSING,
+    Sql,
+    col,
+    first,
+    joined,
+    listed,
+    present,
+    quote,
+    say,
 )
 
 
@@ -28,199 +34,155 @@ def severity(area_scores: DataFrame) -> DataFrame:
     return area_scores.where("score < 3").select("space_id", "area", severity_expr(F.col("score")).alias("severity"))
 
 
-def _steps(poor: Sequence[tuple], ok: Sequence[tuple]) -> dict[int, Column]:
-    """Items by score; each item is a text, or a pair of condition and text."""
-
-    def items(rows: Sequence) -> Column:
-        pairs = [row if isinstance(row, tuple) else (F.lit(True), row) for row in rows]
-        return X.kept(*[F.when(F.coalesce(c, F.lit(False)), F.lit(t) if isinstance(t, str) else t) for c, t in pairs])
-
-    return {1: items(poor), 2: items(ok)}
-
-
-def _needed_joins() -> Column:
-    return F.greatest(F.lit(0), F.col("base_count") - 1)
-
-
-def readiness_items() -> dict[int, Column]:
-    tables, joins, keyed = F.col("table_count"), F.col("join_count"), F.col("keyed")
-    shared, locked = ~F.col("not_shared"), F.col("warehouse_locked")
-    bare = F.col("ungranted_count")
-    return _steps(
-        [
-            ((joins == 0) & (keyed == 0), _say("Blocking: neither joins nor keys for ", tables, " tables; configure joins or add primary and foreign keys")),
-            ((joins > 0) & (keyed == 0), "Add primary and foreign keys so that joins need not all be configured by hand"),
-            (~shared, "Blocking: share the space with its users (CAN_USE)"),
-            (locked, "Blocking: let users run queries on the warehouse (CAN_USE)"),
-            (bare > 0, _say("Grant SELECT to those who need it on: ", _first("ungranted", 4))),
+ALWAYS = "true"
+NEEDED = "greatest(0, base_count - 1)"
+PERCENT = Sql("cast(cast(bround(pct, 0) as bigint) as string)")
+NO_LAYER = f"{OWN_LAYER} and expr_count = 0"
+PART_LAYER = f"{OWN_LAYER} and expr_count > 0"
+DESCRIBE = "Describe the space: purpose, key metrics, dimensions, grain, users"
+LAYER = "Expressions: define measures, synonyms, dimensions and filters, or add metric views"
+UNMAPPED = (
+    "n_unmapped > 0",
+    say("Explain abbreviations by a synonym or a business term: ", listed("unmapped", "n_unmapped", ticks=False)),
+)
+KEYS_MISSING = listed("missing_keys", "n_missing_keys", 4, ticks=False)
+
+# Items of each area by score, each with the condition under which it is given.
+ITEMS: dict[int, dict[int, list[tuple[str, str]]]] = {
+    0: {
+        1: [
+            ("join_count = 0 and keyed = 0", say("Blocking: neither joins nor keys for ", col("table_count"), " tables; configure joins or add primary and foreign keys")),
+            ("join_count > 0 and keyed = 0", "Add primary and foreign keys so that joins need not all be configured by hand"),
+            ("not_shared", "Blocking: share the space with its users (CAN_USE)"),
+            ("warehouse_locked", "Blocking: let users run queries on the warehouse (CAN_USE)"),
+            ("ungranted_count > 0", say("Grant SELECT to those who need it on: ", first("ungranted", 4))),
         ],
-        [
-            ((tables > 1) & (joins < _needed_joins()), _say("Only ", joins, " of about ", _needed_joins(), " joins are configured; add the missing ones")),
-            ((keyed == 0) & (tables > 0), "Add primary and foreign keys to help resolve joins"),
-            ((keyed > 0) & (keyed < tables), _say("Keys are still missing on: ", _list("missing_keys", "n_missing_keys", 4, quote=False))),
-            (~shared, "Share the space with its users (CAN_USE)"),
-            (locked, "Let users run queries on the warehouse (CAN_USE)"),
-            (bare > 0, _say("Grant SELECT beyond the owner on: ", _list("ungranted", "ungranted_count", 4))),
-            (F.col("unknown_grant_count") > 0, _say("Check grants on ", F.col("unknown_grant_count"), " table(s) with an administrator")),
-            "Look through the findings on ownership, warehouse type and tags",
+        2: [
+            (f"table_count > 1 and join_count < {NEEDED}", say("Only ", col("join_count"), " of about ", col(NEEDED), " joins are configured; add the missing ones")),
+            ("keyed = 0 and table_count > 0", "Add primary and foreign keys to help resolve joins"),
+            ("keyed > 0 and keyed < table_count", say("Keys are still missing on: ", KEYS_MISSING)),
+            ("not_shared", "Share the space with its users (CAN_USE)"),
+            ("warehouse_locked", "Let users run queries on the warehouse (CAN_USE)"),
+            ("ungranted_count > 0", say("Grant SELECT beyond the owner on: ", listed("ungranted", "ungranted_count", 4))),
+            ("unknown_grant_count > 0", say("Check grants on ", col("unknown_grant_count"), " table(s) with an administrator")),
+            (ALWAYS, "Look through the findings on ownership, warehouse type and tags"),
         ],
-    )
-
-
-def curation_items() -> dict[int, Column]:
-    non_gold, unclear = F.col("n_non_gold"), F.col("n_unclear")
-    describe = "Describe the space: purpose, key metrics, dimensions, grain, users"
-    return _steps(
-        [
-            _say("Rebuild the scope: ", F.col("table_count"), " tables are too many; start again from one business domain"),
-            "Split the tables into two to four focused spaces",
-            "Do not let users in before the space holds ten tables or fewer",
-            "Replace raw, bronze and silver tables with gold or semantic ones",
-            ((non_gold > 0) | (unclear > 0), F.concat(F.lit("Tag the layer of every table before rebuilding"), F.when(non_gold > 0, _say("; below gold: ", _first("non_gold", 3, quote=False))).otherwise(""))),
-            "Hide the columns of wide tables that users do not need, or offer narrower views",
-            describe,
+    },
+    1: {
+        1: [
+            (ALWAYS, say("Rebuild the scope: ", col("table_count"), " tables are too many; start again from one business domain")),
+            (ALWAYS, "Split the tables into two to four focused spaces"),
+            (ALWAYS, "Do not let users in before the space holds ten tables or fewer"),
+            (ALWAYS, "Replace raw, bronze and silver tables with gold or semantic ones"),
+            ("n_non_gold > 0 or n_unclear > 0", say("Tag the layer of every table before rebuilding", Sql(f"case when n_non_gold > 0 then {say('; below gold: ', first('non_gold', 3, ticks=False))} else '' end"))),
+            (ALWAYS, "Hide the columns of wide tables that users do not need, or offer narrower views"),
+            (ALWAYS, DESCRIBE),
         ],
-        [
-            "Keep only the tables the use case needs",
-            (X.is_blank(F.col("description")), describe),
-            (non_gold > 0, _say("Replace tables below gold: ", _first("non_gold", 5, quote=False))),
-            (F.col("n_wide") > 0, _say("Narrow the wide tables: ", _first("wide", 3, quote=False))),
-            (unclear > 0, _say("Tag the layer of ", unclear, " table(s) whose layer is unclear")),
-            "Hide internal ids, load metadata and outdated columns",
+        2: [
+            (ALWAYS, "Keep only the tables the use case needs"),
+            ("not coalesce(description, '') rlike r'(?U)\\S'", DESCRIBE),
+            ("n_non_gold > 0", say("Replace tables below gold: ", first("non_gold", 5, ticks=False))),
+            ("n_wide > 0", say("Narrow the wide tables: ", first("wide", 3, ticks=False))),
+            ("n_unclear > 0", say("Tag the layer of ", col("n_unclear"), " table(s) whose layer is unclear")),
+            (ALWAYS, "Hide internal ids, load metadata and outdated columns"),
         ],
-    )
-
-
-def metadata_items() -> dict[int, Column]:
-    pct = F.col("pct")
-    percent = X.whole_percent(pct)
-    gap = F.col("total_cols") - F.col("described")
-    unmapped = (
-        F.col("n_unmapped") > 0,
-        _say("Explain abbreviations by a synonym or a business term: ", _list("unmapped", "n_unmapped", quote=False)),
-    )
-    return _steps(
-        [
-            (pct < 80, _say("Blocking: only ", percent, "% of columns are described; raise it above 80%")),
-            (pct < 80, _say("Describe the ", gap, " remaining columns, those used in filters, aggregates and joins first")),
-            (pct < 80, "Add column comments in bulk with ALTER TABLE ... ALTER COLUMN ... COMMENT"),
-            (pct >= 80, _say(percent, "% of columns are described, but coded columns and dates stored as text stand in the way")),
-            (F.col("n_no_comment") == F.col("table_count"), "Comment every table: grain, scope, key metrics"),
-            "Explain the values of coded columns in their comments, such as A=Active, I=Inactive, and enable value matching",
-            (F.col("n_date_string") > 0, "Turn dates and times stored as text into DATE or TIMESTAMP"),
-            unmapped,
+    },
+    2: {
+        1: [
+            ("pct < 80", say("Blocking: only ", PERCENT, "% of columns are described; raise it above 80%")),
+            ("pct < 80", say("Describe the ", col("total_cols - described"), " remaining columns, those used in filters, aggregates and joins first")),
+            ("pct < 80", "Add column comments in bulk with ALTER TABLE ... ALTER COLUMN ... COMMENT"),
+            ("pct >= 80", say(PERCENT, "% of columns are described, but coded columns and dates stored as text stand in the way")),
+            ("n_no_comment = table_count", "Comment every table: grain, scope, key metrics"),
+            (ALWAYS, "Explain the values of coded columns in their comments, such as A=Active, I=Inactive, and enable value matching"),
+            ("n_date_string > 0", "Turn dates and times stored as text into DATE or TIMESTAMP"),
+            UNMAPPED,
         ],
-        [
-            _say(percent, "% of columns are described; fill the ", gap, " gaps, flagged columns first"),
-            (F.col("n_thin") > 0, _say("Expand short table comments: ", _first("thin_comment", 3, quote=False))),
-            (F.col("n_no_comment") > 0, _say("Comment these tables: ", _first("no_comment", 3, quote=False))),
-            "Replace key shorthand in comments with plain words, such as: links to the customer record",
-            (F.col("n_coded") > 0, _say("Explain the values of coded columns: ", _list("coded", "n_coded", 4, quote=False))),
-            (F.col("n_date_string") > 0, _say("Turn into DATE or TIMESTAMP: ", _first("date_string", 3, quote=False))),
-            unmapped,
+        2: [
+            (ALWAYS, say(PERCENT, "% of columns are described; fill the ", col("total_cols - described"), " gaps, flagged columns first")),
+            ("n_thin > 0", say("Expand short table comments: ", first("thin_comment", 3, ticks=False))),
+            ("n_no_comment > 0", say("Comment these tables: ", first("no_comment", 3, ticks=False))),
+            (ALWAYS, "Replace key shorthand in comments with plain words, such as: links to the customer record"),
+            ("n_coded > 0", say("Explain the values of coded columns: ", listed("coded", "n_coded", 4, ticks=False))),
+            ("n_date_string > 0", say("Turn into DATE or TIMESTAMP: ", first("date_string", 3, ticks=False))),
+            UNMAPPED,
         ],
-    )
-
-
-def configuration_items() -> dict[int, Column]:
-    sql, texts = F.col("sql"), F.col("text_count")
-    sql_sub, text_sub = F.col("sql_sub"), F.col("text_sub")
-    missing, gaps, sections = missing_patterns_expr(), alignment_gaps_expr(), missing_sections_expr()
-    no_layer = (F.col("mv_count") == 0) & (F.col("expr_count") == 0)
-    part_layer = (F.col("mv_count") == 0) & (F.col("expr_count") > 0)
-    base, joins = F.col("base_count"), F.col("join_count")
-    rework, weak_sql = text_sub < 3, sql_sub < 3
-    layer = "Expressions: define measures, synonyms, dimensions and filters, or add metric views"
-    how_many = F.when(sql == 0, "none").otherwise(_say("only ", sql))
-    return _steps(
-        [
-            (sql_sub == 1, _say("Example SQL: ", how_many, "; add 10 to 15, starting with aggregates, date filters, joins, top-N and comparisons")),
-            (sql_sub == 1, "Make every example a complete, tested query"),
-            (text_sub == 1, F.when(texts == 0, "Text instructions: write them").otherwise("Text instructions: rewrite them")),
-            (text_sub == 1, "Use four sections: role, critical rules, business terms, date handling"),
-            (text_sub == 1, "Keep the text to 100 lines of rules that neither metadata nor example SQL can tell"),
-            (no_layer, layer),
+    },
+    3: {
+        1: [
+            ("sql_sub = 1", say("Example SQL: ", Sql("case when sql = 0 then 'none' else concat('only ', sql) end"), "; add 10 to 15, starting with aggregates, date filters, joins, top-N and comparisons")),
+            ("sql_sub = 1", "Make every example a complete, tested query"),
+            ("text_sub = 1", say("Text instructions: ", Sql("case when text_count = 0 then 'write them' else 'rewrite them' end"))),
+            ("text_sub = 1", "Use four sections: role, critical rules, business terms, date handling"),
+            ("text_sub = 1", "Keep the text to 100 lines of rules that neither metadata nor example SQL can tell"),
+            (NO_LAYER, LAYER),
         ],
-        [
-            (weak_sql, F.when(sql < 10, _say("Example SQL: add ", F.lit(10) - sql, " to reach 10")).otherwise(_say("Example SQL: ", sql, " are enough; mend what is flagged"))),
-            (weak_sql & (F.size(missing) > 0), _say("Add examples of: ", F.array_join(missing, ", "))),
-            (weak_sql & (F.col("n_hardcoded") > 0), _say("Replace hardcoded values by parameters in: ", _first("hardcoded_sql", 3, "; ", False))),
-            (weak_sql & (F.size(gaps) > 0), _say("Add examples that match the sample questions, which ask for ", F.array_join(gaps, "; "))),
-            (rework & (F.col("n_inline") > 0), _say("Move SQL out of the text: ", _first("inline_sql", 2, "; ", False))),
-            (rework & (F.col("metric_hits") > 0), "Move metric definitions from the text to expressions"),
-            (rework & (F.col("join_hits") > 0), "Move table relationships from the text to the joins"),
-            (rework & (F.size(sections) > 0), _say("Add text sections: ", F.array_join(sections, ", "))),
-            (rework & (F.col("lines") > R.MAX_TEXT_LINES), "Cut the text to 100 lines"),
-            (rework, "Redraft the text instructions"),
-            ((base > 1) & (joins > 0) & (joins < _needed_joins()), _say("Check the joins of all ", base, " base tables; only ", joins, " found")),
-            (no_layer, layer),
-            (part_layer & (F.col("n_measures") == 0), "Expressions: add measures for key metrics"),
-            (part_layer & (F.col("n_synonyms") == 0), "Expressions: add synonyms for abbreviations and other names"),
+        2: [
+            ("sql_sub < 3", Sql(f"case when sql < 10 then {say('Example SQL: add ', col('10 - sql'), ' to reach 10')} else {say('Example SQL: ', col('sql'), ' are enough; mend what is flagged')} end")),
+            (f"sql_sub < 3 and size({PATTERNS_MISSING}) > 0", say("Add examples of: ", joined(PATTERNS_MISSING, ", "))),
+            ("sql_sub < 3 and n_hardcoded > 0", say("Replace hardcoded values by parameters in: ", first("hardcoded_sql", 3, "; ", False))),
+            (f"sql_sub < 3 and size({GAPS}) > 0", say("Add examples that match the sample questions, which ask for ", joined(GAPS, "; "))),
+            ("text_sub < 3 and n_inline > 0", say("Move SQL out of the text: ", first("inline_sql", 2, "; ", False))),
+            ("text_sub < 3 and metric_hits > 0", "Move metric definitions from the text to expressions"),
+            ("text_sub < 3 and join_hits > 0", "Move table relationships from the text to the joins"),
+            (f"text_sub < 3 and size({SECTIONS_MISSING}) > 0", say("Add text sections: ", joined(SECTIONS_MISSING, ", "))),
+            (f"text_sub < 3 and lines > {R.MAX_TEXT_LINES}", "Cut the text to 100 lines"),
+            ("text_sub < 3", "Redraft the text instructions"),
+            ("base_count > 1 and join_count > 0 and join_count < base_count - 1", say("Check the joins of all ", col("base_count"), " base tables; only ", col("join_count"), " found")),
+            (NO_LAYER, LAYER),
+            (f"{PART_LAYER} and n_measures = 0", "Expressions: add measures for key metrics"),
+            (f"{PART_LAYER} and n_synonyms = 0", "Expressions: add synonyms for abbreviations and other names"),
         ],
-    )
-
-
-def sample_items() -> dict[int, Column]:
-    n = F.col("samples")
-    return _steps(
-        [
-            F.when(n == 0, "Urgent: no sample question, so users start from a blank page").otherwise(_say("Urgent: only ", n, " sample question(s)")),
-            "Write ten or more questions now",
-            "Even five good questions help first-time users a great deal",
-            "Cover every major metric and every kind of user at least once",
+    },
+    4: {
+        1: [
+            (ALWAYS, Sql(f"case when samples = 0 then {say('Urgent: no sample question, so users start from a blank page')} else {say('Urgent: only ', col('samples'), ' sample question(s)')} end")),
+            (ALWAYS, "Write ten or more questions now"),
+            (ALWAYS, "Even five good questions help first-time users a great deal"),
+            (ALWAYS, "Cover every major metric and every kind of user at least once"),
         ],
-        [
-            _say("Add ", F.greatest(F.lit(0), F.lit(10) - n), " more sample questions to reach 10"),
-            "Vary the questions across kinds of user",
-            "Ask at least once for every major metric",
-            "Word questions as users would, not like SQL",
-            (F.col("n_uncovered") > 0, _say("Ask about the tables no question mentions, or drop them: ", _list("uncovered", "n_uncovered"))),
+        2: [
+            (ALWAYS, say("Add ", col("greatest(0, 10 - samples)"), " more sample questions to reach 10")),
+            (ALWAYS, "Vary the questions across kinds of user"),
+            (ALWAYS, "Ask at least once for every major metric"),
+            (ALWAYS, "Word questions as users would, not like SQL"),
+            ("n_uncovered > 0", say("Ask about the tables no question mentions, or drop them: ", listed("uncovered", "n_uncovered"))),
         ],
-    )
-
-
-def benchmark_items() -> dict[int, Column]:
-    n = F.col("benchmarks")
-    return _steps(
-        [
-            F.when(n == 0, "Blocking: no benchmark, so accuracy cannot be measured").otherwise(_say("Blocking: only ", n, " benchmark(s), so accuracy can hardly be measured")),
-            "Do not show the space to users before five benchmarks pass",
-            "Take the five most important sample questions as first benchmarks",
-            "Give every benchmark a tested SQL as the expected answer",
-            "Run the benchmarks after every change",
+    },
+    5: {
+        1: [
+            (ALWAYS, Sql(f"case when benchmarks = 0 then {say('Blocking: no benchmark, so accuracy cannot be measured')} else {say('Blocking: only ', col('benchmarks'), ' benchmark(s), so accuracy can hardly be measured')} end")),
+            (ALWAYS, "Do not show the space to users before five benchmarks pass"),
+            (ALWAYS, "Take the five most important sample questions as first benchmarks"),
+            (ALWAYS, "Give every benchmark a tested SQL as the expected answer"),
+            (ALWAYS, "Run the benchmarks after every change"),
         ],
-        [
-            _say(n, " benchmarks; add ", F.greatest(F.lit(0), F.lit(15) - n), " more to reach 15"),
-            "Run the benchmarks now and note the pass rate",
-            "Cover every metric and dimension, from simple to complex",
-            "Mix fixed dates, relative periods and year-over-year questions",
-            (F.col("n_missing_gold") > 0, _say("Add the expected SQL to ", F.col("n_missing_gold"), " benchmark(s)")),
-            "Reach a pass rate of 80% before letting users in",
+        2: [
+            (ALWAYS, say(col("benchmarks"), " benchmarks; add ", col("greatest(0, 15 - benchmarks)"), " more to reach 15")),
+            (ALWAYS, "Run the benchmarks now and note the pass rate"),
+            (ALWAYS, "Cover every metric and dimension, from simple to complex"),
+            (ALWAYS, "Mix fixed dates, relative periods and year-over-year questions"),
+            ("n_missing_gold > 0", say("Add the expected SQL to ", col("n_missing_gold"), " benchmark(s)")),
+            (ALWAYS, "Reach a pass rate of 80% before letting users in"),
         ],
-    )
+    },
+}
 
 
-_AREAS = (readiness_items, curation_items, metadata_items, configuration_items, sample_items, benchmark_items)
+def steps(area: int) -> str:
+    """SQL of the next steps of one area for the row, none where the area is good."""
+    cases = " ".join(f"when score_{area} = {score} then {present(items)}" for score, items in ITEMS[area].items())
+    return f"case {cases} else {X.NO_ARRAY} end"
 
 
-def steps(area: int) -> Column:
-    """Next steps of one area for the row, none where the area is good."""
-    by_score, score = _AREAS[area](), F.col(f"score_{area}")
-    return F.when(score == 1, by_score[1]).when(score == 2, by_score[2]).otherwise(F.expr(X.NO_ARRAY))
+def _numbered(area: int) -> str:
+    levels = " ".join(f"when {score} then {quote(name)}" for score, name in R.SEVERITIES.items())
+    return (
+        f"transform({steps(area)}, (x, i) -> named_struct('area', {area}, "
+        f"'severity', case score_{area} {levels} end, 'seq', i + 1, 'item', x))"
+    )
 
 
 def area_items(scored: DataFrame, areas: Sequence[int] = tuple(R.AREAS)) -> DataFrame:
     """Numbered next steps: ``space_id, area, severity, seq, item``."""
-    rows = [
-        F.transform(
-            steps(area),
-            lambda x, i, area=area: F.struct(
-                F.lit(area).alias("area"),
-                severity_expr(F.col(f"score_{area}")).alias("severity"),
-                (i + 1).alias("seq"),
-                x.alias("item"),
-            ),
-        )
-        for area in areas
-    ]
-    return scored.select("space_id", F.inline(rows[0] if len(rows) == 1 else F.concat(*rows)))
+    return scored.selectExpr("space_id", f"inline(concat({', '.join(_numbered(a) for a in areas)}))")

@@ -71,9 +71,11 @@ def joints(texts: DataFrame, key: str, order: str, text: str, sep: str, chunk: i
 
 def joint_hits(rule: Rule, sep: str) -> Column:
     """Hits of a rule that span the joint: those of both sides together, less those of each side."""
-    before, after = F.col("before"), F.col("after")
-    whole = F.concat(before, F.lit(sep), after)
-    return F.greatest(rule.count(whole) - rule.count(before) - rule.count(after), F.lit(0))
+    gap = {"\n": "\\n"}.get(sep, sep)
+    whole = f"concat(before, '{gap}', after)"
+    return F.expr(
+        f"greatest({rule.count_sql(whole)} - {rule.count_sql('before')} - {rule.count_sql('after')}, 0)"
+    )
 
 
 def space_text(

@@ -2,74 +2,91 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spacegauge.functions import rules as R
 from spacegauge.functions import text as X
 from spacegauge.operators import findings as FD
 from spacegauge.operators import recommend, scoring
-from spacegauge.plans.facts import Estate, all_items, space_facts
+from spacegauge.operators.findings import Sql, col, joined, say
+from spacegauge.plans.facts import Estate, column_items, space_facts, space_items
 from spacegauge.session import shared_folder
 from spacegauge.sources import sinks
 
 
-def scored_facts(estate: Estate, strict_compat: bool = False, with_names: bool = True) -> DataFrame:
+def scored_facts(estate: Estate, strict_compat: bool = False, items: DataFrame | None = None) -> DataFrame:
     """The wide row of every space with its scores."""
-    return scoring.with_scores(space_facts(estate, strict_compat, with_names))
+    return scoring.with_scores(space_facts(estate, strict_compat, items))
 
 
 def scorecard(estate: Estate, strict_compat: bool = False) -> DataFrame:
     """Scores and verdict of every space."""
-    return scoring.scorecard(scored_facts(estate, strict_compat, with_names=False))
+    return scoring.scorecard(scored_facts(estate, strict_compat))
 
 
-def _report(scored: DataFrame, run_date: str) -> DataFrame:
-    """Each space with its report as an array of lines; made of its own row only, so nothing is shuffled."""
-    card = scoring.with_totals(scored)
-    total = F.concat(F.col("total").cast("string"), F.lit("/"), F.col("max_total").cast("string"))
-    poor = F.concat(F.lit(": critical areas are poor: "), F.array_join("blockers", ", "))
-    verdict = F.concat("verdict", F.when(F.col("is_capped"), poor).otherwise(""))
-    lines = [
-        F.concat(F.lit("# Assessment: "), "title"),
-        F.concat(
-            F.lit(f"**Date:** {run_date}  |  **Space:** "),
-            F.col("space_id").cast("string"),
-            F.lit("  |  **Score:** "),
-            total,
-        ),
-        F.lit(""),
-        F.concat(F.lit("> "), verdict),
-        F.lit(""),
-        F.lit("## Scorecard"),
-        F.lit(""),
-        F.lit("| Area | Score | Rating |"),
-        F.lit("|------|-------|--------|"),
-    ]
-    for area, name in R.AREAS.items():
-        score = F.col(f"score_{area}")
-        lines.append(F.concat(F.lit(f"| {area}. {name} | "), score, F.lit("/3 | "), scoring.area_label(score), F.lit(" |")))
-    lines += [F.concat(F.lit("| **TOTAL** | **"), total, F.lit("** | |")), F.lit(""), F.lit("## Assessment by Area"), F.lit("")]
-    areas = [_area_lines(area, name) for area, name in R.AREAS.items()]
-    return card.select("space_id", "title", F.concat(F.array(*lines), *areas).alias("lines"))
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a result to the shared folder and read it back, so that later steps start from there."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
-def _area_lines(area: int, name: str) -> Column:
-    def bullets(items: Column) -> Column:
-        return F.transform(items, lambda x: F.concat(F.lit("- "), x))
+def staged_facts(estate: Estate, strict_compat: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Names behind the findings, and the scored wide rows that show them, each written once.
 
-    score = F.col(f"score_{area}")
+    A lost executor costs the step it was in and not the audit.
+    """
+    items = staged(space_items(estate, strict_compat), "items")
+    return items, staged(scored_facts(estate, strict_compat, items), "facts")
+
+
+def _area_lines(area: int, name: str) -> str:
     found, steps = FD.messages(area), recommend.steps(area)
-    return F.concat(
-        F.array(F.concat(F.lit(f"### {area}. {name}: "), scoring.area_label(score), F.lit(" ("), score, F.lit("/3)"))),
-        F.when(F.size(found) == 0, F.array(F.lit("No issues found."))).otherwise(bullets(found)),
-        F.when(F.size(steps) > 0, F.concat(F.array(F.lit(""), F.lit("**Next steps:**")), bullets(steps))).otherwise(
-            F.expr(X.NO_ARRAY)
-        ),
-        F.array(F.lit("")),
+    title = say(f"### {area}. {name}: ", _label(area), " (", col(f"score_{area}"), "/3)")
+    return (
+        f"array({title}), "
+        f"if(size({found}) = 0, array('No issues found.'), transform({found}, x -> concat('- ', x))), "
+        f"if(size({steps}) = 0, {X.NO_ARRAY}, concat(array('', '**Next steps:**'), transform({steps}, x -> concat('- ', x)))), "
+        "array('')"
     )
 
 
+def _label(area: int) -> Sql:
+    levels = " ".join(f"when {score} then '{label}'" for score, label in R.LABELS.items())
+    return Sql(f"case score_{area} {levels} end")
+
+
+def _report(scored: DataFrame, run_date: str) -> DataFrame:
+    """Each space with its report as an array of lines; made of its own row only, so nothing is shuffled."""
+    total = say(col("total"), "/", col("max_total"))
+    reason = say(": critical areas are poor: ", joined("blockers", ", "))
+    lines = [
+        say("# Assessment: ", Sql("title")),
+        say(f"**Date:** {run_date}  |  **Space:** ", col("space_id"), "  |  **Score:** ", total),
+        say(""),
+        say("> ", Sql("verdict"), Sql(f"if(is_capped, {reason}, '')")),
+        say(""),
+        say("## Scorecard"),
+        say(""),
+        say("| Area | Score | Rating |"),
+        say("|------|-------|--------|"),
+        *[
+            say(f"| {area}. {name} | ", col(f"score_{area}"), "/3 | ", _label(area), " |")
+            for area, name in R.AREAS.items()
+        ],
+        say("| **TOTAL** | **", total, "** | |"),
+        say(""),
+        say("## Assessment by Area"),
+        say(""),
+    ]
+    areas = ", ".join(_area_lines(area, name) for area, name in R.AREAS.items())
+    return scoring.with_totals(scored).selectExpr("space_id", "title", f"concat(array({', '.join(lines)}), {areas}) as lines")
+
+
 def report_lines(scored: DataFrame, run_date: str) -> DataFrame:
     """Reports line by line: ``space_id, line_no, line``."""
     return _report(scored, run_date).select("space_id", F.posexplode("lines").alias("line_no", "line"))
@@ -84,18 +101,12 @@ def report_rows(scored: DataFrame, run_date: str, folder: str = "") -> DataFrame
 
 
 def run(estate: Estate, out: str, run_date: str, strict_compat: bool = False) -> DataFrame:
-    """Audit every space and write scorecard, findings, their items, next steps and reports under ``out``.
-
-    The wide rows are written to the shared folder once and read back by every output, so a lost
-    executor costs the step it was in and not the audit.
-    """
-    spark = estate.spaces.sparkSession
-    staged = f"{shared_folder(spark)}/facts-{run_date}-{spark.sparkContext.applicationId}"
-    scored_facts(estate, strict_compat).write.mode("overwrite").parquet(staged)
-    scored = spark.read.parquet(staged)
+    """Audit every space; write scorecard, findings with their names, next steps and reports under ``out``."""
+    items, scored = staged_facts(estate, strict_compat)
     sinks.write_scorecard(scoring.scorecard(scored), f"{out}/scorecard", run_date)
     sinks.write_findings(FD.findings(scored), f"{out}/findings", run_date)
-    sinks.write_table(all_items(estate, strict_compat), f"{out}/finding_items", run_date)
+    sinks.write_table(items, f"{out}/finding_items", run_date)
+    sinks.write_table(column_items(estate.columns), f"{out}/column_items", run_date)
     sinks.write_recommendations(recommend.area_items(scored), f"{out}/recommendations", run_date)
     sinks.write_reports(report_rows(scored, run_date), f"{out}/reports", run_date)
     return scored

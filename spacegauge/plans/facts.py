@@ -16,6 +16,7 @@ from spacegauge.functions import rules as R
 from spacegauge.functions import text as X
 from spacegauge.operators import config_lint as C
 from spacegauge.operators import curation, joins, metadata, questions, readiness
+from spacegauge.operators.findings import present
 from spacegauge.operators.lists import LIST_LIMIT, ranked, shown_items
 from spacegauge.sources import readers
 
@@ -76,34 +77,35 @@ _CARRIED = (
 def member_facts(estate: Estate, strict_compat: bool = False) -> DataFrame:
     """One row per table of a space, with the outcome of every table rule."""
     members = joins.with_metadata(estate.space_tables, table_facts(estate, strict_compat), _CARRIED)
-    fine = F.col("error").isNull()
     counts = [c for c in _CARRIED if c.startswith("n_")]
     flags = ("is_mv", "is_keyed", "is_tagged", "readable", "has_external_grant")
-    members = members.withColumns(
-        {
-            **{c: F.when(fine, F.coalesce(F.col(c), F.lit(0))).otherwise(0) for c in counts},
-            **{c: F.coalesce(F.col(c), F.lit(False)) for c in flags},
-        }
-    )
-    kind = metadata.comment_kind(F.col("comment"), F.col("table_type"))
-    layer = curation.layer_expr(F.col("table_id"), F.col("table_type"), F.col("layer_tag"))
-    return members.withColumns(
+    plain = [c for c in members.columns if c not in counts and c not in flags]
+    members = members.selectExpr(
+        *plain,
+        *[f"if(error is null, coalesce({c}, 0), 0) as {c}" for c in counts],
+        *[f"coalesce({c}, false) as {c}" for c in flags],
+    ).withColumns(
         {
             "short": X.short_name(F.col("table_id")),
-            "missing_keys": ~F.col("is_keyed"),
-            "unowned": X.text_of(F.col("owner")) == "",
-            "ungranted": F.col("readable") & ~F.col("has_external_grant"),
-            "grants_unknown": ~F.col("readable"),
-            "metric_views_in_space": F.col("is_mv"),
-            "non_gold": layer == "non_gold",
-            "unclear_layer": layer == "unclear",
-            "wide": F.col("n_cols") > R.WIDE_TABLE_COLUMNS,
-            "undocumented": fine & (F.col("n_described") == 0),
-            "no_comment": fine & F.coalesce(kind == "none", F.lit(False)),
-            "thin_comment": fine & F.coalesce(kind == "thin", F.lit(False)),
-            "restricted": F.col("has_row_filter") | F.col("has_col_mask"),
+            "kind": metadata.comment_kind(F.col("comment"), F.col("table_type")),
+            "layer": curation.layer_expr(F.col("table_id"), F.col("table_type"), F.col("layer_tag")),
         }
     )
+    rules = {
+        "missing_keys": "not is_keyed",
+        "unowned": "coalesce(owner, '') = ''",
+        "ungranted": "readable and not has_external_grant",
+        "grants_unknown": "not readable",
+        "metric_views_in_space": "is_mv",
+        "non_gold": "layer = 'non_gold'",
+        "unclear_layer": "layer = 'unclear'",
+        "wide": f"n_cols > {R.WIDE_TABLE_COLUMNS}",
+        "undocumented": "error is null and n_described = 0",
+        "no_comment": "error is null and coalesce(kind, '') = 'none'",
+        "thin_comment": "error is null and coalesce(kind, '') = 'thin'",
+        "restricted": "has_row_filter or has_col_mask",
+    }
+    return members.selectExpr("*", *[f"{cond} as {rule}" for rule, cond in rules.items()])
 
 
 MEMBER_COUNTS = {
@@ -128,14 +130,15 @@ def space_members(members: DataFrame) -> DataFrame:
         "total_cols": "n_cols", "described": "n_described", "n_generic": "n_generic", "n_coded": "n_coded",
         "n_date_string": "n_date_string", "n_technical": "n_technical",
     }
-    return members.groupBy("space_id").agg(
-        F.count("*").alias("table_count"),
-        F.count_if("is_keyed").alias("keyed"),
-        F.count_if("is_tagged").alias("tagged"),
-        F.count_if(F.col("is_tagged") & ~F.col("is_mv")).alias("base_tagged_count"),
-        *[F.count_if(rule).alias(n) for rule, n in MEMBER_COUNTS.items()],
-        *[F.sum(c).alias(n) for n, c in sums.items()],
-    )
+    aggregates = [
+        "count(*) as table_count",
+        "count_if(is_keyed) as keyed",
+        "count_if(is_tagged) as tagged",
+        "count_if(is_tagged and not is_mv) as base_tagged_count",
+        *[f"count_if({rule}) as {n}" for rule, n in MEMBER_COUNTS.items()],
+        *[f"sum({c}) as {n}" for n, c in sums.items()],
+    ]
+    return members.groupBy("space_id").agg(*[F.expr(x) for x in aggregates])
 
 
 # ---- names behind the findings ----------------------------------------------------------------
@@ -149,25 +152,18 @@ def _place(a, b=None):
 def member_items(members: DataFrame) -> DataFrame:
     """One row per table and rule it falls under: ``space_id, rule_id, ord, item``."""
     named = {
-        "non_gold": F.concat(
-            "short",
-            F.when(F.col("layer_tag").isNotNull(), F.concat(F.lit(" (tagged: "), "layer_tag", F.lit(")"))).otherwise(""),
-        ),
-        "wide": F.concat("short", F.lit(" ("), F.col("n_cols").cast("string"), F.lit(" cols)")),
-        "thin_comment": F.concat(
-            F.lit("`"), "short", F.lit("` ("), F.length(X.strip(F.col("comment"))).cast("string"), F.lit(" chars)")
-        ),
-        "metric_views_in_space": F.lower("short"),
+        "non_gold": "concat(short, if(layer_tag is null, '', concat(' (tagged: ', layer_tag, ')')))",
+        "wide": "concat(short, ' (', n_cols, ' cols)')",
+        "thin_comment": "concat('`', short, '` (', length(trim(comment)), ' chars)')",
+        "metric_views_in_space": "lower(short)",
     }
-    items = X.kept(
-        *[
-            F.when(F.col(rule), F.struct(F.lit(rule).alias("rule_id"), named.get(rule, F.col("short")).alias("item")))
-            for rule in MEMBER_COUNTS
-        ]
-    )
-    return members.select("space_id", _place(F.col("ordinal")), F.explode(items).alias("x")).select(
-        "space_id", "x.rule_id", "ord", "x.item"
+    cases = ", ".join(
+        f"if({rule}, named_struct('rule_id', '{rule}', 'item', {named.get(rule, 'short')}), null)"
+        for rule in MEMBER_COUNTS
     )
+    return members.select(
+        "space_id", _place(F.col("ordinal")), F.expr(f"inline(filter(array({cases}), x -> x is not null))")
+    ).select("space_id", "rule_id", "ord", "item")
 
 
 COLUMN_RULES = ("generic", "coded", "date_string", "technical")
@@ -175,8 +171,8 @@ COLUMN_RULES = ("generic", "coded", "date_string", "technical")
 
 def column_items(columns: DataFrame) -> DataFrame:
     """One row per column and rule it falls under: ``table_id, rule_id, ordinal, name``."""
-    flags = metadata.column_flags()
-    hit = X.kept(*[F.when(flags[r], F.lit(r)) for r in COLUMN_RULES])
+    rules = metadata.column_rules()
+    hit = F.expr(present([(rules[r], r) for r in COLUMN_RULES]))
     return columns.select("table_id", "ordinal", "name", F.explode(hit).alias("rule_id"))
 
 
@@ -279,30 +275,31 @@ def instruction_facts(instructions: DataFrame) -> DataFrame:
     """Counts over all instructions of each space, from one pass over them."""
     kind = F.col("instruction_type")
     is_text, is_sql = kind == "TEXT_INSTRUCTION", kind == "SQL_INSTRUCTION"
-    is_expr, is_join = kind == "SQL_SNIPPET", kind == "FROM_SNIPPET"
+    is_join = kind == "FROM_SNIPPET"
     rows = instructions.select(
         "space_id",
         F.when(is_text, X.text_of(F.col("content"))).alias("text"),
         F.when(is_sql, X.text_of(F.col("content"))).alias("sql"),
         F.when(is_join, X.json_has_key(F.col("content"), "join")).alias("is_join"),
-        is_expr.alias("is_expr"),
     )
-    sql_rules, text_rules = C.sql_columns(F.col("sql")), C.text_columns(F.col("text"))
-    has_text, has_sql = F.col("text").isNotNull(), F.col("sql").isNotNull()
-    flags = [*R.SQL_PATTERNS, "has_param"]
-    linted = rows.select(
-        "space_id", "is_join", has_text.alias("is_text"), has_sql.alias("is_sql"),
-        *[F.when(has_sql, sql_rules[c]).alias(c) for c in [*flags, "hardcoded"]],
-        *[F.when(has_text, text_rules[m]).cast("bigint").alias(m) for m in C.TEXT_MEASURES],
-    )
-    return linted.groupBy("space_id").agg(
-        F.count_if("is_text").alias("text_count"),
-        F.count_if("is_sql").alias("sql"),
-        F.count_if("is_join").alias("join_count"),
-        F.count_if("hardcoded").alias("n_hardcoded"),
-        *[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in flags],
-        *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in C.TEXT_MEASURES],
+    sql_rules, text_rules = C.sql_rules(), C.text_rules()
+    linted = rows.selectExpr(
+        "space_id",
+        "is_join",
+        "text is not null as is_text",
+        "sql is not null as is_sql",
+        *[f"if(sql is not null, {rule}, null) as {name}" for name, rule in sql_rules.items()],
+        *[f"if(text is not null, cast({text_rules[m]} as bigint), null) as {m}" for m in C.TEXT_MEASURES],
     )
+    aggregates = [
+        "count_if(is_text) as text_count",
+        "count_if(is_sql) as sql",
+        "count_if(is_join) as join_count",
+        "count_if(hardcoded) as n_hardcoded",
+        *[f"coalesce(bool_or({c}), false) as {c}" for c in C.FLAGS],
+        *[f"coalesce(sum({m}), 0) as {m}" for m in C.TEXT_MEASURES],
+    ]
+    return linted.groupBy("space_id").agg(*[F.expr(x) for x in aggregates])
 
 
 def expression_facts(expressions: DataFrame) -> DataFrame:
@@ -316,16 +313,18 @@ def expression_facts(expressions: DataFrame) -> DataFrame:
 
 def question_facts(question_rows: DataFrame) -> DataFrame:
     """Counts over samples and benchmarks of each space, from one pass over them."""
-    sample = F.col("question_type") == "SAMPLE_QUESTION"
-    bench = F.col("question_type") == "BENCHMARK"
-    text = F.lower("question_text")
-    return question_rows.groupBy("space_id").agg(
-        F.count_if(sample).alias("samples"),
-        F.count_if(bench).alias("benchmarks"),
-        F.count_if(bench & X.is_blank(F.col("answer_text"))).alias("n_missing_gold"),
-        F.count_if(bench & R.HARDCODED_GOLD_SQL.hit(F.col("answer_text"))).alias("n_hardcoded_gold"),
-        *[F.bool_or(sample & rule.hit(text)).alias(n) for n, rule in R.QUESTION_PATTERNS.items()],
-    )
+    sample, bench = "question_type = 'SAMPLE_QUESTION'", "question_type = 'BENCHMARK'"
+    aggregates = [
+        f"count_if({sample}) as samples",
+        f"count_if({bench}) as benchmarks",
+        f"count_if({bench} and not coalesce(answer_text, '') rlike r'(?U)\\S') as n_missing_gold",
+        f"count_if({bench} and {R.HARDCODED_GOLD_SQL.hit_sql('answer_text')}) as n_hardcoded_gold",
+        *[
+            f"bool_or({sample} and {rule.hit_sql('lower(question_text)')}) as {n}"
+            for n, rule in R.QUESTION_PATTERNS.items()
+        ],
+    ]
+    return question_rows.groupBy("space_id").agg(*[F.expr(x) for x in aggregates])
 
 
 def question_joints(question_rows: DataFrame) -> DataFrame:
@@ -342,12 +341,6 @@ def _flag(df: DataFrame, name: str) -> DataFrame:
     return df.select("space_id").distinct().withColumn(name, F.lit(True))
 
 
-def all_items(estate: Estate, strict_compat: bool = False, k: int | None = None) -> DataFrame:
-    """Every name behind every finding; with ``k``, large lists are cut early to what messages show."""
-    parts = _Parts(estate, strict_compat)
-    return parts.items(k)
-
-
 class _Parts:
     """Intermediate tables that several outputs read."""
 
@@ -368,39 +361,42 @@ class _Parts:
             readers.explode_synonyms(self.expressions),
             joins.label_table(e.spaces.sparkSession),
         )
+        self.extra = extra_metric_views(e.space_tables, readers.metric_views(e.tables))
 
-    def items(self, k: int | None) -> DataFrame:
-        e = self.estate
-        spell = F.concat(
-            F.upper("abbrev"),
-            F.when(F.col("label").isNotNull(), F.concat(F.lit(" ("), "label", F.lit(")"))).otherwise(""),
-        )
-        unmapped = self.unmapped.select("space_id", F.lit("unmapped").alias("rule_id"), _place(F.lit(0)), spell.alias("item"))
-        uncovered = self.uncovered.join(e.space_tables, ["space_id", "table_id"]).select(
-            "space_id",
-            F.lit("uncovered").alias("rule_id"),
-            _place(F.col("ordinal")),
-            F.lower(X.short_name(F.col("table_id"))).alias("item"),
-        )
-        parts = [
-            member_items(self.members),
-            space_column_items(e, k),
-            sql_items(self.sqls, self.unknown),
-            text_items(self.texts),
-            gold_items(e.questions),
-            unmapped,
-            uncovered,
-            extra_metric_views(e.space_tables, readers.metric_views(e.tables)),
-        ]
-        return reduce(lambda a, b: a.unionByName(b), parts)
+
+def space_items(estate: Estate, strict_compat: bool = False) -> DataFrame:
+    """Every name behind the findings of a space: ``space_id, rule_id, ord, item``.
+
+    Columns are not repeated for each space of their table; they are in :func:`column_items`.
+    """
+    e, parts = estate, _Parts(estate, strict_compat)
+    nowhere = "named_struct('a', 0L, 'b', 0L) as ord"
+    spelled = "concat(upper(abbrev), if(label is null, '', concat(' (', label, ')'))) as item"
+    uncovered = parts.uncovered.join(e.space_tables, ["space_id", "table_id"]).select(
+        "space_id",
+        F.lit("uncovered").alias("rule_id"),
+        _place(F.col("ordinal")),
+        F.lower(X.short_name(F.col("table_id"))).alias("item"),
+    )
+    tables = [
+        member_items(parts.members),
+        sql_items(parts.sqls, parts.unknown),
+        text_items(parts.texts),
+        gold_items(e.questions),
+        parts.unmapped.selectExpr("space_id", "'unmapped' as rule_id", nowhere, spelled),
+        uncovered,
+        parts.extra,
+    ]
+    return reduce(lambda a, b: a.unionByName(b), tables)
 
 
-def space_facts(estate: Estate, strict_compat: bool = False, with_names: bool = True) -> DataFrame:
+def space_facts(estate: Estate, strict_compat: bool = False, items: DataFrame | None = None) -> DataFrame:
     """One wide row per space; spaces without tables, instructions or questions are there with zeros.
 
-    ``with_names=False`` leaves out the names that messages show, which scores do not need.
+    ``items``, the table made by :func:`space_items` and written beforehand, adds the names that messages
+    show. Scores do without.
     """
-    e, parts = estate, _Parts(estate, strict_compat)
+    e = estate
     spaces = e.spaces.select("space_id", "title", X.text_of(F.col("description")).alias("description"), "warehouse_id")
     locked = readiness.locked_objects(e.acl)
     locked_warehouses = locked.where("object_type = 'warehouse'").select(
@@ -413,58 +409,76 @@ def space_facts(estate: Estate, strict_compat: bool = False, with_names: bool =
     locked_spaces = locked.where("object_type = 'space'").select(
         F.col("object_id").try_cast(spaces.schema["space_id"].dataType).alias("space_id")
     )
+    parts = _Parts(estate, strict_compat)
     pieces = [
         space_members(parts.members),
         curation.schema_spread(e.space_tables),
         instruction_facts(e.instructions),
         C.text_joint_hits(parts.texts).withColumnsRenamed({n: f"joint_{n}" for n in C.JOINED_RULES}),
         expression_facts(parts.expressions),
-        _count(parts.unknown, "n_unknown"),
         question_facts(e.questions),
         question_joints(e.questions),
-        _count(parts.uncovered, "n_uncovered"),
-        _count(parts.unmapped, "n_unmapped"),
         _flag(locked_spaces, "not_shared"),
         verdicts,
     ]
-    if with_names:
-        pieces.append(shown_names(parts.items(5)))
+    if items is None:
+        pieces += [
+            _count(parts.unknown, "n_unknown"),
+            _count(parts.uncovered, "n_uncovered"),
+            _count(parts.unmapped, "n_unmapped"),
+            _flag(parts.extra, "has_extra_views"),
+        ]
+    else:
+        pieces += [_item_counts(items), shown_names(items, space_column_items(e, 5))]
     wide = reduce(lambda a, b: a.join(b, "space_id", "left"), [per_warehouse, *pieces])
-    kept_null = {"is_serverless", "space_id", "title", "description", "warehouse_id"}
-    numbers = [f.name for f in wide.schema.fields if f.dataType.typeName() in ("long", "integer") and f.name not in kept_null]
-    flags = [f.name for f in wide.schema.fields if f.dataType.typeName() == "boolean" and f.name not in kept_null]
-    wide = wide.na.fill(0, numbers).na.fill(False, flags)
-    for name in C.JOINED_RULES:
-        wide = wide.withColumn(name, F.col(name) + F.col(f"joint_{name}"))
-    for name in R.QUESTION_PATTERNS:
-        wide = wide.withColumn(name, F.col(name) | F.col(f"joint_{name}"))
-    if not with_names:
-        wide = wide.withColumn("shown", F.expr("cast(map() as map<string, array<string>>)"))
-    return wide.withColumns(
-        {
-            "base_count": F.col("table_count") - F.col("mv_count"),
-            "pct": metadata.coverage_pct(F.col("described"), F.col("total_cols")),
-            "sections": C.sections_expr(),
-            "has_directives": F.col("directives") > 0,
-            "is_dump": F.col("schema_hits") >= R.SCHEMA_DUMP_FROM,
-            "n_inline": F.col("inline_sql"),
-            "n_emphatic": F.col("emphatic"),
-            "n_long": F.col("long"),
-        }
-    ).drop(
-        *[f"joint_{n}" for n in [*C.JOINED_RULES, *R.QUESTION_PATTERNS]],
-        *C.SECTION_COLUMNS.values(),
-        "inline_sql",
-        "emphatic",
-        "long",
+    return _completed(wide, with_names=items is not None)
+
+
+def _item_counts(items: DataFrame) -> DataFrame:
+    """The counts that only the items tell, in one pass over them."""
+    counted = {"unknown_tables": "n_unknown", "uncovered": "n_uncovered", "unmapped": "n_unmapped"}
+    return items.groupBy("space_id").agg(
+        *[F.expr(f"count_if(rule_id = '{rule}')").alias(n) for rule, n in counted.items()],
+        F.expr("bool_or(rule_id = 'metric_views_extra')").alias("has_extra_views"),
     )
 
 
-def shown_names(items: DataFrame) -> DataFrame:
+def _completed(wide: DataFrame, with_names: bool) -> DataFrame:
+    """Defaults for spaces that lack an input, joints added in, and the columns derived from others."""
+    defaults = {"long": "0", "integer": "0", "boolean": "false"}
+    own = ("space_id", "title", "description", "warehouse_id", "is_serverless")
+    joint = [*C.JOINED_RULES, *R.QUESTION_PATTERNS]
+    skipped = {f"joint_{n}" for n in joint} | set(joint)
+    filled = []
+    for field in wide.schema.fields:
+        name, default = field.name, defaults.get(field.dataType.typeName())
+        if name in own or (default is None and name not in skipped):
+            filled.append(name)
+        elif name not in skipped:
+            filled.append(f"coalesce({name}, {default}) as {name}")
+    filled += [f"coalesce({n}, 0) + coalesce(joint_{n}, 0) as {n}" for n in C.JOINED_RULES]
+    filled += [f"coalesce({n}, false) or coalesce(joint_{n}, false) as {n}" for n in R.QUESTION_PATTERNS]
+    if not with_names:
+        filled.append("cast(map() as map<string, array<string>>) as shown")
+    return wide.selectExpr(*filled).selectExpr(
+        "*",
+        "table_count - mv_count as base_count",
+        "coalesce(try_divide(described, total_cols) * 100, 0.0) as pct",
+        f"{C.SECTIONS_FOUND} as sections",
+        "directives > 0 as has_directives",
+        f"schema_hits >= {R.SCHEMA_DUMP_FROM} as is_dump",
+        "inline_sql as n_inline",
+        "emphatic as n_emphatic",
+        "long as n_long",
+    ).drop(*C.SECTION_COLUMNS.values(), "inline_sql", "emphatic", "long")
+
+
+def shown_names(items: DataFrame, columns: DataFrame) -> DataFrame:
     """Per space, a map from rule to the first names it concerns; at most LIST_LIMIT names per rule."""
-    limits = F.create_map(*[F.lit(x) for pair in SHOWN.items() for x in pair])
-    limit = F.coalesce(F.try_element_at(limits, F.col("rule_id")), F.lit(LIST_LIMIT))
-    first = shown_items(items).withColumn("shown", F.slice("shown", F.lit(1), limit))
+    limits = " ".join(f"when '{rule}' then {k}" for rule, k in SHOWN.items())
+    first = shown_items(items.unionByName(columns)).selectExpr(
+        "space_id", "rule_id", f"slice(shown, 1, case rule_id {limits} else {LIST_LIMIT} end) as shown"
+    )
     return first.groupBy("space_id").agg(
         F.map_from_entries(F.collect_list(F.struct("rule_id", "shown"))).alias("shown")
     )

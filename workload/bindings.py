@@ -14,7 +14,7 @@ BINDINGS = {
             'w' || c_nationkey as warehouse_id
         from customer
         union all
-        select -s_suppkey as space_id, s_name as title, null as description, '' as warehouse_id from supplier
+        select -1 - s_suppkey as space_id, s_name as title, null as description, '' as warehouse_id from supplier
     """,
     "b_warehouses": """
         select 'w' || n_nationkey as warehouse_id,
@@ -53,7 +53,7 @@ BINDINGS = {
                 || case (c.ordinal + t.s_suppkey) % 24 when 0 then '_status' when 1 then '_cd' when 2 then '_amt'
                     when 3 then '_created_at' when 4 then '_id' when 5 then '_rm' when 6 then '_kpi' else '_name' end as name,
             case (c.ordinal + t.s_suppkey) % 48 when 3 then 'STRING' when 10 then 'DATE' else 'BIGINT' end as data_type,
-            case when c.ordinal % 10 >= 4 + t.s_suppkey % 9 then ''
+            case when c.ordinal % 10 >= case when t.s_suppkey % 13 = 0 then 0 else 4 + t.s_suppkey % 9 end then ''
                 when (c.ordinal + t.s_suppkey) % 4 = 0 then 'Status: A=Active, I=Inactive'
                 when c.ordinal % 4 = 1 then 'Primary key of the record' else 'Plain business description' end as comment
         from (
@@ -158,14 +158,14 @@ BINDINGS = {
     "b_audit": """
         select e.event_id, e.ts as event_time, 'u' || e.user_id as user_email,
             case e.event_id % 7 when 0 then 'other' else 'getTable' end as action_name, t.table_id as table_name
-        from events e join b_tables t on t.s_suppkey = 1 + e.event_id % 10
+        from events e join b_tables t on t.s_suppkey = e.event_id % 10
     """,
     "b_lineage": """
         select e.event_id, e.ts as event_time, t.table_id as source_table,
             case when e.user_id % 4 = 0 then null else u.table_id end as target_table
         from events e
-        join b_tables t on t.s_suppkey = 1 + e.event_id % 10
-        join b_tables u on u.s_suppkey = 1 + e.user_id % 10
+        join b_tables t on t.s_suppkey = e.event_id % 10
+        join b_tables u on u.s_suppkey = e.user_id % 10
     """,
     "b_metrics_mart": """
         select l_returnflag as metric_alias, l_shipdate as metric_date,

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import uuid
+from dataclasses import fields
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from spacegauge.operators import joins
 from spacegauge.plans.facts import Estate
+from spacegauge.session import shared_folder
 from spacegauge.sources import readers
 from workload.bindings import BINDINGS
 
@@ -107,18 +110,31 @@ class Data:
 
     @cached_property
     def estate(self) -> Estate:
-        return Estate(
-            spaces=self.spaces,
-            space_tables=self.space_tables,
-            tables=self.tables,
-            columns=self.columns,
-            table_tags=self.b_table_tags,
-            table_constraints=self.b_table_constraints,
-            table_grants=self.b_table_grants,
-            grant_status=self.b_grant_status,
-            acl=self.acl,
-            warehouses=self.b_warehouses,
-            instructions=self.b_instructions,
-            questions=self.questions,
-            description_verdicts=self.b_description_verdicts,
-        )
+        """All inputs of a full audit, as tables in the shared folder, which is how an audit finds them."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _INPUTS:
+            inputs = {
+                "spaces": self.spaces,
+                "space_tables": self.space_tables,
+                "tables": self.tables,
+                "columns": self.columns,
+                "table_tags": self.b_table_tags,
+                "table_constraints": self.b_table_constraints,
+                "table_grants": self.b_table_grants,
+                "grant_status": self.b_grant_status,
+                "acl": self.acl,
+                "warehouses": self.b_warehouses,
+                "instructions": self.b_instructions,
+                "questions": self.questions,
+                "description_verdicts": self.b_description_verdicts,
+            }
+            folder = f"{shared_folder(self.spark)}/inputs-{uuid.uuid4().hex}"
+            for name, df in inputs.items():
+                df.write.parquet(f"{folder}/{name}")
+            _INPUTS[key] = folder
+        folder = _INPUTS[key]
+        return Estate(**{f.name: self.spark.read.parquet(f"{folder}/{f.name}") for f in fields(Estate)})
+
+
+# Folder of the inputs written for each session and scale factor.
+_INPUTS: dict[tuple[str, str], str] = {}
