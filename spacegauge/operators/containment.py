@@ -5,61 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PAIR_LIMIT = 1_000_000  # needle-text pairs a single space may compare one by one
+TEXT_LIMIT = 1_000  # texts of one space that a string is compared with one by one
 PIECE = 1_000  # characters of text taken at a time where substrings are listed
 
 
 def contained(
-    needles: DataFrame, texts: DataFrame, key: str = "space_id", pair_limit: int = PAIR_LIMIT
+    needles: DataFrame, texts: DataFrame, key: str = "space_id", text_limit: int = TEXT_LIMIT
 ) -> DataFrame:
-    """``needles(key, needle)`` that are a substring of any of ``texts(key, text)``, distinct.
+    """Rows of ``needles`` whose ``needle`` is a substring of any of ``texts(key, text)`` of their space.
 
-    Spaces with few needle-text pairs compare them directly. Beyond ``pair_limit`` the texts are cut
-    into substrings as long as the space's needles and matched by equality, whose cost grows with the
-    length of the texts and not with needles times texts. Both ways are exact.
+    A string is compared with the texts of its space up to ``text_limit`` of them. In a space with more,
+    the texts are cut into substrings as long as the space's strings and matched by equality, whose cost
+    grows with the length of the texts and not with strings times texts. Both ways are exact.
     """
-    needles = needles.select(key, "needle").distinct()
     texts = texts.select(key, "text").where(F.col("text").isNotNull()).distinct()
-    loads = (
-        needles.groupBy(key)
-        .agg(F.count("*").alias("n_needles"), F.collect_set(F.length("needle")).alias("lengths"))
-        .join(texts.groupBy(key).agg(F.count("*").alias("n_texts")), key)
-    )
-    big = F.col("n_needles") * F.col("n_texts") > pair_limit
+    crowded = texts.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > text_limit).select(key)
+    few, many = texts.join(crowded, key, "left_anti"), texts.join(crowded, key, "left_semi")
 
-    small_texts = texts.join(loads.where(~big).select(key), key)
-    by_pair = (
-        needles.join(small_texts, key)
-        .where(F.contains("text", "needle"))
-        .select(key, "needle")
-    )
+    pair = (F.col(f"n.{key}") == F.col(f"t.{key}")) & F.contains(F.col("t.text"), F.col("n.needle"))
+    by_pair = needles.alias("n").join(few.alias("t"), pair, "left_semi")
 
-    longest = F.array_max("lengths")
-    pieces = texts.join(loads.where(big).select(key, "lengths"), key).select(
+    lengths = (
+        needles.join(crowded, key, "left_semi")
+        .groupBy(key)
+        .agg(F.collect_set(F.length("needle")).alias("lengths"))
+    )
+    pieces = many.join(lengths, key).selectExpr(
         key,
         "lengths",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(0), F.length("text"), F.lit(PIECE)),
-                lambda at: F.substring(F.col("text"), at + 1, PIECE + longest),
-            )
-        ).alias("piece"),
+        f"explode(transform(sequence(0, length(text), {PIECE}), "
+        f"at -> substring(text, at + 1, {PIECE} + array_max(lengths)))) as piece",
     )
-    grams = pieces.select(
+    grams = pieces.selectExpr(
         key,
-        F.explode(
-            F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        F.filter("lengths", lambda n: n <= F.length("piece")),
-                        lambda n: F.transform(
-                            F.sequence(F.lit(1), F.length("piece") - n + 1),
-                            lambda at: F.substring(F.col("piece"), at, n),
-                        ),
-                    )
-                )
-            )
-        ).alias("needle"),
-    )
-    by_gram = needles.join(grams.distinct(), [key, "needle"], "left_semi")
-    return by_pair.unionByName(by_gram).distinct()
+        "explode(array_distinct(flatten(transform(filter(lengths, n -> n <= length(piece)), "
+        "n -> transform(sequence(1, length(piece) - n + 1), at -> substring(piece, at, n)))))) as needle",
+    ).distinct()
+    by_gram = needles.join(grams, [key, "needle"], "left_semi").select(*needles.columns)
+    return by_pair.unionByName(by_gram)

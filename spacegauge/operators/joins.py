@@ -109,19 +109,22 @@ def label_abbrevs(abbrevs: DataFrame, labels: DataFrame) -> DataFrame:
     return abbrevs.join(F.broadcast(labels), "abbrev", "left")
 
 
-def covered_abbrevs(abbrevs: DataFrame, labels: DataFrame, space_text: DataFrame, **limits) -> DataFrame:
-    """Whether an abbreviation, or its full term, occurs in the texts of its space."""
-    labelled = label_abbrevs(abbrevs.select("space_id", "abbrev").distinct(), labels)
+def mentioned_abbrevs(abbrevs: DataFrame, labels: DataFrame, space_text: DataFrame, **limits) -> DataFrame:
+    """Rows of ``abbrevs(space_id, abbrev)`` that occur, themselves or by full term, in their space's texts."""
     full_term = F.trim(F.element_at(F.split(F.lower("label"), "/"), 1))
-    needles = labelled.select(
+    needles = label_abbrevs(abbrevs, labels).select(
         "space_id", "abbrev", F.explode(X.kept(F.col("abbrev"), full_term)).alias("needle")
     )
     texts = space_text.select("space_id", F.lower("text").alias("text"))
-    hits = contained(needles, texts, **limits).withColumn("hit", F.lit(1))
-    return (
-        needles.join(hits, ["space_id", "needle"], "left")
-        .groupBy("space_id", "abbrev")
-        .agg(F.max("hit").isNotNull().alias("covered"))
+    return contained(needles, texts, **limits).select("space_id", "abbrev")
+
+
+def covered_abbrevs(abbrevs: DataFrame, labels: DataFrame, space_text: DataFrame, **limits) -> DataFrame:
+    """Whether an abbreviation, or its full term, occurs in the texts of its space."""
+    distinct = abbrevs.select("space_id", "abbrev").distinct()
+    hits = mentioned_abbrevs(distinct, labels, space_text, **limits).distinct()
+    return distinct.join(hits.withColumn("hit", F.lit(True)), ["space_id", "abbrev"], "left").select(
+        "space_id", "abbrev", F.col("hit").isNotNull().alias("covered")
     )
 
 
@@ -134,13 +137,8 @@ def name_variants(space_tables: DataFrame) -> DataFrame:
 def question_mentions(variants: DataFrame, questions: DataFrame, **limits) -> DataFrame:
     """Tables that some question of their space mentions by any form of their name."""
     texts = questions.select("space_id", F.lower("question_text").alias("text"))
-    hits = contained(variants.select("space_id", F.col("variant").alias("needle")), texts, **limits)
-    return (
-        variants.withColumnRenamed("variant", "needle")
-        .join(hits, ["space_id", "needle"], "left_semi")
-        .select("space_id", "table_id")
-        .distinct()
-    )
+    needles = variants.withColumnRenamed("variant", "needle")
+    return contained(needles, texts, **limits).select("space_id", "table_id").distinct()
 
 
 def attach_recommendations(area_scores: DataFrame, recommendations: DataFrame) -> DataFrame:

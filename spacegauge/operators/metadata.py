@@ -171,8 +171,10 @@ def unmapped_abbrevs(
         .unionByName(synonyms.select("space_id", F.col("synonym").alias("text")))
         .unionByName(between)
     )
-    covered = J.covered_abbrevs(abbrevs, labels, texts, **limits)
-    return J.label_abbrevs(covered.where(~F.col("covered")), labels).select("space_id", "abbrev", "label")
+    mentioned = J.mentioned_abbrevs(abbrevs, labels, texts, **limits)
+    return J.label_abbrevs(abbrevs.join(mentioned, ["space_id", "abbrev"], "left_anti"), labels).select(
+        "space_id", "abbrev", "label"
+    )
 
 
 # ---- digests ----------------------------------------------------------------------------------
