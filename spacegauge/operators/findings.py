@@ -274,17 +274,29 @@ def finding(facts: DataFrame, rule_id: str) -> DataFrame:
     return facts.where(rule.applies).selectExpr("space_id", f"{rule.message} as message")
 
 
-def _found(rules: Sequence[Finding], with_message: bool = True) -> str:
-    """Array of the findings that apply, numbered."""
-    message = (lambda f: f", 'message', {f.message}") if with_message else (lambda f: "")
-    cases = ", ".join(
-        f"case when {f.applies} then named_struct('rule_id', {quote(f.rule_id)}{message(f)}) end" for f in rules
-    )
-    kept = f"filter(array({cases}), x -> x is not null)"
-    carried = ", 'message', x.message" if with_message else ""
-    return (
-        f"transform({kept}, (x, i) -> named_struct('area', {rules[0].area}, 'seq', i + 1, 'rule_id', x.rule_id{carried}))"
-    )
+def _exploded(facts: DataFrame, rules: Sequence[Finding], with_message: bool) -> DataFrame:
+    """Findings that apply, numbered within their area.
+
+    Which rules apply is kept as one bit each, so that a message is made only where it is said and its
+    number is the count of bits up to its own.
+    """
+    areas = {f.area: [g for g in rules if g.area == f.area] for f in rules}
+    bits = [
+        " + ".join(f"if({f.applies}, {1 << i}L, 0L)" for i, f in enumerate(group)) + f" as applies_{area}"
+        for area, group in areas.items()
+    ]
+    rows = []
+    for area, group in areas.items():
+        for i, f in enumerate(group):
+            number = f"bit_count(applies_{area} & {(2 << i) - 1}L)"
+            said = f"applies_{area} & {1 << i}L != 0"
+            message = f", 'message', if({said}, {f.message}, null)" if with_message else ""
+            rows.append(
+                f"named_struct('area', {area}, 'seq', {number}, "
+                f"'rule_id', if({said}, {quote(f.rule_id)}, null){message})"
+            )
+    marked = facts.selectExpr("*", *bits)
+    return marked.selectExpr("space_id", f"inline(array({', '.join(rows)}))").where("rule_id is not null")
 
 
 def area_findings(
@@ -292,13 +304,12 @@ def area_findings(
 ) -> DataFrame:
     """Findings of one area, numbered in rule order; ``only`` limits the rules to those named."""
     rules = [f for f in RULES if f.area == area and (only is None or f.rule_id in only)]
-    return facts.selectExpr("space_id", f"inline({_found(rules, with_message)})")
+    return _exploded(facts, rules, with_message)
 
 
 def findings(facts: DataFrame, with_message: bool = True) -> DataFrame:
     """Findings of all areas: ``space_id, area, seq, rule_id, message``."""
-    areas = ", ".join(_found([f for f in RULES if f.area == a], with_message) for a in R.AREAS)
-    return facts.selectExpr("space_id", f"inline(concat({areas}))")
+    return _exploded(facts, RULES, with_message)
 
 
 def messages(area: int) -> str:

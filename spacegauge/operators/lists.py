@@ -25,14 +25,14 @@ def ranked(df: DataFrame, partition: Sequence[str], order: Sequence, k: int, nam
     return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= k)
 
 
-def shown_items(items: DataFrame, k: int = LIST_LIMIT, order: Sequence[str] = ("ord", "item")) -> DataFrame:
-    """``items(space_id, rule_id, ord, item)`` -> first ``k`` names per space and rule as an array."""
+def shown_items(items: DataFrame, k: int = LIST_LIMIT, order: Sequence[str] = ("ord", "sub", "item")) -> DataFrame:
+    """``items(space_id, rule_id, ord, sub, item)`` -> first ``k`` names per space and rule as an array."""
     top = ranked(items, ["space_id", "rule_id"], order, k)
-    pairs = F.array_sort(F.collect_list(F.struct("rank", "item")))
+    pairs = F.sort_array(F.collect_list(F.struct("rank", "item")))
     return top.groupBy("space_id", "rule_id").agg(F.transform(pairs, lambda p: p["item"]).alias("shown"))
 
 
-def first_k(items: DataFrame, k: int, order: Sequence[str] = ("ord", "item")) -> DataFrame:
+def first_k(items: DataFrame, k: int, order: Sequence[str] = ("ord", "sub", "item")) -> DataFrame:
     """First ``k`` names per space and rule, with the number of names left out."""
     totals = items.groupBy("space_id", "rule_id").agg(F.count("*").alias("n"))
     return (

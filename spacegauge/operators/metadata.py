@@ -196,7 +196,7 @@ def column_digest(columns: DataFrame, k: int = 15, width: int = 60) -> DataFrame
 
     def entries(kind: int, sep: str) -> Column:
         picked = F.collect_list(F.when(F.col("described") == kind, F.struct("rank", "entry")))
-        return F.array_join(F.transform(F.array_sort(picked), lambda p: p["entry"]), sep)
+        return F.array_join(F.transform(F.sort_array(picked), lambda p: p["entry"]), sep)
 
     return first.groupBy("table_id").agg(
         F.coalesce(F.nullif(entries(1, "; "), F.lit("")), entries(0, ", ")).alias("digest")

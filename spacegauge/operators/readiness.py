@@ -52,6 +52,7 @@ def missing_key_findings(space_tables: DataFrame, constraints: DataFrame, k: int
         "space_id",
         F.lit("missing_keys").alias("rule_id"),
         F.col("ordinal").alias("ord"),
+        F.lit(0).alias("sub"),
         X.short_name(F.col("table_id")).alias("item"),
     )
     return first_k(items, k).select("space_id", F.col("shown").alias("tables"), "n_more")
@@ -164,6 +165,7 @@ def metric_view_findings(split_metric_views: DataFrame, k_in: int = 100, k_extra
         "space_id",
         F.when(F.col("in_space"), "metric_views_in_space").otherwise("metric_views_extra").alias("rule_id"),
         F.lit(0).alias("ord"),
+        F.lit(0).alias("sub"),
         X.short_name(F.col("full_name")).alias("item"),
     )
     held = first_k(items.where("rule_id = 'metric_views_in_space'"), k_in)

@@ -73,7 +73,7 @@ def verdict(area_scores: DataFrame) -> DataFrame:
 def blockers_of(area_scores: DataFrame) -> DataFrame:
     """Names of the critical areas that score 1, in order of area; at most three per space."""
     poor = (F.col("score") == 1) & F.col("area").isin(*R.BLOCKER_AREAS)
-    picked = F.array_sort(F.collect_list(F.when(poor, F.struct("area", area_name(F.col("area")).alias("name")))))
+    picked = F.sort_array(F.collect_list(F.when(poor, F.struct("area", area_name(F.col("area")).alias("name")))))
     return area_scores.groupBy("space_id").agg(F.transform(picked, lambda p: p["name"]).alias("blockers"))
 
 

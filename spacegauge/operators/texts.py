@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spacegauge.functions.rules import Rule
 
-JOINT_CHARS = 400  # text kept on each side of a joint; far longer than any rule spans
+JOINT_CHARS = 200  # text kept on each side of a joint; far longer than any rule spans
 CHUNK = 4096  # consecutive order values per group, hence at most that many texts in a group
 
 
@@ -72,10 +72,9 @@ def joints(texts: DataFrame, key: str, order: str, text: str, sep: str, chunk: i
 def joint_hits(rule: Rule, sep: str) -> Column:
     """Hits of a rule that span the joint: those of both sides together, less those of each side."""
     gap = {"\n": "\\n"}.get(sep, sep)
-    whole = f"concat(before, '{gap}', after)"
-    return F.expr(
-        f"greatest({rule.count_sql(whole)} - {rule.count_sql('before')} - {rule.count_sql('after')}, 0)"
-    )
+    whole = rule.count_sql(f"concat(before, '{gap}', after)")
+    sides = f"{rule.count_sql('before')} - {rule.count_sql('after')}"
+    return F.expr(f"if({whole} = 0, 0, greatest({whole} - {sides}, 0))")
 
 
 def space_text(
@@ -84,7 +83,7 @@ def space_text(
     """All texts of a space as one text, in order; assembled from chunks of neighbouring texts."""
 
     def join_ordered(col: str, pos: str) -> Column:
-        pairs = F.array_sort(F.collect_list(F.struct(pos, col)))
+        pairs = F.sort_array(F.collect_list(F.struct(pos, col)))
         return F.array_join(F.transform(pairs, lambda p: p[col]), sep)
 
     rows = texts.select(

@@ -142,15 +142,18 @@ def space_members(members: DataFrame) -> DataFrame:
 
 
 # ---- names behind the findings ----------------------------------------------------------------
-def _place(a, b=None):
-    return F.struct(
-        F.coalesce(a.cast("bigint"), F.lit(0)).alias("a"),
-        (F.lit(0) if b is None else F.coalesce(b.cast("bigint"), F.lit(0))).cast("bigint").alias("b"),
-    ).alias("ord")
+ITEM_COLUMNS = ["space_id", "rule_id", "ord", "sub", "item"]
+
+
+def _items(df: DataFrame, rule: str, item: str, order: str = "0", sub: str = "0") -> DataFrame:
+    """Rows as items: the rule they fall under, their place (two whole numbers) and their name."""
+    return df.selectExpr(
+        "space_id", f"{rule} as rule_id", f"cast({order} as bigint) as ord", f"cast({sub} as bigint) as sub", f"{item} as item"
+    )
 
 
 def member_items(members: DataFrame) -> DataFrame:
-    """One row per table and rule it falls under: ``space_id, rule_id, ord, item``."""
+    """One row per table and rule it falls under, as items."""
     named = {
         "non_gold": "concat(short, if(layer_tag is null, '', concat(' (tagged: ', layer_tag, ')')))",
         "wide": "concat(short, ' (', n_cols, ' cols)')",
@@ -161,9 +164,8 @@ def member_items(members: DataFrame) -> DataFrame:
         f"if({rule}, named_struct('rule_id', '{rule}', 'item', {named.get(rule, 'short')}), null)"
         for rule in MEMBER_COUNTS
     )
-    return members.select(
-        "space_id", _place(F.col("ordinal")), F.expr(f"inline(filter(array({cases}), x -> x is not null))")
-    ).select("space_id", "rule_id", "ord", "item")
+    hits = members.selectExpr("space_id", "ordinal", f"inline(array({cases}))").where("rule_id is not null")
+    return _items(hits, "rule_id", "item", "ordinal")
 
 
 COLUMN_RULES = ("generic", "coded", "date_string", "technical")
@@ -186,46 +188,26 @@ def space_column_items(estate: Estate, k: int | None = None) -> DataFrame:
         items = ranked(items, ["table_id", "rule_id"], ["ordinal"], k).drop("rank")
     readable = estate.tables.where("error is null").select("table_id")
     members = estate.space_tables.select("space_id", "table_id", F.col("ordinal").alias("t"))
-    return (
-        items.join(readable, "table_id", "left_semi")
-        .join(members, "table_id")
-        .select(
-            "space_id",
-            "rule_id",
-            _place(F.col("t"), F.col("ordinal")),
-            F.concat(X.short_name(F.col("table_id")), F.lit("."), "name").alias("item"),
-        )
-    )
+    placed = items.join(readable, "table_id", "left_semi").join(members, "table_id")
+    return _items(placed, "rule_id", "concat(element_at(split(table_id, '[.]'), -1), '.', name)", "t", "ordinal")
 
 
 def sql_items(sqls: DataFrame, unknown: DataFrame) -> DataFrame:
     """Titles of SQL with hardcoded values, and of SQL that reads unknown tables with what it reads."""
-    hardcoded = C.hardcoded_sqls(sqls).select(
-        "space_id", F.lit("hardcoded_sql").alias("rule_id"), _place(F.col("sql_id")), X.text_of(F.col("title")).alias("item")
-    )
     titled = unknown.join(sqls.select("space_id", "sql_id", "title"), ["space_id", "sql_id"])
-    foreign = titled.select(
-        "space_id",
-        F.lit("unknown_tables").alias("rule_id"),
-        _place(F.col("sql_id")),
-        F.concat(F.lit('"'), F.substring(X.text_of(F.col("title")), 1, 40), F.lit('" reads `'), "ref", F.lit("`")).alias("item"),
+    reads = "concat('\"', substring(coalesce(title, ''), 1, 40), '\" reads `', ref, '`')"
+    return _items(C.hardcoded_sqls(sqls), "'hardcoded_sql'", "coalesce(title, '')", "sql_id").unionByName(
+        _items(titled, "'unknown_tables'", reads, "sql_id")
     )
-    return hardcoded.unionByName(foreign)
 
 
 def text_items(texts: DataFrame) -> DataFrame:
-    blocks = C.text_blocks(texts)
-    return blocks.select("space_id", F.col("kind").alias("rule_id"), _place(F.col("ordinal")), F.col("title").alias("item"))
+    return _items(C.text_blocks(texts), "kind", "title", "ordinal")
 
 
 def gold_items(question_rows: DataFrame) -> DataFrame:
     rows = questions.benchmarks(question_rows).where(R.HARDCODED_GOLD_SQL.hit(F.col("answer_text")))
-    return rows.select(
-        "space_id",
-        F.lit("hardcoded_gold").alias("rule_id"),
-        _place(F.col("question_id")),
-        F.substring("question_text", 1, 50).alias("item"),
-    )
+    return _items(rows, "'hardcoded_gold'", "substring(question_text, 1, 50)", "question_id")
 
 
 def extra_metric_views(
@@ -258,16 +240,10 @@ def extra_metric_views(
     whole = (
         per_schema.where(F.col("m") > most_held).join(metric_views, "schema_id").select("space_id", "full_name")
     )
-    return (
-        by_rank.unionByName(whole)
-        .join(held.select("space_id", "full_name"), ["space_id", "full_name"], "left_anti")
-        .select(
-            "space_id",
-            F.lit("metric_views_extra").alias("rule_id"),
-            _place(F.lit(0)),
-            X.short_name(F.col("full_name")).alias("item"),
-        )
+    others = by_rank.unionByName(whole).join(
+        held.select("space_id", "full_name"), ["space_id", "full_name"], "left_anti"
     )
+    return _items(others, "'metric_views_extra'", "element_at(split(full_name, '[.]'), -1)")
 
 
 # ---- instructions and questions ---------------------------------------------------------------
@@ -365,26 +341,20 @@ class _Parts:
 
 
 def space_items(estate: Estate, strict_compat: bool = False) -> DataFrame:
-    """Every name behind the findings of a space: ``space_id, rule_id, ord, item``.
+    """Every name behind the findings of a space: ``space_id, rule_id, ord, sub, item``.
 
     Columns are not repeated for each space of their table; they are in :func:`column_items`.
     """
     e, parts = estate, _Parts(estate, strict_compat)
-    nowhere = "named_struct('a', 0L, 'b', 0L) as ord"
-    spelled = "concat(upper(abbrev), if(label is null, '', concat(' (', label, ')'))) as item"
-    uncovered = parts.uncovered.join(e.space_tables, ["space_id", "table_id"]).select(
-        "space_id",
-        F.lit("uncovered").alias("rule_id"),
-        _place(F.col("ordinal")),
-        F.lower(X.short_name(F.col("table_id"))).alias("item"),
-    )
+    spelled = "concat(upper(abbrev), if(label is null, '', concat(' (', label, ')')))"
+    uncovered = parts.uncovered.join(e.space_tables, ["space_id", "table_id"])
     tables = [
         member_items(parts.members),
         sql_items(parts.sqls, parts.unknown),
         text_items(parts.texts),
         gold_items(e.questions),
-        parts.unmapped.selectExpr("space_id", "'unmapped' as rule_id", nowhere, spelled),
-        uncovered,
+        _items(parts.unmapped, "'unmapped'", spelled),
+        _items(uncovered, "'uncovered'", "lower(element_at(split(table_id, '[.]'), -1))", "ordinal"),
         parts.extra,
     ]
     return reduce(lambda a, b: a.unionByName(b), tables)

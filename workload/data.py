@@ -129,8 +129,10 @@ class Data:
                 "description_verdicts": self.b_description_verdicts,
             }
             folder = f"{shared_folder(self.spark)}/inputs-{uuid.uuid4().hex}"
+            spread = self.spark.sparkContext.defaultParallelism
             for name, df in inputs.items():
-                df.write.parquet(f"{folder}/{name}")
+                # Text rules are heavy on the processor, so every input is spread over several files.
+                df.repartition(spread).write.parquet(f"{folder}/{name}")
             _INPUTS[key] = folder
         folder = _INPUTS[key]
         return Estate(**{f.name: self.spark.read.parquet(f"{folder}/{f.name}") for f in fields(Estate)})
