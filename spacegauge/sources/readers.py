@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from spacegauge.functions import rules as R
 from spacegauge.functions import text as X
@@ -18,14 +17,14 @@ from spacegauge.operators.usage import sample_audit, since
 FORMATS = ("parquet", "orc", "json", "csv")
 
 
-def load(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
+def load(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
     """Read files of a known schema; a JSON record that cannot be read keeps its text in ``error``."""
     if fmt not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}, not {fmt!r}")
     reader = spark.read.schema(schema)
     if fmt == "json":
         reader = reader.option("mode", "PERMISSIVE")
-        if "error" in schema.names:
+        if "error STRING" in schema:
             reader = reader.option("columnNameOfCorruptRecord", "error")
     elif fmt == "csv":
         reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
