@@ -7,43 +7,47 @@ joint of neighbouring texts are added from short cuts around each joint.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spacegauge.functions.rules import Rule
 
 JOINT_CHARS = 200  # text kept on each side of a joint; far longer than any rule spans
-CHUNK = 4096  # consecutive order values per group, hence at most that many texts in a group
+CHUNK = 1 << 16  # consecutive order values per group, hence at most that many short cuts in a group
+JOIN_CHUNK = 4096  # consecutive order values whose whole texts are joined at a time
 
 
-def _suffix(text: Column) -> Column:
-    return F.when(
-        F.length(text) > JOINT_CHARS, F.regexp_replace(F.right(text, F.lit(JOINT_CHARS)), r"^\S*", "")
-    ).otherwise(text)
+def _suffix(text: str) -> str:
+    """The end of a text, cut at white space, as SQL."""
+    return f"if(length({text}) > {JOINT_CHARS}, regexp_replace(right({text}, {JOINT_CHARS}), r'^\\S*', ''), {text})"
 
 
-def _prefix(text: Column) -> Column:
-    return F.when(
-        F.length(text) > JOINT_CHARS, F.regexp_replace(F.left(text, F.lit(JOINT_CHARS)), r"\S*$", "")
-    ).otherwise(text)
+def _prefix(text: str) -> str:
+    """The start of a text, cut at white space, as SQL."""
+    return f"if(length({text}) > {JOINT_CHARS}, regexp_replace(left({text}, {JOINT_CHARS}), r'\\S*$', ''), {text})"
 
 
-def _linked(blocks: DataFrame, part: list[str], order: str, sep: str) -> DataFrame:
-    window = Window.partitionBy(*part).orderBy(order)
-
-    def lag(n: int) -> Column:
-        return F.lag("tail", n).over(window)
+def _grouped(blocks: DataFrame, part: list[str], sep: str) -> DataFrame:
+    """The blocks of each group in order, with how the group opens and closes."""
+    cuts = F.sort_array(F.collect_list(F.struct("pos", "head", "tail")))
+    opening = f"concat_ws('{sep}', slice(cuts.head, 1, 3))"
+    closing = f"concat_ws('{sep}', slice(cuts.tail, greatest(1, size(cuts) - 2), 3))"
+    return (
+        blocks.groupBy(*part)
+        .agg(cuts.alias("cuts"))
+        .selectExpr(*part, "cuts", f"{_prefix(opening)} as head", f"{_suffix(closing)} as tail")
+    )
 
-    def lead(n: int) -> Column:
-        return F.lead("head", n).over(window)
 
-    return blocks.withColumns(
-        {
-            "before": F.when(lag(1).isNotNull(), _suffix(F.concat_ws(sep, lag(3), lag(2), lag(1)))),
-            "opening": _prefix(F.concat_ws(sep, F.col("head"), lead(1), lead(2))),
-            "closing": _suffix(F.concat_ws(sep, lag(2), lag(1), F.col("tail"))),
-        }
+def _joints(groups: DataFrame, key: str, sep: str) -> DataFrame:
+    """Both sides of each joint within a group; up to three blocks before it, as they may be short."""
+    sides = (
+        "transform(sequence(2, size(cuts)), i -> named_struct("
+        f"'before', concat_ws('{sep}', slice(cuts.tail, greatest(1, i - 3), least(3, i - 1))), "
+        "'after', cuts[i - 1].head))"
     )
+    pairs = groups.where("size(cuts) > 1").selectExpr(key, f"inline({sides})")
+    return pairs.selectExpr(key, f"{_suffix('before')} as before", "after")
 
 
 def joints(texts: DataFrame, key: str, order: str, text: str, sep: str, chunk: int = CHUNK) -> DataFrame:
@@ -52,21 +56,18 @@ def joints(texts: DataFrame, key: str, order: str, text: str, sep: str, chunk: i
     ``order`` is a whole number, unique per key. Neighbours are found within chunks of the order first
     and between chunks second, so a key with very many texts is spread over many tasks.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    blocks = texts.select(
+    gap = {"\n": "\\n"}.get(sep, sep)
+    body = f"coalesce({text}, '')"
+    blocks = texts.selectExpr(
         key,
-        F.col(order).cast("bigint").alias("pos"),
-        F.floor(F.col(order) / chunk).alias("chunk"),
-        _prefix(body).alias("head"),
-        _suffix(body).alias("tail"),
-    )
-    inner = _linked(blocks, [key, "chunk"], "pos", sep)
-    chunks = inner.groupBy(key, "chunk").agg(
-        F.min_by("opening", "pos").alias("head"), F.max_by("closing", "pos").alias("tail")
+        f"cast({order} as bigint) as pos",
+        f"cast(floor({order} / {chunk}) as bigint) as chunk",
+        f"{_prefix(body)} as head",
+        f"{_suffix(body)} as tail",
     )
-    outer = _linked(chunks, [key], "chunk", sep)
-    sides = [key, "before", F.col("head").alias("after")]
-    return inner.select(*sides).unionByName(outer.select(*sides)).where(F.col("before").isNotNull())
+    within = _grouped(blocks, [key, "chunk"], gap)
+    between = _grouped(within.selectExpr(key, "chunk as pos", "head", "tail"), [key], gap)
+    return _joints(within, key, gap).unionByName(_joints(between, key, gap))
 
 
 def joint_hits(rule: Rule, sep: str) -> Column:
@@ -89,7 +90,7 @@ def space_text(
     rows = texts.select(
         key,
         F.col(order).alias("pos"),
-        F.floor(F.col(order) / CHUNK).alias("chunk"),
+        F.floor(F.col(order) / JOIN_CHUNK).alias("chunk"),
         F.coalesce(F.col(text), F.lit("")).alias("part"),
     )
     parts = rows.groupBy(key, "chunk").agg(join_ordered("part", "pos").alias("piece"))
