@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spacegauge.functions.rules import Rule
 
-JOINT_CHARS = 200  # text kept on each side of a joint; far longer than any rule spans
+JOINT_CHARS = 100  # text kept on each side of a joint; far longer than any rule spans
 CHUNK = 1 << 16  # consecutive order values per group, hence at most that many short cuts in a group
 JOIN_CHUNK = 4096  # consecutive order values whose whole texts are joined at a time
 

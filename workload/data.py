@@ -133,10 +133,12 @@ class Data:
             for name, df in inputs.items():
                 # Text rules are heavy on the processor, so every input is spread over several files.
                 df.repartition(spread).write.parquet(f"{folder}/{name}")
-            _INPUTS[key] = folder
-        folder = _INPUTS[key]
-        return Estate(**{f.name: self.spark.read.parquet(f"{folder}/{f.name}") for f in fields(Estate)})
+            _INPUTS[key] = folder, {name: df.schema for name, df in inputs.items()}
+        folder, schemas = _INPUTS[key]
+        return Estate(
+            **{f.name: self.spark.read.schema(schemas[f.name]).parquet(f"{folder}/{f.name}") for f in fields(Estate)}
+        )
 
 
-# Folder of the inputs written for each session and scale factor.
-_INPUTS: dict[tuple[str, str], str] = {}
+# Folder and schemas of the inputs written for each session and scale factor.
+_INPUTS: dict[tuple[str, str], tuple[str, dict]] = {}

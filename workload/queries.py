@@ -83,12 +83,12 @@ def scored(d: Data) -> DataFrame:
 
 
 def bare(d: Data) -> DataFrame:
-    """Scores without the names that only messages show."""
-    return A.scored_facts(d.estate)
+    """Scores without the names that only messages show, staged because many rules read them."""
+    return A.staged(A.scored_facts(d.estate), "facts")
 
 
 def areas(d: Data) -> DataFrame:
-    return S.area_scores(bare(d))
+    return S.area_scores(A.scored_facts(d.estate))
 
 
 COUNTS = "table_count, join_count, keyed, tagged, sql, samples, benchmarks"
