@@ -104,10 +104,6 @@ DEFECTS = present(
 )
 
 
-def missing_patterns_expr() -> Column:
-    return F.expr(PATTERNS_MISSING)
-
-
 def alignment_gaps_expr() -> Column:
     return F.expr(GAPS)
 

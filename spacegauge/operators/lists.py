@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LIST_LIMIT = 100  # names a message may carry; every item stays in the items table
@@ -41,18 +41,6 @@ def first_k(items: DataFrame, k: int, order: Sequence[str] = ("ord", "sub", "ite
     )
 
 
-def listing(shown: Column, total: Column, k: int | None = None, sep: str = ", ", quote: bool = False) -> Column:
-    """Render names as ``a, b, c (+N more)``; ``k=None`` shows all the array holds."""
-    names = shown if k is None else F.slice(shown, 1, k)
-    if quote:
-        names = F.transform(names, lambda x: F.concat(F.lit("`"), x, F.lit("`")))
-    more = total - F.size(names)
-    return F.concat(
-        F.array_join(names, sep),
-        F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(" more)"))).otherwise(""),
-    )
-
-
 def lag_value(df: DataFrame, dims: Sequence[str], period: str, metric: str) -> DataFrame:
     """Value of the previous period within each series."""
     window = Window.partitionBy(*dims).orderBy(period)

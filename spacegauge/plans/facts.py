@@ -142,9 +142,6 @@ def space_members(members: DataFrame) -> DataFrame:
 
 
 # ---- names behind the findings ----------------------------------------------------------------
-ITEM_COLUMNS = ["space_id", "rule_id", "ord", "sub", "item"]
-
-
 def _items(df: DataFrame, rule: str, item: str, order: str = "0", sub: str = "0") -> DataFrame:
     """Rows as items: the rule they fall under, their place (two whole numbers) and their name."""
     return df.selectExpr(

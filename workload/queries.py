@@ -34,7 +34,7 @@ from spacegauge.sources import readers as SRC
 from spacegauge.sources import sinks
 from spacegauge.streaming import coaccess
 from workload.data import Data
-from workload.oracle_base import FLAG_NAMES, SECTIONS, STRING_TYPES, cnt, compose, has, lit, names, pat
+from workload.oracle_base import FLAG_NAMES, SECTIONS, cnt, compose, has, lit, names, pat
 
 AS_OF, DAYS = "2024-01-31", 14
 YEAR = ("1996-01-01", "1997-01-01")
@@ -235,8 +235,6 @@ add("jn07_question_mentions", lambda d: J.question_mentions(J.name_variants(d.sp
 PAIRS_SQL = """select a."user", a.day, a.table_name as table_a, b.table_name as table_b from o_recent a
     join o_recent b on b."user" = a."user" and b.day = a.day and a.table_name < b.table_name"""
 add("jn08_session_pairs", lambda d: U.session_pairs(sessions(d)), PAIRS_SQL)
-# jn09 joins scores with next steps; it is added below, beside the conditions of the steps.
-ENTRIES["jn09_attach_recommendations"] = (scored, None)
 add("jn10_label_abbrevs", lambda d: J.label_abbrevs(ST.distinct_tokens(d.columns).select(F.col("token").alias("abbrev")).distinct(), d.labels),
     "select distinct token as abbrev, label from o_tokens left join o_labels on abbrev = token")
 add("jn11_external_grants", lambda d: J.external_grants(d.b_table_grants, d.tables), "select table_id, ext as has_external_grant from o_ext")
@@ -478,7 +476,6 @@ add("fn11_line_count", lambda d: d.b_instructions.select("space_id", "ordinal",
     r"select space_id, ordinal, len(string_split(regexp_replace(content, '\n\z', ''), chr(10))) as n from b_instructions")
 add("fn12_json", lambda d: d.b_instructions.select("space_id", "ordinal", X.json_has_key(F.col("content"), "join").alias("has_join_key")),
     "select space_id, ordinal, case when json_valid(content) then coalesce(list_contains(json_keys(content), 'join'), false) else false end as has_join_key from b_instructions")
-LABEL_MAP = "map {" + ", ".join(f"{lit(a)}: {lit(b)}" for a, b in R.ABBREVIATION_LABELS.items()) + "}"
 add("fn13_map_lookup", lambda d: ST.distinct_tokens(d.columns).select("table_id", "token", F.try_element_at(F.create_map(*[F.lit(x) for p in R.ABBREVIATION_LABELS.items() for x in p]), F.col("token")).alias("label")),
     "select table_id, token, label from o_tokens left join o_labels on abbrev = token")
 add("fn14_arithmetic", lambda d: d.orders.select("o_orderkey", F.greatest(F.lit(1), F.floor(F.col("o_orderkey") / 2)).alias("half"), F.least(F.col("o_custkey"), F.col("o_orderkey")).alias("least"), F.try_divide(F.col("o_custkey"), F.col("o_orderkey") % 3).alias("safe")),
@@ -664,7 +661,8 @@ def step_counts(d: Data, area: int) -> DataFrame:
 
 
 ALL_STEPS_SQL = " union all ".join(steps_sql(a) for a in R.AREAS)
-ENTRIES["jn09_attach_recommendations"] = (
+add(
+    "jn09_attach_recommendations",
     lambda d: (lambda s: J.attach_recommendations(S.area_scores(s), RC.area_items(s)).groupBy("space_id", "area", "score").agg(F.count("item").alias("n_items")))(bare(d)),
     f"select a.space_id, a.area, a.score, coalesce(n.n_items, 0) as n_items from o_areas a left join ({ALL_STEPS_SQL}) n on n.space_id = a.space_id and n.area = a.area",
 )
