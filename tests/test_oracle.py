@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from workload.queries import ENTRIES
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -15,8 +16,8 @@ REPEATS = {
     "vd01_verdict", "rc09_needs_domain_split", "cf10_text_findings", "snk01_scorecard", "snk03_recommendations",
     "rc01_severity", "rc02_readiness_items", "rc05_configuration_items",
 }
-ORACLE = entry_points.oracle_sql()
-QUERIES = entry_points.queries()
+ORACLE = {k: v for k, v in entry_points.oracle_sql().items() if k in ENTRIES}
+QUERIES = {k: v for k, v in entry_points.queries().items() if k in ENTRIES}
 
 
 @pytest.fixture(scope="module")
