@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spacegauge.llm import cascade
-from spacegauge.llm.tables import staged, table
+from spacegauge.llm.tables import ship, staged, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that no quality rule rejects."""
+    ship(spark)
     return cascade.keep(docs)
 
 

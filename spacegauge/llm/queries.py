@@ -2,21 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spacegauge.llm import cascade, debruijn
-from spacegauge.llm.tables import table
+from spacegauge.llm import cascade, debruijn, jaccard, kneser_ney, token_files
+from spacegauge.llm.tables import new_folder, table
+
+
+def _remainder(divisor: int) -> Column:
+    """The remainder of doc_id's CRC-32; a null doc_id counts as the empty text."""
+    return F.coalesce(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(0)) % divisor
 
 
 def op3_debruijn_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.judged(table(spark, sf_dir, "documents"))
 
 
+def op4_kneser_ney_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return kneser_ney.perplexities(docs.select("doc_id", "text", (_remainder(10) == 0).alias("held_out")))
+
+
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_debruijn_substring_dedup, op7_quality_cascade)}
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = new_folder(spark, "tokens")
+    token_files.write(token_files.encoded(docs, public_tokenizers.path("word_bpe_49k.json")), folder)
+    return token_files.placed(spark, folder)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_debruijn_substring_dedup,
+        op4_kneser_ney_scoring,
+        op7_quality_cascade,
+        op8_ngram_jaccard_join,
+        op10_token_files,
+    )
+}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -33,6 +65,22 @@ ORACLES = {
             sha256(coalesce(array_to_string(list_filter(w, (x, i) -> not list_contains(coalesce(gone, []), i)), ' '), ''))
                 as kept_sha256
         from words left join lists using (r)""",
+    "op8_ngram_jaccard_join": rf"""
+        with recursive words as (select doc_id, row_number() over () as r, {_WORDS} as w from documents),
+        grams as (
+            select distinct r, array_to_string(w[p : p + 4], ' ') as g
+            from words, unnest(range(1, greatest(len(w) - 3, 2))) as t(p) where len(w) > 0),
+        sizes as (select r, count(*) as n from grams group by r),
+        shared as (select a.r as a, b.r as b, count(*) as n from grams a join grams b using (g) where a.r != b.r group by all),
+        links as (
+            select a, b, shared.n = x.n and x.n = y.n as same from shared
+            join sizes x on x.r = a join sizes y on y.r = b where 9 * shared.n >= 4 * (x.n + y.n)),
+        reach as (select r as a, r as b from words union select reach.a, links.b from reach join links on reach.b = links.a),
+        least as (select a as r, min(doc_id) as class_id from reach join words on b = r group by a),
+        copies as (select a as r, min(doc_id) as d from links join words on b = r where same group by a),
+        counts as (select a as r, count(*) as n from links group by a)
+        select doc_id, class_id, least(doc_id, coalesce(copies.d, doc_id)) as copy_id, coalesce(counts.n, 0)::bigint as n_links
+        from words join least using (r) left join copies using (r) left join counts using (r)""",
     "op7_quality_cascade": rf"""
         with words as (select doc_id, row_number() over () as r, coalesce(text, '') as text, {_WORDS} as w from documents),
         places as (select r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as tri, i <= len(w) - 2 as whole

@@ -2,14 +2,38 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+import spacegauge
 from spacegauge.session import shared_folder
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python, once per application, where it may not be installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = os.path.dirname(os.path.abspath(spacegauge.__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spacegauge-"), "spacegauge-package.zip")
+    with zipfile.ZipFile(archive, "w") as files:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    files.write(path, os.path.relpath(path, os.path.dirname(top)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
