@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spacegauge.llm import cascade, debruijn, jaccard, kneser_ney, token_files
+from spacegauge.llm import cascade, debruijn, jaccard, kneser_ney, qda, ring, token_files
 from spacegauge.llm.tables import new_folder, table
 
 
@@ -15,6 +15,11 @@ def _remainder(divisor: int) -> Column:
     return F.coalesce(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(0)) % divisor
 
 
+def op2_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = ring.sharded(table(spark, sf_dir, "documents"), shards=40)
+    return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op3_debruijn_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.judged(table(spark, sf_dir, "documents"))
 
@@ -32,6 +37,12 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scores = qda.scored(docs, labels.withColumn("train", _remainder(4) != 2), "quality")
+    return scores.withColumn("held_out", _remainder(4) == 2)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = new_folder(spark, "tokens")
@@ -42,10 +53,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_bounded_ring,
         op3_debruijn_substring_dedup,
         op4_kneser_ney_scoring,
         op7_quality_cascade,
         op8_ngram_jaccard_join,
+        op9_quality_discriminant,
         op10_token_files,
     )
 }
