@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spacegauge.llm import cascade, debruijn, jaccard, kneser_ney, qda, ring, token_files
+from spacegauge.llm import cascade, debruijn, jaccard, kneser_ney, mixing, pieces, qda, ring, token_files
 from spacegauge.llm.tables import new_folder, table
 
 
@@ -29,6 +29,19 @@ def op4_kneser_ney_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.perplexities(docs.select("doc_id", "text", (_remainder(10) == 0).alias("held_out")))
 
 
+#: Domains by label: fit text, poor text, toxic text; and the tokens each is to have, as shares of all.
+DOMAIN = "case when toxic = 1 then 2 when quality = 0 then 1 when quality = 1 then 0 end"
+TARGETS = (0.97, 0.0, 0.03)
+
+
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.expr(DOMAIN), TARGETS)
+
+
+def op6_streaming_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.verdicts(table(spark, sf_dir, "documents"))
 
@@ -56,6 +69,8 @@ QUERIES = {
         op2_bounded_ring,
         op3_debruijn_substring_dedup,
         op4_kneser_ney_scoring,
+        op5_soft_mixing,
+        op6_streaming_pieces,
         op7_quality_cascade,
         op8_ngram_jaccard_join,
         op9_quality_discriminant,
