@@ -22,7 +22,7 @@ have any names; a null key is a key like any other; an empty table gives an empt
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -65,11 +65,11 @@ def sampled(t: Texts, span: int, k: int) -> tuple[np.ndarray, ...]:
     return edges[place], path, start, count
 
 
-def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Key, text, and a number of the text; rows that agree in all three have the same result."""
-    return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).withColumn(
-        "text_no", F.hash("text")
-    )
+def _rows(df: DataFrame, key: str, text: str, carry: list[str]) -> DataFrame:
+    """Key, text, a number of the text, and other columns; rows that agree in the first three have the same result."""
+    rest = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry))) if carry else F.lit(None).cast("int")
+    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), rest.alias("rest"))
+    return rows.withColumn("text_no", F.hash("text"))
 
 
 def _with(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -96,6 +96,7 @@ def edges(rows: DataFrame, span: int, k: int) -> DataFrame:
                 ["key", "text_no", "edge", "path", "start", "windows"],
             )
 
+    rows = rows.select("key", "text", "text_no")
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(found, f"key {kind}, text_no int, edge long, path long, start int, windows int")
 
@@ -107,31 +108,31 @@ def _covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def _without(text: bytes, t: Texts, row: int, gone: np.ndarray) -> str:
-    """SHA-256 of the kept words of a text, joined by single blanks."""
+def _without(text: str | None, t: Texts, row: int, gone: np.ndarray) -> bytes:
+    """The kept words of a text, joined by single blanks."""
+    raw, base = (text or "").encode(), t.offsets[row]
     lo, hi = t.first_word[row], t.first_word[row + 1]
-    if not gone.any():
-        kept = b" ".join(text.split())
-    else:
-        base = t.offsets[row]
-        starts, ends = (t.starts[lo:hi] - base)[~gone].tolist(), (t.ends[lo:hi] - base)[~gone].tolist()
-        kept = b" ".join([text[a:b] for a, b in zip(starts, ends, strict=True)])
-    return kept
-
+    starts, ends = (t.starts[lo:hi] - base)[~gone].tolist(), (t.ends[lo:hi] - base)[~gone].tolist()
+    return b" ".join([raw[a:b] for a, b in zip(starts, ends, strict=True)])
 
-def _kept_words(text: str | None) -> bytes:
-    return b"" if text is None else text.encode()
 
+def judged(
+    df: DataFrame, span: int = SPAN, k: int = K, key: str = "doc_id", text: str = "text", texts: bool = False, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Per row: ``key``, ``n_words``, ``n_removed``, ``kept_sha256`` (of the kept words joined by blanks).
 
-def judged(df: DataFrame, span: int = SPAN, k: int = K, key: str = "doc_id", text: str = "text", texts: bool = False):
-    """Per row: ``key``, ``n_words``, ``n_removed``, ``kept_sha256``, and with ``texts`` the kept words as ``text``."""
-    rows = _rows(df, key, text)
+    With ``texts`` also ``kept``: those words, or the text as it was if none is removed. ``rest`` is a struct of the
+    columns named by ``carry`` (fields c0, c1, ...).
+    """
+    rows = _rows(df, key, text, list(carry))
     found = edges(rows, span, k)
-    shared = (
+    # Written, so that the joins read two plain shuffles, of which adaptive execution can split the hot partitions.
+    shared = staged(
         found.groupBy("edge")
         .agg(F.count("*").alias("n"), F.min("path").alias("lo"), F.max("path").alias("hi"))
         .filter("n > 1")
-        .select("edge", F.expr("lo != hi").alias("branches"))
+        .select("edge", F.expr("lo != hi").alias("branches")),
+        "edges",
     )
     places = (
         found.join(shared, "edge")
@@ -143,6 +144,7 @@ def judged(df: DataFrame, span: int = SPAN, k: int = K, key: str = "doc_id", tex
     )
     kind = rows.schema["key"].dataType.simpleString()
     pair = "array<struct<start:int,windows:int>>"
+    rest = rows.schema["rest"].dataType.simpleString()
     result = "n_words long, n_removed long, kept_sha256 string, kept string"
 
     def counts(t: Texts, batch: pa.RecordBatch, covered) -> list:
@@ -150,8 +152,10 @@ def judged(df: DataFrame, span: int = SPAN, k: int = K, key: str = "doc_id", tex
         for row, value in enumerate(batch.column(1)):
             n = int(t.n_words[row])
             gone = covered(row, n)
-            kept = _without(_kept_words(value.as_py()), t, row, gone)
-            out.append((n, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None))
+            whole = value.as_py()
+            kept = _without(whole, t, row, gone)
+            result = (kept.decode() if gone.any() else whole) if texts else None
+            out.append((n, int(gone.sum()), hashlib.sha256(kept).hexdigest(), result))
         return out
 
     def spans(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,24 +207,25 @@ def judged(df: DataFrame, span: int = SPAN, k: int = K, key: str = "doc_id", tex
                     pa.compute.if_else(pending, batch.column(1).cast(pa.string()), blank),
                     batch.column(3),
                     listed,
+                    batch.column(5),
                     *(pa.array([d[i] for d in done], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))),
                 ],
-                ["key", "text_no", "pending", "text", "paths", "listed", "n_words", "n_removed", "kept_sha256", "kept"],
+                ["key", "text_no", "pending", "text", "paths", "listed", "rest", "n_words", "n_removed", "kept_sha256", "kept"],
             )
 
-    joined = _with(rows, places).select("key", "text", "text_no", "paths", "branching")
+    joined = _with(rows, places).select("key", "text", "text_no", "paths", "branching", "rest")
     halfway = staged(
         joined.mapInArrow(
             first_pass,
             f"key {kind}, text_no int, pending boolean, text string, paths {pair}, "
-            f"listed array<struct<h1:long,h2:long,start:int>>, {result}",
+            f"listed array<struct<h1:long,h2:long,start:int>>, rest {rest}, {result}",
         ),
         "spans",
         "pending",
     )
     pending = halfway.filter("pending")
     windows = pending.select("key", "text_no", F.inline("listed"))
-    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    twice = staged(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "windows")
     repeated = windows.join(twice, ["h1", "h2"]).groupBy("key", "text_no").agg(F.collect_set("start").alias("starts"))
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,17 +240,28 @@ def judged(df: DataFrame, span: int = SPAN, k: int = K, key: str = "doc_id", tex
 
             done = counts(t, batch, both)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)]
+                [batch.column(0), batch.column(4)]
                 + [pa.array([d[i] for d in done], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))],
-                ["key", "n_words", "n_removed", "kept_sha256", "kept"],
+                ["key", "rest", "n_words", "n_removed", "kept_sha256", "kept"],
             )
 
-    rest = (
+    finished = (
         _with(pending, repeated)
-        .select("key", "text", "paths", "starts")
-        .mapInArrow(second_pass, f"key {kind}, {result}")
+        .select("key", "text", "paths", "starts", "rest")
+        .mapInArrow(second_pass, f"key {kind}, rest {rest}, {result}")
     )
-    names = ["key", "n_words", "n_removed", "kept_sha256", "kept"]
-    out = halfway.filter("not pending").select(names).unionByName(rest)
-    out = out.withColumnRenamed("key", key)
-    return out.withColumnRenamed("kept", "text") if texts else out.drop("kept")
+    out = halfway.filter("not pending").select("key", "rest", "n_words", "n_removed", "kept_sha256", "kept")
+    dropped = ([] if carry else ["rest"]) + ([] if texts else ["kept"])
+    return out.unionByName(finished).drop(*dropped).withColumnRenamed("key", key)
+
+
+def removed(df: DataFrame, span: int = SPAN, k: int = K, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` with all their columns, and ``text`` without its repeated spans.
+
+    A text that loses words becomes its kept words joined by blanks; one that loses all is left out with its row.
+    """
+    carry = [c for c in df.columns if c not in (key, text)]
+    out = judged(df, span, k, key, text, texts=True, carry=carry).filter("n_removed = 0 or n_removed < n_words")
+    columns = {c: F.col(f"rest.c{i}").alias(c) for i, c in enumerate(carry)}
+    columns |= {key: F.col(f"`{key}`"), text: F.col("kept").cast(df.schema[text].dataType).alias(text)}
+    return out.select(*(columns[c] for c in df.columns))

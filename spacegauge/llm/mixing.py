@@ -164,6 +164,11 @@ def _rates(p: np.ndarray, residuals: Sequence[np.ndarray], ridge: float) -> tupl
     return rate, point
 
 
+def _copies(rate: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """The rate rounded up or down by a row's hash, in the proportion of its fraction."""
+    return np.floor(rate + (mix(draw.view(np.uint64)) >> np.uint64(11)) / 2.0**53).astype(np.int64)
+
+
 def _sums(members: DataFrame, values) -> np.ndarray:
     """The sums over all rows of what ``values`` gives for a batch's tokens and probabilities."""
 
@@ -215,8 +220,7 @@ def mixed(df: DataFrame, labels: DataFrame, domain: Column, targets: Sequence[fl
         for batch in batches:
             if batch.num_rows:
                 rate, _ = _rates(_matrix(batch.column(3)), residuals, RIDGE)
-                luck = (mix(batch.column(4).to_numpy().view(np.uint64)) >> np.uint64(11)) / 2.0**53
-                copies = pa.array(np.floor(rate + luck).astype(np.int32))
+                copies = pa.array(_copies(rate, batch.column(4).to_numpy()).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i) for i in range(4)), pa.array(rate), copies],
                     ["key", "text_no", "n_tokens", "p", "rate", "copies"],
@@ -230,14 +234,21 @@ def mixed(df: DataFrame, labels: DataFrame, domain: Column, targets: Sequence[fl
 
 
 def resampled(df: DataFrame, labels: DataFrame, domain: Column, targets: Sequence[float], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df``, each as often as its copies say, with all their columns."""
-    rates = mixed(df, labels, domain, targets, key, text).select(F.col(f"`{key}`").alias("their_key"), F.col("text_no").alias("their_no"), "copies")
-    rates = rates.groupBy("their_key", "their_no").agg(F.max("copies").alias("copies"))
-    number, times = spare_name(df, "text_no"), spare_name(df, "times")
-    rates = rates.withColumnsRenamed({"copies": times, "their_key": spare_name(df, "their_key"), "their_no": spare_name(df, "their_no")})
-    rate_key, rate_no = rates.columns[0], rates.columns[1]
-    rows = df.withColumn(number, F.xxhash64(F.col(f"`{text}`").cast("string")))
-    joined = rows.join(rates, F.col(f"`{key}`").eqNullSafe(F.col(rate_key)) & (F.col(number) == F.col(rate_no)))
-    copy = spare_name(df, "copy")
-    joined = joined.filter(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
-    return joined.select(*(F.col(f"`{c}`") for c in df.columns))
+    """The rows of ``df``, each as often as its copies say, with all their columns.
+
+    The probabilities are computed again where the texts are, which spares a shuffle of the texts.
+    """
+    model = fitted(df, labels, domain, len(targets), key, text)
+    residuals, _ = fit_rates(staged(memberships(df, model, key, text), "memberships"), targets)
+    draw = spare_name(df, "draw")
+
+    def repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, text):
+            column = batch.column(batch.schema.get_field_index(text))
+            p = model(*_features(Texts(column), model.buckets), statistics(column))
+            copies = _copies(_rates(p, residuals, RIDGE)[0], batch.column(batch.num_columns - 1).to_numpy())
+            rows = batch.take(pa.array(np.repeat(np.arange(len(copies)), copies)))
+            yield rows.select(rows.schema.names[:-1])
+
+    rows = df.withColumn(draw, F.xxhash64(F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`").cast("string"))))
+    return rows.mapInArrow(repeat, df.schema)

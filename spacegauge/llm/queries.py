@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spacegauge.llm import cascade, debruijn, jaccard, kneser_ney, mixing, pieces, qda, ring, token_files
+from spacegauge.llm import cascade, debruijn, hnsw, jaccard, kneser_ney, mixing, pieces, qda, ring, token_files
 from spacegauge.llm.tables import new_folder, table
 
 
@@ -15,6 +15,10 @@ def _remainder(divisor: int) -> Column:
     return F.coalesce(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(0)) % divisor
 
 
+def op1_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = ring.sharded(table(spark, sf_dir, "documents"), shards=40)
     return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
@@ -66,6 +70,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_hnsw_search,
         op2_bounded_ring,
         op3_debruijn_substring_dedup,
         op4_kneser_ney_scoring,
