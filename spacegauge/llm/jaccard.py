@@ -43,9 +43,9 @@ def bands_and_rows(threshold: float, recall: float, most: int = HASHES) -> tuple
     fits = []
     for rows in range(1, most + 1):
         miss = 1 - threshold**rows
-        bands = 1 if miss <= 0 else math.ceil(math.log(1 - recall) / math.log(miss))
-        if bands * rows <= most:
-            fits.append((bands, rows))
+        if 0 < miss < 1:
+            fits.append((math.ceil(math.log(1 - recall) / math.log(miss)), rows))
+    fits = [(bands, rows) for bands, rows in fits if bands * rows <= most]
     if not fits:
         raise ValueError(f"no banding of {most} hashes reaches a recall of {recall} at {threshold}")
     return max(fits, key=lambda x: x[1])

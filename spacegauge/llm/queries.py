@@ -95,7 +95,7 @@ ORACLES = {
         gone as (select distinct r, p + i as p from repeated, unnest(range(35)) as t(i)),
         lists as (select r, list(p) as gone from gone group by r)
         select doc_id, len(w)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
-            sha256(coalesce(array_to_string(list_filter(w, (x, i) -> not list_contains(coalesce(gone, []), i)), ' '), ''))
+            sha256(coalesce(array_to_string(list_filter(w, lambda x, i: not list_contains(coalesce(gone, []), i)), ' '), ''))
                 as kept_sha256
         from words left join lists using (r)""",
     "op8_ngram_jaccard_join": rf"""
@@ -130,8 +130,8 @@ ORACLES = {
                 length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
                 coalesce(lines.n - lines.d, 0)::bigint as n_dup_lines, coalesce(repeats.n, 0)::bigint as n_repeat_words,
                 coalesce(lines.n, 0) as n_lines,
-                len(list_filter(w, x -> regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) as n_letter_words,
-                len(list_filter(w, x -> regexp_matches(x, '[A-Z]') and not regexp_matches(x, '[a-z]'))) as n_shouted_words
+                len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) as n_letter_words,
+                len(list_filter(w, lambda x: regexp_matches(x, '[A-Z]') and not regexp_matches(x, '[a-z]'))) as n_shouted_words
             from words left join lines using (r) left join repeats using (r)),
         judged as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counts)
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

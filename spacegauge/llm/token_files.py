@@ -82,7 +82,7 @@ class WordEncoder:
         """The numbers of distinct units, after encoding those not yet known."""
         words = units.to_pylist()
         known = self.known
-        new = [(w, a) for w, a in zip(words, pc.utf8_is_alpha(units).to_pylist(), strict=True) if w not in known]
+        new = [(w, a) for w, a in zip(words, pc.and_not(pc.utf8_is_alpha(units), pc.match_substring(units, "\u0130")).to_pylist(), strict=True) if w not in known]
         for part, encode in (([w for w, a in new if a], self._letters), ([w for w, a in new if not a], self._library)):
             if part:
                 for w, ids in zip(part, encode(part), strict=True):
@@ -100,7 +100,9 @@ class WordEncoder:
         at = words.indices.to_numpy().astype(np.int64)
         lower = pc.ascii_lower(words.dictionary)
         stem = pc.ascii_rtrim(lower, characters=_PUNCTUATION)
-        stem = pc.if_else(pc.utf8_is_alpha(stem), stem, lower)  # else the whole word is one unit
+        # The one letter whose lower case isn't letters only must not be cut from what follows; nor anything else.
+        plain = pc.and_not(pc.utf8_is_alpha(stem), pc.match_substring(stem, "\u0130"))
+        stem = pc.if_else(plain, stem, lower)
         rest = pa.array([w[len(s) :] for w, s in zip(lower.to_pylist(), stem.to_pylist(), strict=True)], pa.string())
         units = [x.dictionary_encode() for x in (stem, rest)]
         numbers = [self._units(u.dictionary)[u.indices.to_numpy()] for u in units]
