@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,9 +12,29 @@ from pyspark.sql import functions as F
 LIST_LIMIT = 100  # names a message may carry; every item stays in the items table
 
 
-def number_rows(df: DataFrame, partition: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Number the rows of each partition from 1 in the given order, as ``seq``."""
-    return df.withColumn("seq", F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
+NUMBERED = 1 << 16  # rows of one key that are numbered in one task, where the order is even
+
+
+def number_rows(df: DataFrame, partition: Sequence[str], order: Sequence[str], size: int = NUMBERED) -> DataFrame:
+    """Number the rows of each partition from 1 in the given order, as ``seq``.
+
+    The range of a key's first order column, a whole number, is split into as many parts as it has times ``size``
+    rows. Rows are numbered within parts, and each part starts where those before it end, so a key that holds most of
+    the rows is spread over many tasks.
+    """
+    first = F.col(order[0]).cast("double")
+    same = [F.col(c).eqNullSafe(F.col(f"their_{c}")) for c in partition]
+    theirs = [F.col(c).alias(f"their_{c}") for c in partition]
+    spans = df.groupBy(*theirs).agg(F.min(first).alias("lo"), F.max(first).alias("hi"), F.ceil(F.count("*") / size).alias("parts"))
+    width = (F.col("hi") - F.col("lo") + 1) / F.col("parts")
+    part = F.coalesce(F.floor((first - F.col("lo")) / width), F.lit(-1)).alias("part")  # null comes first
+    rows = df.join(spans, reduce(and_, same)).select(*df.columns, part)
+    sizes = rows.groupBy(*theirs, F.col("part").alias("their_part")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*(f"their_{c}" for c in partition)).orderBy("their_part")) - F.col("n")
+    starts = sizes.select(*(f"their_{c}" for c in partition), "their_part", before.alias("before"))
+    numbered = rows.withColumn("seq", F.row_number().over(Window.partitionBy(*partition, "part").orderBy(*order)))
+    numbered = numbered.join(starts, reduce(and_, [*same, F.col("part") == F.col("their_part")]))
+    return numbered.select(*df.columns, (F.col("seq") + F.col("before")).alias("seq"))
 
 
 def ranked(df: DataFrame, partition: Sequence[str], order: Sequence, k: int, name: str = "rank") -> DataFrame:

@@ -153,7 +153,7 @@ def unmapped_abbrevs(
 ) -> DataFrame:
     """Abbreviations in column names that neither a synonym nor an instruction of the space explains.
 
-    ``space_text(space_id, text)`` and ``synonyms(space_id, pos, synonym)`` hold one text per row. A full
+    ``space_text(space_id, text)`` and ``synonyms(space_id, ordinal, place, synonym)`` hold one text per row. A full
     term of several words may be spread over consecutive synonyms, which the joints between them cover.
     """
     tokens = sets.distinct_tokens(columns)
@@ -163,9 +163,10 @@ def unmapped_abbrevs(
         .select("space_id", F.col("token").alias("abbrev"))
         .distinct()
     )
-    between = joints(synonyms, "space_id", "pos", "synonym", " ").select(
-        "space_id", F.concat_ws(" ", "before", "after").alias("text")
-    )
+    words = max(len(term.split()) for term in R.ABBREVIATION_LABELS.values())
+    between = joints(
+        synonyms, "space_id", ["ordinal", "place"], "synonym", " ", max(words - 1, 1), skip_blank=False
+    ).select("space_id", F.concat("before", F.lit(" "), "after").alias("text"))
     texts = (
         space_text.select("space_id", "text")
         .unionByName(synonyms.select("space_id", F.col("synonym").alias("text")))

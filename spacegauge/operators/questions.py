@@ -47,8 +47,9 @@ def benchmark_findings(counts: DataFrame) -> DataFrame:
 def question_joint_asks(sample_questions: DataFrame) -> DataFrame:
     """Wording that only shows where two neighbouring questions meet."""
     sides = joints(
-        sample_questions.withColumn("text", F.lower("question_text")), "space_id", "question_id", "text", " "
-    )
+        sample_questions.withColumn("text", F.lower("question_text")), "space_id", ["question_id"], "text", " ",
+        skip_blank=False,
+    )
     return sides.select(
         "space_id", *[(joint_hits(rule, " ") > 0).alias(n) for n, rule in R.QUESTION_PATTERNS.items()]
     )

@@ -1,97 +1,100 @@
 """Ordered texts of a space: joining them, and finding what spans two of them.
 
-Rules are defined on the texts of a space joined in order. Building that joined text just to count in
-it would put a whole space into one row, so hits are counted per text and the few that straddle the
-joint of neighbouring texts are added from short cuts around each joint.
+Rules are defined on the texts of a space joined in order. Building that joined text just to count in it would put a
+whole space into one row, so hits are counted per text, and those that span neighbours are added from what stands
+around each joint: the last words before it and the first after it, however long these and the blanks between them are.
+
+A rule of ``n`` words spans a joint with at most ``n`` - 1 words on each side, so that many are kept. Where a text has
+fewer, the words before it are added, from as many texts as there can be words. Texts find their neighbours by number
+(:func:`spacegauge.operators.lists.number_rows`), so no group holds more than ``n`` rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spacegauge.functions.rules import Rule
+from spacegauge.operators.lists import number_rows
 
-JOINT_CHARS = 100  # text kept on each side of a joint; far longer than any rule spans
-CHUNK = 1 << 16  # consecutive order values per group, hence at most that many short cuts in a group
-JOIN_CHUNK = 4096  # consecutive order values whose whole texts are joined at a time
-
+WORDS = 2  # words kept on each side: one less than the longest rule that can span a joint has
+PIECE_TEXTS = 4096  # texts that are joined into one piece
 
-def _suffix(text: str) -> str:
-    """The end of a text, cut at white space, as SQL."""
-    return f"if(length({text}) > {JOINT_CHARS}, regexp_replace(right({text}, {JOINT_CHARS}), r'^\\S*', ''), {text})"
 
+def _tail(words: int, group: int) -> str:
+    """The end of ``text`` as SQL, read backwards: the last words, and their line's start if only marks precede them."""
+    pattern = rf"(?U)^\\s*(?:\\S+(?:\\s+\\S+){{0,{words - 1}}})?([\\s*\\-•]*(?:\\n|\\z))?"
+    return f"regexp_extract(reverse(text), '{pattern}', {group})"
 
-def _prefix(text: str) -> str:
-    """The start of a text, cut at white space, as SQL."""
-    return f"if(length({text}) > {JOINT_CHARS}, regexp_replace(left({text}, {JOINT_CHARS}), r'\\S*$', ''), {text})"
 
-
-def _grouped(blocks: DataFrame, part: list[str], sep: str) -> DataFrame:
-    """The blocks of each group in order, with how the group opens and closes."""
-    cuts = F.sort_array(F.collect_list(F.struct("pos", "head", "tail")))
-    opening = f"concat_ws('{sep}', slice(cuts.head, 1, 3))"
-    closing = f"concat_ws('{sep}', slice(cuts.tail, greatest(1, size(cuts) - 2), 3))"
-    return (
-        blocks.groupBy(*part)
-        .agg(cuts.alias("cuts"))
-        .selectExpr(*part, "cuts", f"{_prefix(opening)} as head", f"{_suffix(closing)} as tail")
-    )
+def _head(words: int) -> str:
+    return rf"regexp_extract(text, '(?U)^\\s*(?:\\S+(?:\\s+\\S+){{0,{words - 1}}})?', 0)"
 
 
-def _joints(groups: DataFrame, key: str, sep: str) -> DataFrame:
-    """Both sides of each joint within a group; up to three blocks before it, as they may be short."""
-    sides = (
-        "transform(sequence(2, size(cuts)), i -> named_struct("
-        f"'before', concat_ws('{sep}', slice(cuts.tail, greatest(1, i - 3), least(3, i - 1))), "
-        "'after', cuts[i - 1].head))"
-    )
-    pairs = groups.where("size(cuts) > 1").selectExpr(key, f"inline({sides})")
-    return pairs.selectExpr(key, f"{_suffix('before')} as before", "after")
-
-
-def joints(texts: DataFrame, key: str, order: str, text: str, sep: str, chunk: int = CHUNK) -> DataFrame:
+def joints(
+    texts: DataFrame, key: str, order: Sequence[str], text: str, sep: str, words: int = WORDS, skip_blank: bool = True
+) -> DataFrame:
     """``(key, before, after)``: what stands on either side of each joint between neighbouring texts.
 
-    ``order`` is a whole number, unique per key. Neighbours are found within chunks of the order first
-    and between chunks second, so a key with very many texts is spread over many tasks.
+    With ``skip_blank``, texts without words are no neighbours; right for rules that take any white space for one
+    blank. Otherwise they are, and blanks are kept as they are; right for rules with literal blanks.
     """
-    gap = {"\n": "\\n"}.get(sep, sep)
-    body = f"coalesce({text}, '')"
-    blocks = texts.selectExpr(
+    gap = sep.replace("\n", "\\n")
+    blocks = texts.selectExpr(key, *order, f"coalesce({text}, '') as text")
+    if skip_blank:
+        blocks = blocks.where(r"text rlike '(?U)\\S'")
+    numbered = number_rows(blocks, [key], list(order)).selectExpr(
         key,
-        f"cast({order} as bigint) as pos",
-        f"cast(floor({order} / {chunk}) as bigint) as chunk",
-        f"{_prefix(body)} as head",
-        f"{_suffix(body)} as tail",
+        "seq",
+        f"{_head(words)} as head",
+        f"{_tail(words, 0)} as cut",
+        f"{_tail(words, 1)} as line",
+        "length(text) as size",
+    )
+    # A cut in the middle of a line is marked, lest it passes for a line's start.
+    parts = numbered.selectExpr(
+        key,
+        "explode(concat("
+        "array(named_struct('at', seq, 'd', 0, 'text', head, 'whole', false)), "
+        f"transform(sequence(1, {words}), d -> named_struct('at', seq + d, 'd', d, "
+        "'text', if(length(cut) = size or line != '', reverse(cut), concat('x ', reverse(cut))), "
+        "'whole', length(cut) = size)))) as part",
+    ).selectExpr(key, "part.*")
+    around = parts.groupBy(key, "at").agg(F.sort_array(F.collect_list(F.struct("d", "text", "whole"))).alias("parts"))
+    before = (
+        "aggregate(slice(parts, 3, size(parts)), named_struct('text', parts[1].text, 'open', parts[1].whole), "
+        f"(s, p) -> if(s.open, named_struct('text', concat(p.text, '{gap}', s.text), 'open', p.whole), s), s -> s.text)"
+    )
+    return around.where("size(parts) > 1 and parts[0].d = 0 and parts[1].d = 1").selectExpr(
+        key, f"{before} as before", "parts[0].text as after"
     )
-    within = _grouped(blocks, [key, "chunk"], gap)
-    between = _grouped(within.selectExpr(key, "chunk as pos", "head", "tail"), [key], gap)
-    return _joints(within, key, gap).unionByName(_joints(between, key, gap))
 
 
 def joint_hits(rule: Rule, sep: str) -> Column:
-    """Hits of a rule that span the joint: those of both sides together, less those of each side."""
-    gap = {"\n": "\\n"}.get(sep, sep)
+    """Hits of a rule that span the joint: those of both sides together, less those of each side.
+
+    No rule begins with a word that it can also end with, so a hit across the joint takes none away.
+    """
+    gap = sep.replace("\n", "\\n")
     whole = rule.count_sql(f"concat(before, '{gap}', after)")
-    sides = f"{rule.count_sql('before')} - {rule.count_sql('after')}"
-    return F.expr(f"if({whole} = 0, 0, greatest({whole} - {sides}, 0))")
+    return F.expr(f"{whole} - {rule.count_sql('before')} - {rule.count_sql('after')}")
 
 
-def space_text(
-    texts: DataFrame, sep: str, text: str = "text", order: str = "ordinal", key: str = "space_id"
+def space_pieces(
+    texts: DataFrame, sep: str, text: str = "text", order: str = "ordinal", key: str = "space_id", size: int = PIECE_TEXTS
 ) -> DataFrame:
-    """All texts of a space as one text, in order; assembled from chunks of neighbouring texts."""
-
-    def join_ordered(col: str, pos: str) -> Column:
-        pairs = F.sort_array(F.collect_list(F.struct(pos, col)))
-        return F.array_join(F.transform(pairs, lambda p: p[col]), sep)
-
-    rows = texts.select(
-        key,
-        F.col(order).alias("pos"),
-        F.floor(F.col(order) / JOIN_CHUNK).alias("chunk"),
-        F.coalesce(F.col(text), F.lit("")).alias("part"),
-    )
-    parts = rows.groupBy(key, "chunk").agg(join_ordered("part", "pos").alias("piece"))
-    return parts.groupBy(key).agg(join_ordered("piece", "chunk").alias("text"))
+    """The texts of a space joined in order, ``size`` at a time: ``key, piece_no, text``, however large a space is."""
+    rows = texts.select(key, F.col(order).alias("pos"), F.coalesce(F.col(text), F.lit("")).alias("part"))
+    numbered = number_rows(rows, [key], ["pos"]).withColumn("piece_no", F.expr(f"(seq - 1) div {size} + 1"))
+    pairs = F.sort_array(F.collect_list(F.struct("seq", "part")))
+    joined = F.array_join(F.transform(pairs, lambda p: p["part"]), sep)
+    return numbered.groupBy(key, "piece_no").agg(joined.alias("text"))
+
+
+def space_text(texts: DataFrame, sep: str, text: str = "text", order: str = "ordinal", key: str = "space_id") -> DataFrame:
+    """All texts of a space as one text, for those who need it in one row; else see :func:`space_pieces`."""
+    pairs = F.sort_array(F.collect_list(F.struct("piece_no", "text")))
+    joined = F.array_join(F.transform(pairs, lambda p: p["text"]), sep)
+    return space_pieces(texts, sep, text, order, key).groupBy(key).agg(joined.alias("text"))

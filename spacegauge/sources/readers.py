@@ -135,13 +135,8 @@ def parse_expressions(instructions: DataFrame) -> DataFrame:
 
 
 def explode_synonyms(expressions: DataFrame) -> DataFrame:
-    """Every synonym, in order, one per row; ``pos`` counts within the space's expressions."""
-    per_expression = 1 << 16
-    return expressions.select(
-        "space_id", "ordinal", F.posexplode("synonyms").alias("i", "synonym")
-    ).select(
-        "space_id", (F.col("ordinal").cast("bigint") * per_expression + F.col("i")).alias("pos"), "synonym"
-    )
+    """Every synonym, one per row, in the order of ``ordinal`` (its expression's) and ``place``."""
+    return expressions.select("space_id", "ordinal", F.posexplode("synonyms").alias("place", "synonym"))
 
 
 def parse_joins(instructions: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from spacegauge.functions import rules as R
 from spacegauge.operators import config_lint as C
 from spacegauge.operators import texts as T
 from spacegauge.operators.containment import contained
+from spacegauge.operators.lists import number_rows
 
 WORDS = ["sum", "of", "divided", "by", "foreign", "key", "try", "to", "if", "a", "user", "do", "not", "x", "relates",
          "revenue", "=", "handle", "null", "- if", "* do", "\n", "join", "table", ""]
@@ -25,11 +26,28 @@ def blocks(seed, spaces=6, n=40):
     return rows
 
 
-@pytest.mark.parametrize("chunk", [2, 50, 4096])
-def test_hits_of_joined_text(spark, chunk):
-    rows = blocks(chunk)
+AWKWARD = [
+    (100, ["sum", "", " ", "\n\n", "", "of"]),
+    (101, ["sum" + " " * 500, "of", "foreign" + "\n" * 500, "\t" * 300 + "key"]),
+    (102, ["w" * 10_000 + " sum", "of " + "w" * 10_000]),
+    (103, ["", "\n", "if", "", "a", " ", "user", ""]),
+    (104, ["say - if", "a user", "word * do", "not"]),
+    (105, ["- if\na", "user", "x\n* do", "not"]),
+    (106, ["sum", "offer", "myrevenue", ": 5", "sumsum", "(x", "handle", "nullable"]),
+    (107, ["try", "to relate", "to", "link a", "table", "ask", "follow-up", "ask", "follow", "up", "ask follow", "up"]),
+    (108, ["foreign foreign", "key key", "divided", "by by", "sum of divided", "by"]),
+]
+
+
+@pytest.mark.parametrize("seed", [2, 50, 4096])
+def test_hits_of_joined_text(spark, seed):
+    rows = blocks(seed)
+    far = random.Random(seed)
+    for space, parts in AWKWARD:  # far apart, unevenly, up to the largest numbers
+        places = sorted(far.sample(range(-(2**40), 2**62), len(parts)))
+        rows += [(space, pos, text) for pos, text in zip(places, parts, strict=True)]
     texts = spark.createDataFrame(rows, "space_id int, ordinal bigint, text string").repartition(5)
-    sides = T.joints(texts, "space_id", "ordinal", "text", "\n", chunk)
+    sides = T.joints(texts, "space_id", ["ordinal"], "text", "\n")
     extra = sides.groupBy("space_id").agg(
         *[F.sum(T.joint_hits(rule, "\n")).alias(n) for n, rule in C.JOINED_RULES.items()]
     )
@@ -50,6 +68,30 @@ def test_hits_of_joined_text(spark, chunk):
                 assert got[space][name] == expected, (space, name)
 
 
+@pytest.mark.parametrize("size", [3, 1 << 16])
+def test_numbering_of_a_large_key(spark, size):
+    """Nearly all rows in one space, unevenly spread, some without a number, some spaces without an id."""
+    rng = random.Random(size)
+    rows = [(1, p) for p in rng.sample(range(2**62), 300)] + [(1, p) for p in range(200)] + [(None, 5), (None, 4), (2, None), (2, -7)]
+    df = spark.createDataFrame(rows, "space_id int, pos bigint").repartition(7)
+    got = sorted(((r.space_id or 0, r.seq, r.pos) for r in number_rows(df, ["space_id"], ["pos"], size).collect()), key=str)
+    expected = []
+    for space in {r[0] for r in rows}:
+        own = sorted((p for s, p in rows if s == space), key=lambda p: (p is not None, p))
+        expected += [(space or 0, i, p) for i, p in enumerate(own, 1)]
+    assert got == sorted(expected, key=str)
+
+
+def test_no_group_grows_with_a_space(spark):
+    """A space of 20,000 texts far apart: what is gathered per joint stays within the rule's words."""
+    texts = spark.range(20_000).selectExpr("1 as space_id", "id * 70000 as ordinal", "concat('w', id, ' sum') as text")
+    sides = T.joints(texts, "space_id", ["ordinal"], "text", "\n")
+    assert sides.count() == 19_999
+    assert sides.agg(F.max(F.length("before")), F.max(F.length("after"))).first()[0] <= 24
+    pieces = T.space_pieces(texts, "\n", size=1000)
+    assert pieces.count() == 20 and pieces.agg(F.max(F.length("text"))).first()[0] < 12_000
+
+
 def test_space_text_keeps_order(spark):
     rows = blocks(7)
     texts = spark.createDataFrame(rows, "space_id int, ordinal bigint, text string").repartition(7)
@@ -82,4 +124,10 @@ def test_question_wording_across_questions(spark):
     df = spark.createDataFrame(rows, "space_id int, question_id int, question_type string, question_text string, answer_text string")
     got = {r["space_id"]: r["asks_time"] for r in question_asks(df).collect()}
     assert got == {1: True, 2: False}
+    rows = [(1, i, "SAMPLE_QUESTION", t, None) for i, t in enumerate(["year", "over", "year"])]
+    rows += [(2, i, "SAMPLE_QUESTION", t, None) for i, t in enumerate(["the year", "", "over year"])]
+    rows += [(3, i, "SAMPLE_QUESTION", t, None) for i, t in enumerate(["a year over", "year b"])]
+    df = spark.createDataFrame(rows, "space_id int, question_id int, question_type string, question_text string, answer_text string")
+    got = {r["space_id"]: r["asks_compare"] for r in question_asks(df).collect()}
+    assert got == {1: True, 2: False, 3: True}
     assert R.QUESTION_PATTERNS["asks_time"].pattern.startswith(r"\btrend")

@@ -161,7 +161,7 @@ PARTS: dict[str, str] = {
         select space_id, count(*) as expr_count, count(*) filter (where kind = 'measure') as n_measures,
             cast(sum(len(synonyms)) as bigint) as n_synonyms from o_expr_kinds group by space_id""",
     "o_synonyms": """
-        select space_id, ordinal * 65536 + i as pos, synonym from (
+        select space_id, ordinal, i as place, synonym from (
             select space_id, ordinal, unnest(synonyms) as synonym, generate_subscripts(synonyms, 1) - 1 as i from o_exprs) u""",
     "o_joins": """
         select space_id, ordinal, content from b_instructions where instruction_type = 'FROM_SNIPPET'
@@ -224,7 +224,7 @@ PARTS: dict[str, str] = {
             or (l.label is not null and (contains(coalesce(y.blob, ''), trim(split_part(lower(l.label), '/', 1)))
                 or contains(coalesce(lower(b.blob), ''), trim(split_part(lower(l.label), '/', 1))))) as covered
         from o_abbrevs a left join o_labels l on l.abbrev = a.abbrev
-        left join (select space_id, lower(string_agg(synonym, ' ' order by pos)) as blob from o_synonyms group by space_id) y
+        left join (select space_id, lower(string_agg(synonym, ' ' order by ordinal, place)) as blob from o_synonyms group by space_id) y
             on y.space_id = a.space_id
         left join o_blobs b on b.space_id = a.space_id""",
     "o_unmapped": "select space_id, abbrev, label from o_covered where not covered",

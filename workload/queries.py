@@ -118,7 +118,7 @@ add("src02_instructions", lambda d: SRC.text_instructions(d.b_instructions).with
     "from b_instructions where instruction_type in ('TEXT_INSTRUCTION', 'SQL_INSTRUCTION')")
 add("src03_expressions", lambda d: flat(d.expressions, "synonyms"),
     "select space_id, ordinal, expression_type, name, code, array_to_string(synonyms, '|') as synonyms from o_exprs")
-add("src04_synonyms", lambda d: d.synonyms, "select space_id, pos, synonym from o_synonyms")
+add("src04_synonyms", lambda d: d.synonyms, "select space_id, ordinal, place, synonym from o_synonyms")
 add("src05_joins", lambda d: SRC.parse_joins(d.b_instructions), "select * from o_joins")
 add("src06_questions", lambda d: d.questions, "select * from o_questions")
 add("src07_space_tables", lambda d: big(SRC.space_tables(raw_spaces(d)), "ordinal"),
