@@ -69,10 +69,10 @@ SHORT_DESCRIPTION_CHARS = 80
 LONG_BLOCK_CHARS = 800
 MAX_TEXT_LINES = 100
 DESCRIPTION_ELEMENTS = {
-    "metrics": "key metrics/KPIs",
-    "dimensions": "dimensions/segments",
-    "grain": "data grain/freshness",
-    "users": "target users/audience",
+    "metrics": "what is measured",
+    "dimensions": "what it is broken down by",
+    "grain": "what a row stands for and how fresh it is",
+    "users": "who it is for",
 }
 
 NON_GOLD_NAME = Rule("non_gold_name", "|".join(NON_GOLD_KEYWORDS))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spacegauge.functions import rules as R
 from spacegauge.functions import text as X
 from spacegauge.operators.containment import contained
+from spacegauge.operators.lists import number_rows, ranked
 from spacegauge.sources import readers
 
 
@@ -86,6 +87,37 @@ def split_metric_views(metric_views: DataFrame, space_tables: DataFrame) -> Data
     )
 
 
+def held_metric_views(metric_views: DataFrame, space_tables: DataFrame) -> DataFrame:
+    """The metric views among each space's tables, with their place: ``space_id, full_name, schema_id``."""
+    members = space_tables.where(X.has_three_parts(F.col("table_id"))).select(
+        "space_id",
+        F.lower("table_id").alias("full_name"),
+        F.lower(X.schema_id(F.col("table_id"))).alias("schema_id"),
+    )
+    return members.distinct().join(metric_views.select("full_name"), "full_name", "left_semi")
+
+
+def further_metric_views(space_tables: DataFrame, metric_views: DataFrame, k: int) -> DataFrame:
+    """For each space, the first ``k`` metric views of the schemas it touches that it does not hold.
+
+    A space that holds ``m`` metric views of a schema finds its first ``k`` others among the schema's first ``k + m``,
+    which are looked up by rank, so its rows grow with what it holds and not with the schema.
+    """
+    held = held_metric_views(metric_views, space_tables)
+    touched = space_tables.where(X.has_three_parts(F.col("table_id"))).select(
+        "space_id", F.lower(X.schema_id(F.col("table_id"))).alias("schema_id")
+    )
+    own = held.groupBy("space_id", "schema_id").agg(F.count("*").alias("m"))
+    wanted = touched.distinct().join(own, ["space_id", "schema_id"], "left").select(
+        "space_id", "schema_id", F.explode(F.sequence(F.lit(1), F.coalesce("m", F.lit(0)).cast("int") + k)).alias("rank")
+    )
+    numbered = number_rows(metric_views, ["schema_id"], ["full_name"]).withColumnRenamed("seq", "rank")
+    others = wanted.join(numbered, ["schema_id", "rank"]).select("space_id", "full_name")
+    others = others.join(held.select("space_id", "full_name"), ["space_id", "full_name"], "left_anti")
+    by_name = [X.short_name(F.col("full_name")), F.col("full_name")]
+    return ranked(others, ["space_id"], by_name, k).select("space_id", "full_name")
+
+
 def unknown_refs(sql_refs: DataFrame, cte_names: DataFrame, space_tables: DataFrame) -> DataFrame:
     """First table reference of each SQL that names neither one of its own CTEs nor a table of its space."""
     known = space_tables.select(
@@ -105,8 +137,8 @@ def label_table(spark: SparkSession) -> DataFrame:
 
 
 def label_abbrevs(abbrevs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Abbreviations with their full term, if there is one; ``labels`` is the fixed table of 33 rows."""
-    return abbrevs.join(F.broadcast(labels), "abbrev", "left")
+    """Abbreviations with their full term, if there is one."""
+    return abbrevs.join(labels, "abbrev", "left")
 
 
 def mentioned_abbrevs(abbrevs: DataFrame, labels: DataFrame, space_text: DataFrame, **limits) -> DataFrame:

@@ -9,8 +9,6 @@ from operator import and_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LIST_LIMIT = 100  # names a message may carry; every item stays in the items table
-
 
 NUMBERED = 1 << 16  # rows of one key that are numbered in one task, where the order is even
 
@@ -18,23 +16,24 @@ NUMBERED = 1 << 16  # rows of one key that are numbered in one task, where the o
 def number_rows(df: DataFrame, partition: Sequence[str], order: Sequence[str], size: int = NUMBERED) -> DataFrame:
     """Number the rows of each partition from 1 in the given order, as ``seq``.
 
-    The range of a key's first order column, a whole number, is split into as many parts as it has times ``size``
-    rows. Rows are numbered within parts, and each part starts where those before it end, so a key that holds most of
+    The range of a key's first order column, if that is a whole number, is split into as many parts as it has times
+    ``size`` rows. Rows are numbered within parts, and each part starts where those before it end, so a key that holds most of
     the rows is spread over many tasks.
     """
-    first = F.col(order[0]).cast("double")
-    same = [F.col(c).eqNullSafe(F.col(f"their_{c}")) for c in partition]
-    theirs = [F.col(c).alias(f"their_{c}") for c in partition]
-    spans = df.groupBy(*theirs).agg(F.min(first).alias("lo"), F.max(first).alias("hi"), F.ceil(F.count("*") / size).alias("parts"))
-    width = (F.col("hi") - F.col("lo") + 1) / F.col("parts")
-    part = F.coalesce(F.floor((first - F.col("lo")) / width), F.lit(-1)).alias("part")  # null comes first
+    whole = df.schema[order[0]].dataType.typeName() in ("byte", "short", "integer", "long")
+    first = F.col(order[0]).cast("double") if whole else F.lit(0.0)
+    same = [F.col(c).eqNullSafe(F.col(f"__their_{c}")) for c in partition]
+    theirs = [F.col(c).alias(f"__their_{c}") for c in partition]
+    spans = df.groupBy(*theirs).agg(F.min(first).alias("__lo"), F.max(first).alias("__hi"), F.ceil(F.count("*") / size).alias("__parts"))
+    width = (F.col("__hi") - F.col("__lo") + 1) / F.col("__parts")
+    part = F.coalesce(F.floor((first - F.col("__lo")) / width), F.lit(-1)).alias("__part")  # null comes first
     rows = df.join(spans, reduce(and_, same)).select(*df.columns, part)
-    sizes = rows.groupBy(*theirs, F.col("part").alias("their_part")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy(*(f"their_{c}" for c in partition)).orderBy("their_part")) - F.col("n")
-    starts = sizes.select(*(f"their_{c}" for c in partition), "their_part", before.alias("before"))
-    numbered = rows.withColumn("seq", F.row_number().over(Window.partitionBy(*partition, "part").orderBy(*order)))
-    numbered = numbered.join(starts, reduce(and_, [*same, F.col("part") == F.col("their_part")]))
-    return numbered.select(*df.columns, (F.col("seq") + F.col("before")).alias("seq"))
+    sizes = rows.groupBy(*theirs, F.col("__part").alias("__their_part")).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*(f"__their_{c}" for c in partition)).orderBy("__their_part")) - F.col("__n")
+    starts = sizes.select(*(f"__their_{c}" for c in partition), "__their_part", before.alias("__before"))
+    numbered = rows.withColumn("seq", F.row_number().over(Window.partitionBy(*partition, "__part").orderBy(*order)))
+    numbered = numbered.join(starts, reduce(and_, [*same, F.col("__part") == F.col("__their_part")]))
+    return numbered.select(*df.columns, (F.col("seq") + F.col("__before")).alias("seq"))
 
 
 def ranked(df: DataFrame, partition: Sequence[str], order: Sequence, k: int, name: str = "rank") -> DataFrame:
@@ -47,19 +46,20 @@ def ranked(df: DataFrame, partition: Sequence[str], order: Sequence, k: int, nam
     return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= k)
 
 
-def shown_items(items: DataFrame, k: int = LIST_LIMIT, order: Sequence[str] = ("ord", "sub", "item")) -> DataFrame:
-    """``items(space_id, rule_id, ord, sub, item)`` -> first ``k`` names per space and rule as an array."""
-    top = ranked(items, ["space_id", "rule_id"], order, k)
-    pairs = F.sort_array(F.collect_list(F.struct("rank", "item")))
-    return top.groupBy("space_id", "rule_id").agg(F.transform(pairs, lambda p: p["item"]).alias("shown"))
+def shown_items(items: DataFrame, k: int | None = None, order: Sequence[str] = ("ord", "sub", "item")) -> DataFrame:
+    """``items(space_id, rule_id, ord, sub, item)`` -> first ``k`` names, or all, per space and rule as an array."""
+    top = items if k is None else ranked(items, ["space_id", "rule_id"], order, k)
+    pairs = F.sort_array(F.collect_list(F.struct(*order, F.col("item").alias("name"))))
+    return top.groupBy("space_id", "rule_id").agg(F.transform(pairs, lambda p: p["name"]).alias("shown"))
 
 
 def first_k(items: DataFrame, k: int, order: Sequence[str] = ("ord", "sub", "item")) -> DataFrame:
     """First ``k`` names per space and rule, with the number of names left out."""
-    totals = items.groupBy("space_id", "rule_id").agg(F.count("*").alias("n"))
-    return (
-        totals.join(shown_items(items, k, order), ["space_id", "rule_id"])
-        .select("space_id", "rule_id", "shown", (F.col("n") - F.size("shown")).alias("n_more"))
+    by_rule = Window.partitionBy("space_id", "rule_id").orderBy(*order)
+    numbered = items.withColumn("rank", F.row_number().over(by_rule))
+    pairs = F.sort_array(F.collect_list(F.when(F.col("rank") <= k, F.struct("rank", "item"))))
+    return numbered.groupBy("space_id", "rule_id").agg(
+        F.transform(pairs, lambda p: p["item"]).alias("shown"), F.greatest(F.max("rank") - k, F.lit(0)).cast("bigint").alias("n_more")
     )
 
 

@@ -208,7 +208,7 @@ def metadata_digest(space_tables: DataFrame, tables: DataFrame, columns: DataFra
     """One text per space: name, comment and main columns of each readable table, in order."""
     members = J.with_metadata(space_tables, tables).where("error is null")
     described = members.join(column_digest(columns), "table_id", "left")
-    comment = F.coalesce(F.nullif(F.trim("comment"), F.lit("")), F.lit("No description"))
+    comment = F.trim(F.coalesce(F.nullif("comment", F.lit("")), F.lit("No description")))
     lines = described.select(
         "space_id",
         "ordinal",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spacegauge.functions import text as X
 from spacegauge.operators import joins as J
 from spacegauge.operators.findings import finding
-from spacegauge.operators.lists import first_k
+from spacegauge.operators.lists import first_k, shown_items
 from spacegauge.sources import readers
 
 
@@ -159,25 +159,21 @@ def readiness_score(
     )
 
 
-def metric_view_findings(split_metric_views: DataFrame, k_in: int = 100, k_extra: int = 5) -> DataFrame:
+def metric_view_findings(space_tables: DataFrame, metric_views: DataFrame, k: int = 5) -> DataFrame:
     """What a space should know about metric views, its own and those only in its schemas."""
-    items = split_metric_views.select(
-        "space_id",
-        F.when(F.col("in_space"), "metric_views_in_space").otherwise("metric_views_extra").alias("rule_id"),
-        F.lit(0).alias("ord"),
-        F.lit(0).alias("sub"),
-        X.short_name(F.col("full_name")).alias("item"),
-    )
-    held = first_k(items.where("rule_id = 'metric_views_in_space'"), k_in)
-    extra = first_k(items.where("rule_id = 'metric_views_extra'"), k_extra)
-    wide = held.select("space_id", F.col("shown").alias("held"), F.col("n_more").alias("held_more")).join(
-        extra.select("space_id", F.col("shown").alias("extra")), "space_id", "full"
-    )
-    facts = wide.selectExpr(
+
+    def named(views: DataFrame, rule: str) -> DataFrame:
+        return views.select("space_id", F.lit(rule).alias("rule_id"), X.short_name(F.col("full_name")).alias("item"))
+
+    held = named(J.held_metric_views(metric_views, space_tables), "metric_views_in_space")
+    extra = named(J.further_metric_views(space_tables, metric_views, k), "metric_views_extra")
+    lists = shown_items(held.unionByName(extra), order=["item"])
+    names = F.map_from_entries(F.collect_list(F.struct("rule_id", "shown")))
+    facts = lists.groupBy("space_id").agg(names.alias("shown")).selectExpr(
         "space_id",
-        f"map('metric_views_in_space', coalesce(held, {X.NO_ARRAY}), 'metric_views_extra', coalesce(extra, {X.NO_ARRAY})) as shown",
-        f"size(coalesce(held, {X.NO_ARRAY})) + coalesce(held_more, 0) as mv_count",
-        "extra is not null as has_extra_views",
+        "shown",
+        f"size(coalesce(try_element_at(shown, 'metric_views_in_space'), {X.NO_ARRAY})) as mv_count",
+        "map_contains_key(shown, 'metric_views_extra') as has_extra_views",
     )
     return finding(facts, "metric_views_in_space").unionByName(finding(facts, "metric_views_extra")).unionByName(
         finding(facts, "metric_views_only_in_catalog")

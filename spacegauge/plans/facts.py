@@ -17,7 +17,7 @@ from spacegauge.functions import text as X
 from spacegauge.operators import config_lint as C
 from spacegauge.operators import curation, joins, metadata, questions, readiness
 from spacegauge.operators.findings import present
-from spacegauge.operators.lists import LIST_LIMIT, ranked, shown_items
+from spacegauge.operators.lists import ranked, shown_items
 from spacegauge.sources import readers
 
 
@@ -40,7 +40,7 @@ class Estate:
     description_verdicts: DataFrame
 
 
-# Names per space and rule kept for messages; a rule that lists everything keeps LIST_LIMIT.
+# Names per space and rule kept for messages; all others list everything.
 SHOWN = {
     "missing_keys": 5, "unowned": 5, "ungranted": 5, "grants_unknown": 3, "metric_views_extra": 5,
     "unclear_layer": 5, "generic": 5, "coded": 5, "date_string": 5, "technical": 5, "restricted": 5,
@@ -52,7 +52,7 @@ SHOWN = {
 def table_facts(estate: Estate, strict_compat: bool = False) -> DataFrame:
     """One row per table with everything the rules need of it."""
     keyed = readers.tables_with_keys(estate.table_constraints).withColumn("is_keyed", F.lit(True))
-    tagged = estate.table_tags.select("table_id").distinct().withColumn("is_tagged", F.lit(True))
+    tagged = estate.table_tags.where("tag_name is not null").select("table_id").distinct().withColumn("is_tagged", F.lit(True))
     access = readiness.table_access(estate.table_grants, estate.grant_status, estate.tables, strict_compat)
     parts = [
         estate.tables.select(
@@ -207,39 +207,9 @@ def gold_items(question_rows: DataFrame) -> DataFrame:
     return _items(rows, "'hardcoded_gold'", "substring(question_text, 1, 50)", "question_id")
 
 
-def extra_metric_views(
-    space_tables: DataFrame, metric_views: DataFrame, k: int = 5, most_held: int = 100
-) -> DataFrame:
-    """Metric views of the schemas a space touches that the space does not hold, the first ``k`` at least.
-
-    A space holding ``m`` metric views of a schema finds its first ``k`` others among the schema's first
-    ``k + m``. So the first ``k + most_held`` of each schema serve all spaces holding up to ``most_held``
-    of it, looked up by rank; the few spaces that hold more are joined with the whole schema.
-    """
-    schema = F.lower(X.schema_id(F.col("table_id")))
-    members = space_tables.where(X.has_three_parts(F.col("table_id"))).select(
-        "space_id", F.lower("table_id").alias("full_name"), schema.alias("schema_id")
-    )
-    held = members.join(metric_views.select("full_name"), "full_name", "left_semi")
-    per_schema = (
-        members.select("space_id", "schema_id")
-        .distinct()
-        .join(held.groupBy("space_id", "schema_id").agg(F.count("*").alias("m")), ["space_id", "schema_id"], "left")
-        .select("space_id", "schema_id", F.coalesce("m", F.lit(0)).cast("int").alias("m"))
-    )
-    first = ranked(metric_views, ["schema_id"], ["full_name"], k + most_held)
-    by_rank = (
-        per_schema.where(F.col("m") <= most_held)
-        .select("space_id", "schema_id", F.explode(F.sequence(F.lit(1), F.col("m") + k)).alias("rank"))
-        .join(first, ["schema_id", "rank"])
-        .select("space_id", "full_name")
-    )
-    whole = (
-        per_schema.where(F.col("m") > most_held).join(metric_views, "schema_id").select("space_id", "full_name")
-    )
-    others = by_rank.unionByName(whole).join(
-        held.select("space_id", "full_name"), ["space_id", "full_name"], "left_anti"
-    )
+def extra_metric_views(space_tables: DataFrame, metric_views: DataFrame) -> DataFrame:
+    """The names that messages show of metric views a space lacks in the schemas it touches."""
+    others = joins.further_metric_views(space_tables, metric_views, SHOWN["metric_views_extra"])
     return _items(others, "'metric_views_extra'", "element_at(split(full_name, '[.]'), -1)")
 
 
@@ -441,12 +411,13 @@ def _completed(wide: DataFrame, with_names: bool) -> DataFrame:
 
 
 def shown_names(items: DataFrame, columns: DataFrame) -> DataFrame:
-    """Per space, a map from rule to the first names it concerns; at most LIST_LIMIT names per rule."""
-    limits = " ".join(f"when '{rule}' then {k}" for rule, k in SHOWN.items())
-    first = shown_items(items.unionByName(columns)).selectExpr(
-        "space_id", "rule_id", f"slice(shown, 1, case rule_id {limits} else {LIST_LIMIT} end) as shown"
-    )
-    return first.groupBy("space_id").agg(
+    """Per space, a map from rule to the names its message shows: the first few, or all."""
+    both = items.unionByName(columns)
+    limit = F.create_map(*(F.lit(x) for pair in SHOWN.items() for x in pair))[F.col("rule_id")]
+    few = ranked(both.where(F.col("rule_id").isin(*SHOWN)), ["space_id", "rule_id"], ["ord", "sub", "item"], max(SHOWN.values()))
+    few = few.where(F.col("rank") <= limit).drop("rank")
+    shown = shown_items(few.unionByName(both.where(~F.col("rule_id").isin(*SHOWN))))
+    return shown.groupBy("space_id").agg(
         F.map_from_entries(F.collect_list(F.struct("rule_id", "shown"))).alias("shown")
     )
 

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spacegauge.operators import findings as FD
+from spacegauge.operators import joins as J
+from spacegauge.operators import readiness as RD
 from spacegauge.plans import assessment as A
 from spacegauge.plans import facts as P
 from spacegauge.plans.facts import Estate
@@ -150,10 +152,21 @@ def test_extra_metric_views_beyond_those_held(spark):
     views = spark.createDataFrame([("m.g", f"m.g.v{i:03d}") for i in range(30)], "schema_id string, full_name string")
     members = [(1, f"m.g.v{i:03d}") for i in range(12)] + [(2, "m.g.t")]
     tables = spark.createDataFrame(members, "space_id int, table_id string")
-    for most in (3, 100):
-        found = P.extra_metric_views(tables, views, k=2, most_held=most).groupBy("space_id").agg(F.sort_array(F.collect_list("item")).alias("v"))
-        got = {r["space_id"]: r["v"][:2] for r in found.collect()}
-        assert got == {1: ["v012", "v013"], 2: ["v000", "v001"]}
+    found = J.further_metric_views(tables, views, 2).groupBy("space_id").agg(F.sort_array(F.collect_list("full_name")).alias("v"))
+    assert {r["space_id"]: r["v"] for r in found.collect()} == {1: ["m.g.v012", "m.g.v013"], 2: ["m.g.v000", "m.g.v001"]}
+
+
+def test_messages_name_everything(spark):
+    """150 tables below gold and 120 metric views in one space: each is named."""
+    views = spark.createDataFrame([("m.g", f"m.g.v{i:03d}") for i in range(130)], "schema_id string, full_name string")
+    tables = spark.createDataFrame([(1, f"m.g.v{i:03d}") for i in range(120)], "space_id int, table_id string")
+    messages = [r.message for r in RD.metric_view_findings(tables, views).collect()]
+    own = next(m for m in messages if m.startswith("OK"))
+    assert all(f"`v{i:03d}`" in own for i in range(120)) and "more" not in own
+    assert any("`v120`, `v121`, `v122`;" in m for m in messages)
+    items = spark.createDataFrame([(1, "non_gold", i, 0, f"t{i}") for i in range(150)], "space_id int, rule_id string, ord int, sub int, item string")
+    shown = P.shown_names(items, items.where("false")).first()["shown"]["non_gold"]
+    assert shown == [f"t{i}" for i in range(150)]
 
 
 def test_read_exported_files(spark, tmp_path):

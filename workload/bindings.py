@@ -158,14 +158,15 @@ BINDINGS = {
     "b_audit": """
         select e.event_id, e.ts as event_time, 'u' || e.user_id as user_email,
             case e.event_id % 7 when 0 then 'other' else 'getTable' end as action_name, t.table_id as table_name
-        from events e join b_tables t on t.s_suppkey = e.event_id % 10
+        from (select *, (event_id * 7 + user_id) % (select count(*) from supplier) + (select min(s_suppkey) from supplier) as k from events) e
+        join b_tables t on t.s_suppkey = e.k
     """,
     "b_lineage": """
         select e.event_id, e.ts as event_time, t.table_id as source_table,
             case when e.user_id % 4 = 0 then null else u.table_id end as target_table
-        from events e
-        join b_tables t on t.s_suppkey = e.event_id % 10
-        join b_tables u on u.s_suppkey = e.user_id % 10
+        from (select *, (event_id * 7 + user_id) % (select count(*) from supplier) + (select min(s_suppkey) from supplier) as k, (user_id * 13 + event_id) % (select count(*) from supplier) + (select min(s_suppkey) from supplier) as k2 from events) e
+        join b_tables t on t.s_suppkey = e.k
+        join b_tables u on u.s_suppkey = e.k2
     """,
     "b_metrics_mart": """
         select l_returnflag as metric_alias, l_shipdate as metric_date,

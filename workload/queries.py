@@ -35,6 +35,7 @@ from spacegauge.sources import sinks
 from spacegauge.streaming import coaccess
 from workload.data import Data
 from workload.oracle_base import FLAG_NAMES, SECTIONS, cnt, compose, has, lit, names, pat
+from workload.wording import MESSAGES, NAMES_SQL, UNWORDED
 
 AS_OF, DAYS = "2024-01-31", 14
 YEAR = ("1996-01-01", "1997-01-01")
@@ -430,7 +431,15 @@ CONDITIONS = {
 }
 
 
-def findings_sql(only: dict[int, list] | None = None) -> str:
+def findings_sql(only: dict[int, list] | None = None, worded: bool = False) -> str:
+    if worded:
+        rows = " union all ".join(
+            f"select s.space_id, {area} as area, {i} as k, {lit(rule)} as rule_id, {MESSAGES.get(rule, 'null')} as message "
+            f"from o_scores s left join ({NAMES_SQL}) n on n.space_id = s.space_id where {cond}"
+            for area, rules in (only or CONDITIONS).items()
+            for i, (rule, cond) in enumerate(rules)
+        )
+        return f"select space_id, area, row_number() over (partition by space_id, area order by k) as seq, rule_id, message from ({rows}) f"
     rows = " union all ".join(
         f"select space_id, {area} as area, {i} as k, {lit(rule)} as rule_id from o_scores where {cond}"
         for area, rules in (only or CONDITIONS).items()
@@ -444,8 +453,13 @@ def named(area: int, wanted) -> dict[int, list]:
 
 
 add("st04_all_findings", lambda d: big(FD.findings(bare(d), with_message=False), "seq"), findings_sql())
-add("snk02_findings", lambda d: written(big(FD.findings(scored(d)).drop("message"), "seq"), sinks.write_findings),
-    f"select *, date '2024-01-31' as run_date from ({findings_sql()}) w")
+def worded(df: DataFrame) -> DataFrame:
+    """The messages that the checking query words too; of the others, that there is one."""
+    return df.withColumn("message", F.when(~F.col("rule_id").isin(*UNWORDED) | (F.length("message") == 0), F.col("message")))
+
+
+add("snk02_findings", lambda d: written(big(worded(FD.findings(scored(d))), "seq"), sinks.write_findings),
+    f"select *, date '2024-01-31' as run_date from ({findings_sql(worded=True)}) w")
 
 # ---- scalar functions -------------------------------------------------------------------------
 add("fn01_normalise", lambda d: d.spaces.select("space_id", F.upper("title").alias("up"), F.lower(X.strip(F.col("description"))).alias("low"),
@@ -499,7 +513,7 @@ def streamed(d: Data) -> DataFrame:
         F.col("ts").alias("event_time"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_email"),
         F.when(F.col("event_id") % 7 == 0, "other").otherwise("getTable").alias("action_name"),
-        (F.col("event_id") % 10).alias("s_suppkey"),
+        F.expr(f"(event_id * 7 + user_id) % {d.supplier.count()} + {d.supplier.agg(F.min('s_suppkey')).first()[0]}").alias("s_suppkey"),
     ).join(tables, "s_suppkey")
     run = f"{shared_folder(d.spark)}/stream-{uuid.uuid4().hex}"
     query = coaccess.write_sessions(coaccess.coaccess_stream(audit), f"{run}/sessions", f"{run}/checkpoint")
@@ -523,9 +537,9 @@ add("rd08_no_external_grant", lambda d: RD.no_external_grant(d.space_tables, d.b
 add("rd09_grants_unknown", lambda d: RD.grants_unknown(d.space_tables, d.b_grant_status), "select space_id, table_id from o_members where not readable")
 add("rd10_readiness_score", lambda d: RD.readiness_score(RD.structure_score(counts(d)), RD.not_shared(d.spaces, d.acl), RD.warehouse_locked(d.spaces, d.acl),
     RD.no_external_grant(d.space_tables, d.b_table_grants, d.b_grant_status, d.tables), counts(d)), "select space_id, score_0 as score from o_scores")
-add("rd11_metric_view_findings", lambda d: RD.metric_view_findings(split(d)).withColumn("kind", F.split("message", ":")[0]).drop("message"),
-    "select space_id, case rule_id when 'metric_views_in_space' then 'OK' when 'metric_views_extra' then 'Further metric views in the catalog, not in the space' "
-    f"else 'Metric views in the catalog but none in the space' end as kind from ({findings_sql(named(0, ('metric_views_in_space', 'metric_views_extra', 'metric_views_only_in_catalog')))}) f")
+add("rd11_metric_view_findings", lambda d: RD.metric_view_findings(d.space_tables, d.metric_views).withColumn("kind", F.expr("if(message like 'OK%', message, split(message, ':')[0])")).drop("message"),
+    "select space_id, case rule_id when 'metric_views_in_space' then message when 'metric_views_extra' then 'Further metric views in the catalog, not in the space' "
+    f"else 'Metric views in the catalog but none in the space' end as kind from ({findings_sql(named(0, ('metric_views_in_space', 'metric_views_extra', 'metric_views_only_in_catalog')), True)}) f")
 add("rd12_untagged_spaces", lambda d: RD.untagged_spaces(d.space_tables, d.tables, d.b_table_tags), "select space_id from o_facts where base_tagged_count = 0 and base_count > 0")
 
 # ---- area 1 -----------------------------------------------------------------------------------
@@ -595,8 +609,8 @@ add("cf10_text_findings", lambda d: FD.area_findings(bare(d), 3, C.TEXT_FINDINGS
 add("cf11_join_completeness", lambda d: C.join_completeness(base(d), counts(d)),
     "select space_id, join_count as joins, base_count - 1 as needed from o_facts where base_count > 1 and join_count > 0 and join_count < base_count - 1")
 SEMANTIC = ("no_expressions", "no_measures", "no_synonyms", "few_expressions")
-add("cf12_semantic_findings", lambda d: C.semantic_findings(d.spaces, d.expressions, d.synonyms, split(d)).groupBy("space_id").agg(F.count("*").alias("n")),
-    f"select space_id, count(*) as n from ({findings_sql(named(3, SEMANTIC))}) f group by space_id")
+add("cf12_semantic_findings", lambda d: C.semantic_findings(d.spaces, d.expressions, d.synonyms, J.held_metric_views(d.metric_views, d.space_tables)).select("space_id", "message"),
+    f"select space_id, message from ({findings_sql(named(3, SEMANTIC), True)}) f")
 GAPS = {"gap_time": "time trends, but no example SQL filters by time", "gap_join": "several tables at once, but no example SQL joins tables",
         "gap_topn": "rankings, but no example SQL orders and limits", "gap_compare": "comparisons, but no example SQL compares periods"}
 add("cf13_question_alignment", lambda d: Q.question_alignment(d.questions, C.pattern_flags(d.sqls), counts(d)),
@@ -610,17 +624,16 @@ add("cf15_text_defects", lambda d: C.text_defects(C.text_lint(d.texts), C.schema
 
 # ---- areas 4 and 5, verdict -------------------------------------------------------------------
 add("sq01_sample_score", lambda d: Q.sample_score(counts(d)), "select space_id, case when samples >= 10 then 3 when samples >= 5 then 2 else 1 end as score from o_facts")
-add("sq02_sample_findings", lambda d: Q.sample_findings(counts(d)).groupBy("space_id").agg(F.count("*").alias("n")),
-    f"select space_id, count(*) as n from ({findings_sql(named(4, ('no_samples', 'few_samples', 'sample_diversity')))}) f group by space_id")
+add("sq02_sample_findings", lambda d: Q.sample_findings(counts(d)),
+    f"select space_id, message from ({findings_sql(named(4, ('no_samples', 'few_samples', 'sample_diversity')), True)}) f")
 add("sq03_uncovered_tables", lambda d: Q.uncovered_tables(d.space_tables, d.questions), "select space_id, table_id from o_uncovered")
 add("sq03_covered_sample_score", lambda d: Q.covered_sample_score(counts(d), Q.uncovered_tables(d.space_tables, d.questions)), "select space_id, score_4 as score from o_scores")
 add("bm01_benchmark_score", lambda d: Q.benchmark_score(counts(d)), "select space_id, score_5 as score from o_scores")
 add("bm02_missing_gold_sql", lambda d: Q.missing_gold_sql(d.questions), "select space_id, n_missing_gold as n from o_facts where n_missing_gold > 0")
 add("bm03_hardcoded_gold_sql", lambda d: Q.hardcoded_gold_sql(d.questions),
     f"select space_id, substr(question_text, 1, 50) as question_text from o_questions where question_type = 'BENCHMARK' and {has('answer_text', R.HARDCODED_GOLD_SQL)}")
-add("bm04_benchmark_findings", lambda d: Q.benchmark_findings(counts(d)).withColumn("message", F.split("message", ";")[0]),
-    """select space_id, case when benchmarks = 0 then 'No benchmark' when benchmarks = 1 then 'Only 1 benchmark'
-        else 'Only ' || benchmarks || ' benchmarks' end as message from o_facts where benchmarks < 15""")
+add("bm04_benchmark_findings", lambda d: Q.benchmark_findings(counts(d)),
+    f"select space_id, message from ({findings_sql(named(5, ('no_benchmarks', 'few_benchmarks', 'some_benchmarks')), True)}) f")
 add("vd01_verdict", lambda d: big(S.verdict(areas(d)), "total", "max_total"), "select space_id, total, max_total, pct, verdict from o_totals")
 add("vd02_capped_verdict", lambda d: (lambda a: flat(S.capped_verdict(S.verdict(a), a), "blockers"))(areas(d)),
     "select space_id, blockers, case when verdict = 'PRODUCTION READY' and blockers <> '' then 'NEEDS IMPROVEMENT' else verdict end as verdict from o_totals")
@@ -678,22 +691,22 @@ add("snk04_report_rows", lambda d: A.report_rows(scored(d), AS_OF).select("space
         cast(9 + 6 + 4 + 6 * 2 + f.n + coalesce(t.n, 0) as bigint) as n_lines from o_scores s
         join (select space_id, sum(n) as n from ({N_FOUND_SQL}) x group by space_id) f on f.space_id = s.space_id
         left join (select space_id, sum(n_items + 2) as n from ({ALL_STEPS_SQL}) y group by space_id) t on t.space_id = s.space_id""")
-# Wording of the pattern gaps, each with the condition under which it is missing.
+# Wording of the pattern gaps, each with the condition under which it is missing.
 GAP_PATTERNS = [
-    ("sql = 0 or not has_agg", "aggregation (SUM/COUNT + GROUP BY)"),
-    ("sql = 0 or not has_date", "date/time filtering with :param_name syntax for date values"),
-    ("sql = 0 or not has_topn", "top-N ranking (ORDER BY ... LIMIT)"),
-    ("sql = 0 or not has_compare", "period-over-period comparison (current vs previous period)"),
-    ("table_count > 1 and (sql = 0 or not has_join)", "multi-table JOIN"),
-    ("sql = 0 and table_count <= 1", "filtered query with WHERE clause"),
-    ("sql > 0 and not has_param", "parameterised query using :param_name syntax"),
+    ("sql = 0 or not has_agg", "totals and counts by group"),
+    ("sql = 0 or not has_date", "a period chosen by a date parameter"),
+    ("sql = 0 or not has_topn", "the largest or smallest few of a ranking"),
+    ("sql = 0 or not has_compare", "one period against the one before"),
+    ("table_count > 1 and (sql = 0 or not has_join)", "columns of several tables, joined"),
+    ("sql = 0 and table_count <= 1", "rows that meet a condition"),
+    ("sql > 0 and not has_param", "any value given as a :parameter"),
 ]
 add("rc08_pattern_gaps", lambda d: big(C.pattern_gaps(counts(d), C.pattern_flags(d.sqls)), "seq"),
     "select space_id, row_number() over (partition by space_id order by k) as seq, pattern from ("
     + " union all ".join(f"select space_id, {i} as k, {lit(t)} as pattern from o_facts where {c}" for i, (c, t) in enumerate(GAP_PATTERNS)) + ") g")
 add("rc09_needs_domain_split", lambda d: S.needs_domain_split(areas(d), CU.schema_spread(d.space_tables)), "select space_id from o_scores where score_1 < 3 or n_schemas > 1")
 add("rc10_metadata_digest", lambda d: M.metadata_digest(d.space_tables, d.tables, d.columns),
-    f"""select m.space_id, string_agg('Table: ' || m.short || chr(10) || 'Description: ' || coalesce(nullif(trim(m.comment), ''), 'No description')
+    f"""select m.space_id, string_agg('Table: ' || m.short || chr(10) || 'Description: ' || trim(coalesce(nullif(m.comment, ''), 'No description'))
         || chr(10) || 'Columns: ' || coalesce(g.digest, ''), chr(10) || chr(10) order by m.ordinal) as digest
         from o_members m left join ({DIGEST_SQL}) g on g.table_id = m.table_id where m.error is null group by m.space_id""")
 
