@@ -88,13 +88,13 @@ def split_metric_views(metric_views: DataFrame, space_tables: DataFrame) -> Data
 
 
 def held_metric_views(metric_views: DataFrame, space_tables: DataFrame) -> DataFrame:
-    """The metric views among each space's tables, with their place: ``space_id, full_name, schema_id``."""
-    members = space_tables.where(X.has_three_parts(F.col("table_id"))).select(
+    """The metric views among each space's tables: ``space_id, full_name, schema_id, ordinal``."""
+    members = space_tables.where(X.has_three_parts(F.col("table_id"))).groupBy(
         "space_id",
         F.lower("table_id").alias("full_name"),
         F.lower(X.schema_id(F.col("table_id"))).alias("schema_id"),
     )
-    return members.distinct().join(metric_views.select("full_name"), "full_name", "left_semi")
+    return members.agg(F.min("ordinal").alias("ordinal")).join(metric_views.select("full_name"), "full_name", "left_semi")
 
 
 def further_metric_views(space_tables: DataFrame, metric_views: DataFrame, k: int) -> DataFrame:

@@ -162,12 +162,13 @@ def readiness_score(
 def metric_view_findings(space_tables: DataFrame, metric_views: DataFrame, k: int = 5) -> DataFrame:
     """What a space should know about metric views, its own and those only in its schemas."""
 
-    def named(views: DataFrame, rule: str) -> DataFrame:
-        return views.select("space_id", F.lit(rule).alias("rule_id"), X.short_name(F.col("full_name")).alias("item"))
+    def named(views: DataFrame, rule: str, order) -> DataFrame:
+        short = X.short_name(F.col("full_name")).alias("item")
+        return views.select("space_id", F.lit(rule).alias("rule_id"), order.cast("long").alias("ord"), short)
 
-    held = named(J.held_metric_views(metric_views, space_tables), "metric_views_in_space")
-    extra = named(J.further_metric_views(space_tables, metric_views, k), "metric_views_extra")
-    lists = shown_items(held.unionByName(extra), order=["item"])
+    held = named(J.held_metric_views(metric_views, space_tables), "metric_views_in_space", F.col("ordinal"))
+    extra = named(J.further_metric_views(space_tables, metric_views, k), "metric_views_extra", F.lit(0))
+    lists = shown_items(held.unionByName(extra), order=["ord", "item"])
     names = F.map_from_entries(F.collect_list(F.struct("rule_id", "shown")))
     facts = lists.groupBy("space_id").agg(names.alias("shown")).selectExpr(
         "space_id",

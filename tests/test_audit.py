@@ -150,8 +150,8 @@ def test_run_writes_all_outputs_and_keeps_other_runs(spark, tmp_path):
 
 def test_extra_metric_views_beyond_those_held(spark):
     views = spark.createDataFrame([("m.g", f"m.g.v{i:03d}") for i in range(30)], "schema_id string, full_name string")
-    members = [(1, f"m.g.v{i:03d}") for i in range(12)] + [(2, "m.g.t")]
-    tables = spark.createDataFrame(members, "space_id int, table_id string")
+    members = [(1, f"m.g.v{i:03d}", i) for i in range(12)] + [(2, "m.g.t", 0)]
+    tables = spark.createDataFrame(members, "space_id int, table_id string, ordinal int")
     found = J.further_metric_views(tables, views, 2).groupBy("space_id").agg(F.sort_array(F.collect_list("full_name")).alias("v"))
     assert {r["space_id"]: r["v"] for r in found.collect()} == {1: ["m.g.v012", "m.g.v013"], 2: ["m.g.v000", "m.g.v001"]}
 
@@ -159,7 +159,7 @@ def test_extra_metric_views_beyond_those_held(spark):
 def test_messages_name_everything(spark):
     """150 tables below gold and 120 metric views in one space: each is named."""
     views = spark.createDataFrame([("m.g", f"m.g.v{i:03d}") for i in range(130)], "schema_id string, full_name string")
-    tables = spark.createDataFrame([(1, f"m.g.v{i:03d}") for i in range(120)], "space_id int, table_id string")
+    tables = spark.createDataFrame([(1, f"m.g.v{i:03d}", i) for i in range(120)], "space_id int, table_id string, ordinal int")
     messages = [r.message for r in RD.metric_view_findings(tables, views).collect()]
     own = next(m for m in messages if m.startswith("OK"))
     assert all(f"`v{i:03d}`" in own for i in range(120)) and "more" not in own
