@@ -10,7 +10,7 @@ from spacegauge.functions import text as X
 from spacegauge.operators import joins as J
 from spacegauge.operators import sets
 from spacegauge.operators.lists import ranked
-from spacegauge.operators.texts import joints, space_text
+from spacegauge.operators.texts import joints, space_pieces, space_text
 
 COLUMN_RULES = ("described", "generic", "coded", "date_string", "technical")
 
@@ -204,12 +204,11 @@ def column_digest(columns: DataFrame, k: int = 15, width: int = 60) -> DataFrame
     )
 
 
-def metadata_digest(space_tables: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
-    """One text per space: name, comment and main columns of each readable table, in order."""
+def _digest_lines(space_tables: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
     members = J.with_metadata(space_tables, tables).where("error is null")
     described = members.join(column_digest(columns), "table_id", "left")
     comment = F.trim(F.coalesce(F.nullif("comment", F.lit("")), F.lit("No description")))
-    lines = described.select(
+    return described.select(
         "space_id",
         "ordinal",
         F.concat(
@@ -221,4 +220,13 @@ def metadata_digest(space_tables: DataFrame, tables: DataFrame, columns: DataFra
             F.coalesce("digest", F.lit("")),
         ).alias("text"),
     )
-    return space_text(lines, "\n\n").withColumnRenamed("text", "digest")
+
+
+def digest_pieces(space_tables: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """Name, comment and main columns of each readable table, in order, many tables to a piece."""
+    return space_pieces(_digest_lines(space_tables, tables, columns), "\n\n", size=256)
+
+
+def metadata_digest(space_tables: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """The same as one text per space."""
+    return space_text(_digest_lines(space_tables, tables, columns), "\n\n").withColumnRenamed("text", "digest")

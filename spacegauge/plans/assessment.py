@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from spacegauge.functions import rules as R
 from spacegauge.functions import text as X
 from spacegauge.operators import findings as FD
-from spacegauge.operators import recommend, scoring
+from spacegauge.operators import config_lint, metadata, recommend, scoring, usage
 from spacegauge.operators.findings import Sql, col, joined, say
 from spacegauge.plans.facts import Estate, column_items, space_facts, space_items
 from spacegauge.session import shared_folder
-from spacegauge.sources import sinks
+from spacegauge.sources import readers, sinks
 
 
 def scored_facts(estate: Estate, strict_compat: bool = False, items: DataFrame | None = None) -> DataFrame:
@@ -100,9 +100,29 @@ def report_rows(scored: DataFrame, run_date: str, folder: str = "") -> DataFrame
     )
 
 
-def run(estate: Estate, out: str, run_date: str, strict_compat: bool = False) -> DataFrame:
-    """Audit every space; write scorecard, findings with their names, next steps and reports under ``out``."""
+def run(
+    estate: Estate,
+    out: str,
+    run_date: str,
+    strict_compat: bool = False,
+    lineage: DataFrame | None = None,
+    audit: DataFrame | None = None,
+) -> DataFrame:
+    """Audit every space; write scorecard, area ratings, findings with their names, next steps, pattern gaps, spaces to
+    split, digests in pieces and reports under ``out``, and where there is lineage or audit, what it tells of use."""
     items, scored = staged_facts(estate, strict_compat)
+    tables = estate.space_tables
+    flags = config_lint.pattern_flags(readers.sql_instructions(estate.instructions))
+    sinks.write_table(scoring.area_scores(scored), f"{out}/area_scores", run_date)
+    sinks.write_table(config_lint.pattern_gaps(scored, flags), f"{out}/pattern_gaps", run_date)
+    split = scoring.needs_domain_split(scoring.area_scores(scored), scored.select("space_id", "n_schemas"))
+    sinks.write_table(split, f"{out}/domain_splits", run_date)
+    digests = metadata.digest_pieces(tables, estate.tables, estate.columns)
+    sinks.write_table(digests, f"{out}/digest_pieces", run_date)
+    if lineage is not None:
+        sinks.write_table(usage.lineage_edges(lineage, tables, run_date), f"{out}/lineage_edges", run_date)
+    if audit is not None:
+        sinks.write_table(usage.coaccess_pairs(audit, tables, run_date), f"{out}/coaccess_pairs", run_date)
     sinks.write_scorecard(scoring.scorecard(scored), f"{out}/scorecard", run_date)
     sinks.write_findings(FD.findings(scored), f"{out}/findings", run_date)
     sinks.write_table(items, f"{out}/finding_items", run_date)

@@ -31,20 +31,34 @@ def coaccess_stream(audit_stream: DataFrame, watermark: str = "1 day") -> DataFr
 def write_sessions(
     sessions: DataFrame, path: str, checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:
-    """Append sessions to a table. A batch that is run again replaces its own folder, so none counts twice."""
+    """Append sessions to a table by day. A batch that is run again replaces its own part of each day."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.select("user", "day", "table_name").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        rows = batch.select("user", "day", "table_name", F.lit(batch_id).alias("batch_id"))
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("day", "batch_id").parquet(path)
 
     writer = sessions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def session_table(spark, path: str) -> DataFrame:
-    """Sessions written so far; a user-day-table that several batches hold counts once."""
-    return spark.read.parquet(path).select("user", "day", "table_name").distinct()
+def rows_too_late(query: StreamingQuery) -> int:
+    """Audit rows of the query's recent batches that came after the watermark and so count nowhere."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
 
 
-def current_pairs(spark, path: str) -> DataFrame:
-    """Pair counts over everything the stream has written."""
-    return pair_counts(session_table(spark, path))
+def session_table(spark, path: str, as_of: str | None = None, days: int = 90) -> DataFrame:
+    """Sessions written so far, or those of the window that starts ``days`` before ``as_of``, whose days alone are read.
+
+    A user-day-table that several batches hold counts once.
+    """
+    schema = "user string, table_name string, day date, batch_id long"
+    rows = spark.read.schema(schema).parquet(path)
+    if as_of is not None:
+        rows = rows.where(F.col("day") >= F.date_sub(F.lit(as_of).cast("date"), days))
+    return rows.select("user", "day", "table_name").distinct()
+
+
+def current_pairs(spark, path: str, as_of: str | None = None, days: int = 90) -> DataFrame:
+    """Pair counts over what the stream has written, or over a window of it."""
+    return pair_counts(session_table(spark, path, as_of, days))

@@ -141,7 +141,7 @@ def test_run_writes_all_outputs_and_keeps_other_runs(spark, tmp_path):
     A.run(estate(spark), out, "2024-01-01")
     A.run(estate(spark), out, "2024-01-02")
     A.run(estate(spark), out, "2024-01-02")
-    for name in ("scorecard", "findings", "finding_items", "column_items", "recommendations", "reports"):
+    for name in ("area_scores", "pattern_gaps", "digest_pieces", "scorecard", "findings", "finding_items", "column_items", "recommendations", "reports"):
         df = spark.read.parquet(f"{out}/{name}")
         assert df.select("run_date").distinct().count() == 2, name
     assert spark.read.parquet(f"{out}/scorecard").count() == 2

@@ -104,19 +104,29 @@ def test_stream_equals_batch(spark, tmp_path):
     assert coaccess.session_table(spark, out).count() == found.count()
 
 
+def _plan(df):
+    return df._jdf.queryExecution().simpleString()
+
+
 def test_stream_drops_only_rows_past_the_watermark(spark, tmp_path):
     source = tmp_path / "audit"
     files = [
         [(datetime(2024, 1, 5, 12), "u", "getTable", "a")],
-        [(datetime(2024, 1, 4, 13), "u", "getTable", "b"), (datetime(2024, 1, 1), "u", "getTable", "c")],
+        [(datetime(2024, 1, 4, 13), "u", "getTable", "b")],
+        [(datetime(2024, 1, 5, 1), "v", "getTable", "d"), (datetime(2024, 1, 1), "u", "getTable", "c")],
     ]
     for rows in files:
         spark.createDataFrame(rows, AUDIT).coalesce(1).write.mode("append").parquet(str(source))
     stream = spark.readStream.schema(AUDIT).option("maxFilesPerTrigger", 1).parquet(str(source))
     out = str(tmp_path / "sessions")
-    coaccess.write_sessions(coaccess.coaccess_stream(stream), out, str(tmp_path / "cp")).awaitTermination()
+    query = coaccess.write_sessions(coaccess.coaccess_stream(stream), out, str(tmp_path / "cp"))
+    query.awaitTermination()
     kept = {r["table_name"] for r in coaccess.session_table(spark, out).collect()}
-    assert {"a", "b"} <= kept
+    assert kept == {"a", "b", "d"} and coaccess.rows_too_late(query) == 1
+    # A day that several batches wrote is whole, and a window reads its own days only.
+    recent = coaccess.session_table(spark, out, "2024-01-06", 1)
+    assert sorted(r.table_name for r in recent.collect()) == ["a", "d"]
+    assert "PartitionFilters: [isnotnull(day" in _plan(recent)
 
 
 def test_sample_audit_is_off_unless_asked(spark):

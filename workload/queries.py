@@ -704,7 +704,7 @@ GAP_PATTERNS = [
 add("rc08_pattern_gaps", lambda d: big(C.pattern_gaps(counts(d), C.pattern_flags(d.sqls)), "seq"),
     "select space_id, row_number() over (partition by space_id order by k) as seq, pattern from ("
     + " union all ".join(f"select space_id, {i} as k, {lit(t)} as pattern from o_facts where {c}" for i, (c, t) in enumerate(GAP_PATTERNS)) + ") g")
-add("rc09_needs_domain_split", lambda d: S.needs_domain_split(areas(d), CU.schema_spread(d.space_tables)), "select space_id from o_scores where score_1 < 3 or n_schemas > 1")
+add("rc09_needs_domain_split", lambda d: S.needs_domain_split(CU.table_budget_score(base(d)).withColumn("area", F.lit(1)), CU.schema_spread(d.space_tables)), "select space_id from o_scores where score_1 < 3 or n_schemas > 1")
 add("rc10_metadata_digest", lambda d: M.metadata_digest(d.space_tables, d.tables, d.columns),
     f"""select m.space_id, string_agg('Table: ' || m.short || chr(10) || 'Description: ' || trim(coalesce(nullif(m.comment, ''), 'No description'))
         || chr(10) || 'Columns: ' || coalesce(g.digest, ''), chr(10) || chr(10) order by m.ordinal) as digest
