@@ -31,7 +31,8 @@ def number_rows(df: DataFrame, partition: Sequence[str], order: Sequence[str], s
     sizes = rows.groupBy(*theirs, F.col("__part").alias("__their_part")).agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(*(f"__their_{c}" for c in partition)).orderBy("__their_part")) - F.col("__n")
     starts = sizes.select(*(f"__their_{c}" for c in partition), "__their_part", before.alias("__before"))
-    numbered = rows.withColumn("seq", F.row_number().over(Window.partitionBy(*partition, "__part").orderBy(*order)))
+    # Dealt out by part too; the windows alone would be content with the join's partitions by key.
+    numbered = rows.repartition(*partition, "__part").withColumn("seq", F.row_number().over(Window.partitionBy(*partition, "__part").orderBy(*order)))
     numbered = numbered.join(starts, reduce(and_, [*same, F.col("__part") == F.col("__their_part")]))
     return numbered.select(*df.columns, (F.col("seq") + F.col("__before")).alias("seq"))
 

@@ -534,6 +534,11 @@ add("rd05_not_serverless", lambda d: RD.not_serverless(d.spaces, d.b_warehouses)
 add("rd06_not_shared", lambda d: RD.not_shared(d.spaces, d.acl), "select space_id from o_facts where not_shared")
 add("rd07_warehouse_locked", lambda d: RD.warehouse_locked(d.spaces, d.acl), "select space_id from o_facts where warehouse_locked")
 add("rd08_no_external_grant", lambda d: RD.no_external_grant(d.space_tables, d.b_table_grants, d.b_grant_status, d.tables), "select space_id, table_id from o_members where readable and not ext")
+add("rd08_no_external_grant_strict", lambda d: RD.no_external_grant(d.space_tables, d.b_table_grants, d.b_grant_status, d.tables, True),
+    f"""select space_id, table_id from o_members m where readable and not exists (
+        select 1 from b_table_grants g join b_tables t on t.table_id = g.table_id where g.table_id = m.table_id
+            and upper(g.action_type) in {names(R.GRANTING_ACTIONS)}
+            and lower(g.principal) <> lower(coalesce(case when t.error is null then t.owner end, '')))""")
 add("rd09_grants_unknown", lambda d: RD.grants_unknown(d.space_tables, d.b_grant_status), "select space_id, table_id from o_members where not readable")
 add("rd10_readiness_score", lambda d: RD.readiness_score(RD.structure_score(counts(d)), RD.not_shared(d.spaces, d.acl), RD.warehouse_locked(d.spaces, d.acl),
     RD.no_external_grant(d.space_tables, d.b_table_grants, d.b_grant_status, d.tables), counts(d)), "select space_id, score_0 as score from o_scores")
@@ -594,6 +599,18 @@ add("cf01_sql_pattern_tags", lambda d: C.sql_pattern_tags(d.sqls), f"select spac
 add("cf02_parameterised_sqls", lambda d: C.parameterised_sqls(d.sqls), "select space_id, sql_id from o_sqls where has_param")
 add("cf03_hardcoded_sqls", lambda d: C.hardcoded_sqls(d.sqls), "select space_id, sql_id, substr(title, 1, 50) as title from o_sqls where hardcoded")
 add("cf04_unknown_table_refs", lambda d: C.unknown_table_refs(d.sqls, d.space_tables), "select * from o_unknown")
+add("cf04_unknown_table_refs_strict", lambda d: C.unknown_table_refs(d.sqls, d.space_tables, True),
+    f"""select r.space_id, r.sql_id, min_by(r.ref, r.pos) as ref from (
+            select space_id, sql_id, pos, lower(string_split(replace(raw, '`', ''), '.')[-1]) as ref
+            from (select space_id, sql_id, unnest(r) as raw, generate_subscripts(r, 1) - 1 as pos from (
+                select space_id, sql_id, regexp_extract_all(content, {pat(R.TABLE_REF_NARROW)}, 1) as r
+                from o_sqls where not {has('content', R.PLACEHOLDER)}) x) y) r
+        where r.ref <> '' and not exists (select 1 from (
+                select distinct space_id, sql_id, lower(name) as name from (select space_id, sql_id,
+                    unnest(regexp_extract_all(content, {pat(R.CTE_NARROW)}, 1)) as name from o_sqls) n) c
+                where c.space_id = r.space_id and c.sql_id = r.sql_id and c.name = r.ref)
+            and not exists (select 1 from b_space_tables s where s.space_id = r.space_id and lower(split_part(s.table_id, '.', 3)) = r.ref)
+        group by r.space_id, r.sql_id""")
 add("cf05_sql_subscore", lambda d: C.sql_subscore(counts(d), C.pattern_flags(d.sqls), C.unknown_table_refs(d.sqls, d.space_tables)), "select space_id, sql_sub as score from o_steps")
 LINT_SQL = f"""select space_id, text_count, metric_hits, join_hits, vague_hits, lines, chars,
     array_to_string(list_filter([{', '.join(f"case when {c} then {lit(n)} end" for n, c in SECTIONS.items())}], lambda x: x is not null), '|') as sections,
