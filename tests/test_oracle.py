@@ -10,12 +10,6 @@ from workload.queries import ENTRIES
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-# These repeat the plan of a query that is tested, for another area or sink.
-REPEATS = {
-    "rc03_curation_items", "rc04_metadata_items", "rc06_sample_items", "rc07_benchmark_items", "ag14_score_totals",
-    "vd01_verdict", "rc09_needs_domain_split", "cf10_text_findings", "snk01_scorecard", "snk03_recommendations",
-    "rc01_severity", "rc02_readiness_items", "rc05_configuration_items",
-}
 ORACLE = {k: v for k, v in entry_points.oracle_sql().items() if k in ENTRIES}
 QUERIES = {k: v for k, v in entry_points.queries().items() if k in ENTRIES}
 
@@ -43,7 +37,7 @@ def test_entry_is_the_scorecard(spark):
     assert {"space_id", "total", "verdict"} <= set(df.columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - REPEATS))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF_DIR)
     cols = sorted(df.columns)
