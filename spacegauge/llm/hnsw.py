@@ -175,7 +175,7 @@ def index(vectors: DataFrame, shards: int, m: int, breadth: int) -> DataFrame:
         )
 
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInArrow(
+    return dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(
         build, "shard int, ids binary, vectors binary, levels binary, links array<binary>, entry int"
     )
 
