@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,8 +35,8 @@ from spacegauge.llm.words import sliced
 END_ID = 1
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 128 << 10
-SLICE = 8 << 20
-KNOWN = 1 << 20
+SLICE = 4 << 20
+KNOWN = 1 << 19
 """Distinct words a worker remembers at most; then it starts anew."""
 
 _PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
@@ -60,8 +61,11 @@ class WordEncoder:
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.ends_word[i] = piece.endswith("</w>")
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.values, self.bounds = [], [0]
+        self.values, self.bounds = array("I"), array("q", [0])
 
     def _library(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -87,14 +91,14 @@ class WordEncoder:
             if part:
                 for w, ids in zip(part, encode(part), strict=True):
                     known[w] = len(self.bounds) - 1
-                    self.values += ids
+                    self.values.extend(ids)
                     self.bounds.append(len(self.values))
         return np.fromiter((known[w] for w in words), np.int64, len(words))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the bounds of each text's ids."""
         if len(self.known) > KNOWN:
-            self.known, self.values, self.bounds = {}, [], [0]
+            self._forget()
         split = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
         words = split.flatten().dictionary_encode()
         at = words.indices.to_numpy().astype(np.int64)
@@ -106,7 +110,7 @@ class WordEncoder:
         rest = pa.array([w[len(s) :] for w, s in zip(lower.to_pylist(), stem.to_pylist(), strict=True)], pa.string())
         units = [x.dictionary_encode() for x in (stem, rest)]
         numbers = [self._units(u.dictionary)[u.indices.to_numpy()] for u in units]
-        values, bounds = np.array(self.values, np.uint32), np.array(self.bounds, np.int64)
+        values, bounds = np.array(self.values), np.array(self.bounds)  # copies, so that both may grow again
         own, own_bounds = gather(values, bounds, np.stack(numbers, 1).ravel())
         ids, ends = gather(own, own_bounds[::2], at)
         return ids, ends[split.offsets.to_numpy()]
