@@ -4,11 +4,15 @@ A classifier taught by the labelled table gives every document its probabilities
 on hashed words and document statistics, fitted on at most ``TRAIN_ROWS`` labelled rows (those with the least hash).
 A document then counts towards each domain with its tokens times the probability, and nonnegative rates r are sought:
 
-    minimise  1/2 sum_k (sum_d r_d t_d p_dk / T - target_k)^2 + ridge/2 sum_d t_d / T (r_d - 1)^2,   r >= 0
+    minimise  1/2 sum_k (sum_d r_d t_d p_dk / T - target_k)^2 / share_k + ridge/2 sum_d t_d / T (r_d - 1)^2,   r >= 0
 
-by projected gradient steps with momentum, in the inner product weighted by tokens, where the step 1 / (1 + ridge) is
-safe. A step adds up one number per domain over all documents in Spark. A document's rate follows from its own
-probabilities and the residuals of the steps so far, so no state is kept per document, and any task can be run again.
+where share_k is what domain k has at present, so that the ridge takes the same part of a rare domain as of a common
+one. The solution is r_d = max(1 - sum_k p_dk g_k / ridge, 0) with a number g_k per domain, and these few numbers
+minimise a convex function (the dual), by Newton steps. A step adds up some numbers per domain over all documents in
+Spark, at several step lengths at once, and steps end when the gradient is zero but for ``OPTIMAL`` of a domain's
+tokens. A document's rate follows from its own probabilities and g, so no state is kept per document, and any task
+can be run again. The totals reached come with the result; a target missed by more than ``TOLERANCE`` of itself (of
+the present share if it is zero), as nonnegative rates can't meet all, is logged.
 
 ``copies`` rounds a rate up or down by a hash of key and text, so that its expectation is the rate.
 
@@ -19,6 +23,7 @@ and copies; an empty table gives an empty one; other columns are not read and ma
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -35,7 +40,11 @@ BUCKETS = 1 << 16
 EPOCHS = 16
 RIDGE = 1e-3
 STEPS = 40
-TOLERANCE = 1e-3
+TOLERANCE = 1e-2
+OPTIMAL = 1e-8
+_LENGTHS = 0.5 ** np.arange(8)
+
+_log = logging.getLogger(__name__)
 
 
 def _features(t: Texts, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,13 +164,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _rates(p: np.ndarray, residuals: Sequence[np.ndarray], ridge: float) -> tuple[np.ndarray, np.ndarray]:
-    """The rates after the steps with these residuals, and the point (with momentum) where the next is taken."""
-    rate = point = np.ones(len(p))
-    for k, residual in enumerate(residuals, 1):
-        step = np.maximum(point - (p @ residual + ridge * (point - 1)) / (1 + ridge), 0)
-        rate, point = step, step + (k - 1) / (k + 2) * (step - rate)
-    return rate, point
+def _rates(p: np.ndarray, g: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rates by the domains' numbers ``g``, and what they are before those below zero become zero."""
+    point = 1 - p @ g / ridge
+    return np.maximum(point, 0), point
 
 
 def _copies(rate: np.ndarray, draw: np.ndarray) -> np.ndarray:
@@ -185,41 +191,68 @@ def _sums(members: DataFrame, values) -> np.ndarray:
 
 
 def fit_rates(members: DataFrame, targets: Sequence[float], ridge: float = RIDGE, steps: int = STEPS, tolerance: float = TOLERANCE):
-    """The residuals of all steps, and the expected shares that the final rates give.
+    """The domains' numbers ``g`` of the best rates, and the expected shares that these rates give.
 
-    ``targets`` are the domains' tokens as shares of the present number of tokens.
+    ``targets`` are the domains' tokens as shares of the present number of tokens. ``steps`` bounds the passes.
     """
     targets = np.asarray(targets, float)
+    k = len(targets)
     present = _sums(members, lambda t, p: np.append(t @ p, t.sum()))
     if not len(present) or not present[-1]:
-        return [], targets
-    total, residuals = present[-1], []
+        return np.zeros(k), targets
+    total = present[-1]
     shares = present[:-1] / total
-    while len(residuals) < steps:
-        residuals.append(shares - targets)
-        done = list(residuals)
-
-        def both(t: np.ndarray, p: np.ndarray, done=done) -> np.ndarray:
-            rate, point = _rates(p, done, ridge)
-            return np.concatenate(((t * point) @ p, (t * rate) @ p))
-
-        sums = _sums(members, both) / total
-        shares, reached = np.split(sums, 2)
-        if np.abs(reached - targets).max() < tolerance:
+    own = shares > 0  # no rate changes a domain without tokens
+    scale = np.maximum(shares, targets)
+
+    def looked_up(points: list[np.ndarray]) -> list[tuple]:
+        """For each point the dual's value, gradient and second derivatives, the shares reached, and itself."""
+
+        def add(t: np.ndarray, p: np.ndarray) -> np.ndarray:
+            out = []
+            for g in points:
+                rate, point = _rates(p, g, ridge)
+                out += [[t @ (rate * rate)], (t * rate) @ p, ((p * (t * (point > 0))[:, None]).T @ p).ravel()]
+            return np.concatenate(out)
+
+        found = []
+        for g, x in zip(points, np.split(_sums(members, add) / total, len(points)), strict=True):
+            reached = x[1 : k + 1]
+            value = g * g @ shares / 2 + ridge / 2 * x[0] + targets[own] @ g[own]
+            curve = np.diag(np.where(own, shares, 1)) + x[k + 1 :].reshape(k, k) / ridge
+            found.append((value, np.where(own, g * shares - reached + targets, 0), curve, reached, g))
+        return found
+
+    value, slope, curve, reached, g = looked_up([np.zeros(k)])[0]
+    for _ in range(steps):
+        if (np.abs(slope) <= OPTIMAL * scale).all():
             break
-    return residuals, reached
+        step = np.where(own, -np.linalg.solve(curve, slope), 0)
+        best = min(looked_up([g + length * step for length in _LENGTHS]), key=lambda x: x[0])
+        if best[0] >= value:  # as exact as the sums are
+            break
+        value, slope, curve, reached, g = best
+    if (np.abs(slope) > 1e-3 * tolerance * scale).any():
+        raise ArithmeticError(f"the rates are not settled after {steps} steps: gradient {slope}")
+    missed = np.abs(reached - targets) > tolerance * np.where(targets > 0, targets, shares)
+    if missed.any():
+        _log.warning("domains %s miss their targets: %s of %s reached", np.flatnonzero(missed).tolist(), reached.tolist(), targets.tolist())
+    return g, reached
 
 
 def mixed(df: DataFrame, labels: DataFrame, domain: Column, targets: Sequence[float], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, ``text_no``, ``n_tokens``, the domains' probabilities ``p``, ``rate`` and ``copies``."""
+    """Per row: key, ``text_no``, ``n_tokens``, the domains' probabilities ``p``, ``rate`` and ``copies``.
+
+    The metadata of ``rate`` hold the ``targets`` and the shares ``reached``.
+    """
     model = fitted(df, labels, domain, len(targets), key, text)
     members = staged(memberships(df, model, key, text), "memberships")
-    residuals, _ = fit_rates(members, targets)
+    g, reached = fit_rates(members, targets)
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                rate, _ = _rates(_matrix(batch.column(3)), residuals, RIDGE)
+                rate, _ = _rates(_matrix(batch.column(3)), g, RIDGE)
                 copies = pa.array(_copies(rate, batch.column(4).to_numpy()).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i) for i in range(4)), pa.array(rate), copies],
@@ -230,7 +263,8 @@ def mixed(df: DataFrame, labels: DataFrame, domain: Column, targets: Sequence[fl
     out = members.withColumn("draw", F.xxhash64("key", "text_no")).mapInArrow(
         rated, f"key {kind}, text_no long, n_tokens long, p array<double>, rate double, copies int"
     )
-    return out.withColumnRenamed("key", key)
+    shares = {"targets": [float(x) for x in targets], "reached": reached.tolist()}
+    return out.withColumn("rate", F.col("rate").alias("rate", metadata=shares)).withColumnRenamed("key", key)
 
 
 def resampled(df: DataFrame, labels: DataFrame, domain: Column, targets: Sequence[float], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -239,14 +273,14 @@ def resampled(df: DataFrame, labels: DataFrame, domain: Column, targets: Sequenc
     The probabilities are computed again where the texts are, which spares a shuffle of the texts.
     """
     model = fitted(df, labels, domain, len(targets), key, text)
-    residuals, _ = fit_rates(staged(memberships(df, model, key, text), "memberships"), targets)
+    g, _ = fit_rates(staged(memberships(df, model, key, text), "memberships"), targets)
     draw = spare_name(df, "draw")
 
     def repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text):
             column = batch.column(batch.schema.get_field_index(text))
             p = model(*_features(Texts(column), model.buckets), statistics(column))
-            copies = _copies(_rates(p, residuals, RIDGE)[0], batch.column(batch.num_columns - 1).to_numpy())
+            copies = _copies(_rates(p, g, RIDGE)[0], batch.column(batch.num_columns - 1).to_numpy())
             rows = batch.take(pa.array(np.repeat(np.arange(len(copies)), copies)))
             yield rows.select(rows.schema.names[:-1])
 

@@ -201,6 +201,29 @@ def test_rates_reach_targets(spark):
     assert (rate >= 0).all() and np.allclose(reached, (rate * t) @ p / t.sum()) and np.abs(reached - [0.5, 0.3, 0.1]).max() < 5e-3
 
 
+@pytest.mark.parametrize("share", [0.005, 0.001, 0.0003])
+def test_rates_reach_targets_of_rare_domains(spark, share):
+    """With production defaults, a domain of 0.1 % of the tokens gets the 3 % that rates can give it."""
+    toxic = round(20_000 * share)
+    rows = [(100, [0.0, 0.0, 1.0])] * toxic + [(100, [0.0, 1.0, 0.0])] * 6_000 + [(100, [1.0, 0.0, 0.0])] * (14_000 - toxic)
+    df = spark.createDataFrame(rows, "n_tokens long, p array<double>")
+    g, reached = mixing.fit_rates(df, queries.TARGETS)
+    assert abs(reached[2] - 0.03) < 1e-4 and abs(reached[0] - 0.97) < 1e-3 and reached[1] < 1e-3
+    p, t = np.array([r[1] for r in rows]), np.array([float(r[0]) for r in rows])
+    rate, _ = mixing._rates(p, g, mixing.RIDGE)
+    assert np.allclose((t * rate) @ p / t.sum(), reached)
+    residual = (reached - queries.TARGETS) / (t @ p / t.sum())
+    assert np.allclose(p @ residual + mixing.RIDGE * (rate - 1), 0, atol=1e-7)
+
+
+def test_missed_targets_are_told(spark, messy, labels, caplog):
+    df = spark.createDataFrame([(10, [0.9, 0.1]), (10, [0.8, 0.2])], "n_tokens long, p array<double>")
+    _, reached = mixing.fit_rates(df, (0.0, 0.5))
+    assert reached[0] > 0.1 and "miss their targets" in caplog.text
+    told = mixing.mixed(messy, labels, F.expr(queries.DOMAIN), queries.TARGETS).schema["rate"].metadata
+    assert told["targets"] == list(queries.TARGETS) and len(told["reached"]) == 3
+
+
 def test_copies_have_the_rate_as_mean():
     draw = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 20_000)
     for rate in (0.0, 0.3, 1.0, 2.6):
