@@ -11,7 +11,7 @@ enough. With each sampled edge goes the path around it: the words of all consecu
   read from their documents, counted by their words' 128-bit hash, and those found twice are repeated.
 
 All occurrences of a window sample the same edge, hence fall under the same case, so the result is exact (up to
-128-bit collisions). Edges are counted with partial aggregates and joined with adaptive skew handling, so an edge
+128-bit collisions, of windows or of whole texts). Edges are counted with partial aggregates and joined with adaptive skew handling, so an edge
 that a third of the documents share is never brought together in one task.
 
 Defined results: null and empty texts have no words; texts shorter than ``span`` words stay as they are, but for
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spacegauge.llm.tables import staged
+from spacegauge.llm.tables import fingerprint, staged
 from spacegauge.llm.words import RunHash, Texts, mix, sliced
 
 SPAN = 35
@@ -66,21 +66,21 @@ def sampled(t: Texts, span: int, k: int) -> tuple[np.ndarray, ...]:
 
 
 def _rows(df: DataFrame, key: str, text: str, carry: list[str]) -> DataFrame:
-    """Key, text, a number of the text, and other columns; rows that agree in the first three have the same result."""
+    """Key, text, the text's fingerprint, and other columns; rows that agree in the first three have the same result."""
     rest = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry))) if carry else F.lit(None).cast("int")
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), rest.alias("rest"))
-    return rows.withColumn("text_no", F.hash("text"))
+    return rows.withColumn("text_no", F.coalesce(fingerprint("text"), F.lit(b"")))
 
 
 def _with(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``left`` with the columns that ``right`` has for the same key and text number, or nulls."""
+    """``left`` with the columns that ``right`` has for the same key and text, or nulls."""
     right = right.withColumnsRenamed({"key": "their_key", "text_no": "their_no"})
     same = F.col("key").eqNullSafe(F.col("their_key")) & (F.col("text_no") == F.col("their_no"))
     return left.join(right, same, "left").drop("their_key", "their_no")
 
 
 def edges(rows: DataFrame, span: int, k: int) -> DataFrame:
-    """Per sampled edge: its hash, its path's hash, key and text number of its source, first word and windows."""
+    """Per sampled edge: its hash, its path's hash, key and text fingerprint of its source, first word and windows."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -98,7 +98,7 @@ def edges(rows: DataFrame, span: int, k: int) -> DataFrame:
 
     rows = rows.select("key", "text", "text_no")
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(found, f"key {kind}, text_no int, edge long, path long, start int, windows int")
+    return rows.mapInArrow(found, f"key {kind}, text_no binary, edge long, path long, start int, windows int")
 
 
 def _covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -217,7 +217,7 @@ def judged(
     halfway = staged(
         joined.mapInArrow(
             first_pass,
-            f"key {kind}, text_no int, pending boolean, text string, paths {pair}, "
+            f"key {kind}, text_no binary, pending boolean, text string, paths {pair}, "
             f"listed array<struct<h1:long,h2:long,start:int>>, rest {rest}, {result}",
         ),
         "spans",

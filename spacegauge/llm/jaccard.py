@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spacegauge.llm.components import components
-from spacegauge.llm.tables import spare_name, staged
+from spacegauge.llm.tables import fingerprint, spare_name, staged
 from spacegauge.llm.words import RunHash, Texts, mix, sliced
 
 N = 5
@@ -69,7 +69,7 @@ def shingles(t: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(rows: DataFrame, n: int, bands: int, per_band: int) -> DataFrame:
-    """Per row with words: key, text number, fingerprint of the set, its size, and the band hashes."""
+    """Per row with words: key, fingerprint of the text, fingerprint of the set, its size, and the band hashes."""
     factor, offset = _hash_family(bands * per_band)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +103,7 @@ def signatures(rows: DataFrame, n: int, bands: int, per_band: int) -> DataFrame:
             )
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(signed, f"key {kind}, text_no int, node binary, bands array<long>")
+    return rows.mapInArrow(signed, f"key {kind}, text_no binary, node binary, bands array<long>")
 
 
 def _linked(sets: list[np.ndarray], threshold: Fraction) -> np.ndarray:
@@ -200,7 +200,7 @@ def joined(
     same n-grams) and ``n_links`` (other rows it is linked with, copies included)."""
     bands, per_band = bands_and_rows(float(threshold), recall)
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    rows = rows.withColumn("text_no", F.hash("text"))
+    rows = rows.withColumn("text_no", fingerprint("text"))
     signed = staged(signatures(rows, n, bands, per_band), "signatures")
     classes = staged(
         signed.groupBy("node").agg(
@@ -266,5 +266,5 @@ def keep_one(df: DataFrame, **options) -> DataFrame:
     key, text = options.get("key", "doc_id"), options.get("text", "text")
     least = joined(df, **options).filter(f"`{key}` = class_id").select(F.col(f"`{key}`").alias("kept_key")).distinct()
     number = spare_name(df, "text_no")
-    kept = df.join(least, F.col(f"`{key}`") == F.col("kept_key"), "left_semi").withColumn(number, F.hash(F.col(f"`{text}`")))
+    kept = df.join(least, F.col(f"`{key}`") == F.col("kept_key"), "left_semi").withColumn(number, fingerprint(text))
     return kept.dropDuplicates([key, number]).drop(number).unionByName(df.filter(F.col(f"`{key}`").isNull()))

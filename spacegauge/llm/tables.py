@@ -7,7 +7,8 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import spacegauge
 from spacegauge.session import shared_folder
@@ -52,6 +53,11 @@ def staged(df: DataFrame, name: str, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def fingerprint(text: str) -> Column:
+    """128 bits that stand for the text in a column; null for null."""
+    return F.unhex(F.md5(F.col(f"`{text}`").cast("binary")))
+
+
 def spare_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it; Spark compares names without case."""
     taken = {c.lower() for c in df.columns}

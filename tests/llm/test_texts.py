@@ -15,6 +15,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from spacegauge.llm import cascade, debruijn, jaccard, pieces, token_files
@@ -137,6 +138,22 @@ def test_removed_keeps_columns(messy, none, rows):
     assert debruijn.removed(none).count() == 0
 
 
+def colliding():
+    """Two unlike texts with the same 32-bit hash."""
+    return "a4005 " + " ".join(f"w{i}" for i in range(40)), "b72470 " + " ".join(f"v{i}" for i in range(300))
+
+
+def test_texts_of_one_key_are_told_apart(spark):
+    a, b = colliding()
+    rows = [(5, a), (5, b), (1, "z" + a), (2, "y" + b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert df.filter("doc_id = 5").select(F.hash("text")).distinct().count() == 1
+    assert multiset(debruijn.judged(df)) == spans(rows, 35)
+    assert multiset(debruijn.judged(df.limit(3))) == spans(rows[:3], 35)
+    assert multiset(jaccard.joined(df)) == similar(rows)
+    assert jaccard.keep_one(df.limit(2)).count() == 2
+
+
 # ---- similarity join -----------------------------------------------------------------------------
 def similar(rows, n=5, threshold=Fraction(4, 5)):
     sets = []
