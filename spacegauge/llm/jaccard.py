@@ -24,7 +24,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spacegauge.llm.components import components
@@ -193,18 +193,21 @@ def _verify(n: int, threshold: Fraction):
     return verified
 
 
-def joined(
-    df: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, recall: float = RECALL, key: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """Per row of ``df``: key, ``class_id`` (least key of its near-duplicate class), ``copy_id`` (least key with the
-    same n-grams) and ``n_links`` (other rows it is linked with, copies included)."""
+def _classes(
+    df: DataFrame, n: int, threshold: Fraction, recall: float, key: str, text: str
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows; those with words and their ``node`` (one per set of n-grams); and per node its ``copy_id``, ``copies``,
+    ``linked_rows``, the ``root`` of its near-duplicate class and its ``source``.
+
+    A source is the least row with that set, as (no_key, key, text_no), so a row with a key goes before one without.
+    """
     bands, per_band = bands_and_rows(float(threshold), recall)
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = rows.withColumn("text_no", fingerprint("text"))
     signed = staged(signatures(rows, n, bands, per_band), "signatures")
     classes = staged(
         signed.groupBy("node").agg(
-            F.min(F.struct("key", "text_no")).alias("source"),
+            F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "text_no")).alias("source"),
             F.min("key").alias("copy_id"),
             F.count("*").alias("copies"),
             F.min("bands").alias("bands"),
@@ -245,26 +248,49 @@ def joined(
     of_class = (
         classes.join(links, "node", "left")
         .join(forest.select(F.col("a").alias("node"), "b"), "node", "left")
-        .select("node", "copy_id", "copies", "linked_rows", F.coalesce("b", "node").alias("root"))
+        .select("node", "copy_id", "copies", "linked_rows", F.coalesce("b", "node").alias("root"), "source")
     )
+    return rows, signed, of_class
+
+
+def _bare(text: str) -> Column:
+    """Whether a text has no words."""
+    return ~F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+
+
+def joined(
+    df: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, recall: float = RECALL, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """Per row of ``df``: key, ``class_id`` (least key of its near-duplicate class), ``copy_id`` (least key with the
+    same n-grams) and ``n_links`` (other rows it is linked with, copies included)."""
+    rows, signed, of_class = _classes(df, n, threshold, recall, key, text)
     least = of_class.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     of_class = of_class.join(least, "root").select(
         "node", "class_id", "copy_id", (F.col("copies") - 1 + F.coalesce("linked_rows", F.lit(0))).alias("n_links")
     )
     worded = signed.select("key", "node").join(of_class, "node").select("key", "class_id", "copy_id", "n_links")
-    bare = rows.filter(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    bare = rows.filter(_bare("text"))
     return worded.unionByName(
         bare.select("key", F.col("key").alias("class_id"), F.col("key").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
     ).withColumnRenamed("key", key)
 
 
-def keep_one(df: DataFrame, **options) -> DataFrame:
-    """The rows of ``df`` whose key is their class id: one text of each near-duplicate class, and all others.
+def keep_one(
+    df: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, recall: float = RECALL, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One row of each near-duplicate class, and the rows whose texts have no words.
 
-    Rows that repeat the kept key of a class are kept once; a class without any key stays whole.
+    A class keeps the row with its least key, or a row without a key if none has one; of the texts with that key, the
+    one with the least fingerprint. Texts without words are no duplicates; of those, equal ones with one key stay once,
+    and all without a key stay.
     """
-    key, text = options.get("key", "doc_id"), options.get("text", "text")
-    least = joined(df, **options).filter(f"`{key}` = class_id").select(F.col(f"`{key}`").alias("kept_key")).distinct()
+    _, _, of_class = _classes(df, n, threshold, recall, key, text)
+    source = of_class.groupBy("root").agg(F.min("source").alias("source"))
+    chosen = source.select(F.col("source.key").alias("kept_key"), F.col("source.text_no").alias("kept_no"))
     number = spare_name(df, "text_no")
-    kept = df.join(least, F.col(f"`{key}`") == F.col("kept_key"), "left_semi").withColumn(number, fingerprint(text))
-    return kept.dropDuplicates([key, number]).drop(number).unionByName(df.filter(F.col(f"`{key}`").isNull()))
+    numbered = df.withColumn(number, fingerprint(text))
+    same = F.col(f"`{key}`").eqNullSafe(F.col("kept_key")) & (F.col(number) == F.col("kept_no"))
+    worded = numbered.join(chosen, same, "left_semi")
+    bare = numbered.filter(_bare(text))
+    once = worded.unionByName(bare.filter(F.col(f"`{key}`").isNotNull())).dropDuplicates([key, number])
+    return once.unionByName(bare.filter(F.col(f"`{key}`").isNull())).drop(number)

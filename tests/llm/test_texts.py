@@ -199,6 +199,22 @@ def test_keep_one(messy, rows):
     assert ids.count(None) == 1
 
 
+def test_keep_one_without_and_with_repeated_keys(spark):
+    """One row of each class stays, whichever of its rows have no key or one that other texts have too."""
+    body = {c: [f"{c}{i}" for i in range(100)] for c in "abcd"}
+    exact = {c: " ".join(w) for c, w in body.items()}
+    near = {c: " ".join([*w[:-1], "end"]) for c, w in body.items()}
+    rows = [(None, exact["a"]), (None, exact["a"]), (None, near["a"])]  # a class without keys
+    rows += [(None, exact["b"]), (3, near["b"]), (4, exact["b"])]  # one with and without
+    rows += [(1, exact["c"]), (2, near["c"]), (2, exact["d"]), (2, near["d"]), (2, exact["d"])]  # repeated keys
+    rows += [(None, None), (None, ""), (None, ""), (7, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_one(df).collect()]
+    groups = Counter((r[1] or " ")[0] for r in kept)
+    assert groups == {"a": 1, "b": 1, "c": 1, "d": 1, " ": 4}
+    assert {(3, near["b"]), (1, exact["c"])} < set(kept) and all(r in rows for r in kept)
+
+
 def test_banding_reaches_recall():
     for threshold, recall in ((0.8, 0.9999), (0.5, 0.95), (0.9, 0.999)):
         bands, per_band = jaccard.bands_and_rows(threshold, recall)
