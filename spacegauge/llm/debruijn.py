@@ -66,39 +66,37 @@ def sampled(t: Texts, span: int, k: int) -> tuple[np.ndarray, ...]:
 
 
 def _rows(df: DataFrame, key: str, text: str, carry: list[str]) -> DataFrame:
-    """Key, text, the text's fingerprint, and other columns; rows that agree in the first three have the same result."""
+    """Key, text, the text's fingerprint, and other columns; rows of one text have the same result."""
     rest = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry))) if carry else F.lit(None).cast("int")
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), rest.alias("rest"))
     return rows.withColumn("text_no", F.coalesce(fingerprint("text"), F.lit(b"")))
 
 
 def _with(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``left`` with the columns that ``right`` has for the same key and text, or nulls."""
-    right = right.withColumnsRenamed({"key": "their_key", "text_no": "their_no"})
-    same = F.col("key").eqNullSafe(F.col("their_key")) & (F.col("text_no") == F.col("their_no"))
-    return left.join(right, same, "left").drop("their_key", "their_no")
+    """``left`` with the columns that ``right`` has for the same text, or nulls."""
+    right = right.withColumnRenamed("text_no", "their_no")
+    return left.join(right, F.col("text_no") == F.col("their_no"), "left").drop("their_no")
 
 
 def edges(rows: DataFrame, span: int, k: int) -> DataFrame:
-    """Per sampled edge: its hash, its path's hash, key and text fingerprint of its source, first word and windows."""
+    """Per sampled edge: its hash, its path's hash, fingerprint of the text it is from, first word and windows."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            t = Texts(batch.column(1))
+            t = Texts(batch.column(0))
             edge, path, start, count = sampled(t, span, k)
             of = t.text_of_word[start] if len(start) else start
             source = pa.array(of)
             columns = [edge.view(np.int64), path.view(np.int64), start - t.first_word[of], count]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(source), batch.column(2).take(source)]
+                [batch.column(1).take(source)]
                 + [pa.array(c).cast(t_) for c, t_ in zip(columns, kinds, strict=True)],
-                ["key", "text_no", "edge", "path", "start", "windows"],
+                ["text_no", "edge", "path", "start", "windows"],
             )
 
-    rows = rows.select("key", "text", "text_no")
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(found, f"key {kind}, text_no binary, edge long, path long, start int, windows int")
+    rows = rows.select("text", "text_no")
+    return rows.mapInArrow(found, "text_no binary, edge long, path long, start int, windows int")
 
 
 def _covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -134,12 +132,13 @@ def judged(
         .select("edge", F.expr("lo != hi").alias("branches")),
         "edges",
     )
+    # Sets, which end at a text's own edges however often the text occurs; tasks fold copies before the shuffle.
     places = (
         found.join(shared, "edge")
-        .groupBy("key", "text_no")
+        .groupBy("text_no")
         .agg(
-            F.collect_list(F.expr("if(branches, null, struct(start, windows))")).alias("paths"),
-            F.collect_list(F.expr("if(branches, struct(start, windows), null)")).alias("branching"),
+            F.collect_set(F.expr("if(branches, null, struct(start, windows))")).alias("paths"),
+            F.collect_set(F.expr("if(branches, struct(start, windows), null)")).alias("branching"),
         )
     )
     kind = rows.schema["key"].dataType.simpleString()
@@ -224,9 +223,9 @@ def judged(
         "pending",
     )
     pending = halfway.filter("pending")
-    windows = pending.select("key", "text_no", F.inline("listed"))
+    windows = pending.select("text_no", F.inline("listed"))
     twice = staged(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "windows")
-    repeated = windows.join(twice, ["h1", "h2"]).groupBy("key", "text_no").agg(F.collect_set("start").alias("starts"))
+    repeated = windows.join(twice, ["h1", "h2"]).groupBy("text_no").agg(F.collect_set("start").alias("starts"))
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):

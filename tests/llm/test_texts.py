@@ -154,6 +154,25 @@ def test_texts_of_one_key_are_told_apart(spark):
     assert jaccard.keep_one(df.limit(2)).count() == 2
 
 
+def test_lists_of_copies_end_at_the_text(spark, monkeypatch):
+    """The list of a text's edges that meets each of its copies does not grow with their number."""
+    longest, joined = [], debruijn._with
+
+    def measured(left, right):
+        for c, kind in right.dtypes:
+            if kind.startswith("array"):
+                longest.append(right.agg(F.max(F.size(c))).first()[0])
+        return joined(left, right)
+
+    monkeypatch.setattr(debruijn, "_with", measured)
+    body = [f"w{i}" for i in range(120)]
+    text = " ".join(body)
+    rows = [(None, text)] * 300 + [(i, " ".join(body[: 60 + i])) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert multiset(debruijn.judged(df)) == spans(rows, 35)
+    assert longest and max(longest) <= 120
+
+
 # ---- similarity join -----------------------------------------------------------------------------
 def similar(rows, n=5, threshold=Fraction(4, 5)):
     sets = []
