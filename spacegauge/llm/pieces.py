@@ -19,6 +19,7 @@ are not read. Texts are taken as they are, so the vocabulary must have the ident
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -31,7 +32,7 @@ from spacegauge.llm.token_files import gather
 from spacegauge.llm.words import Texts, sliced
 
 BLANK = "▁"
-KNOWN = 1 << 20
+KNOWN = 1 << 19
 UNKNOWN_PENALTY = 10.0
 SLICE = 2 << 20
 CHECK_EVERY = 32
@@ -52,6 +53,8 @@ class Vocabulary:
         ordinary = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.pieces = {model.id_to_piece(i): (i, model.get_score(i)) for i in ordinary}
         self.longest = max(map(len, self.pieces))
+        if any(BLANK in piece.lstrip(BLANK) or "\n" in piece[1:] for piece in self.pieces):
+            raise ValueError("no piece of the vocabulary may have a blank or line end after other characters")
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY
         raw = [b""] * n
         for i in ordinary:
@@ -121,18 +124,18 @@ class PieceEncoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.values: list[int] = []
-        self.bounds = [0]
+        self.values, self.bounds = array("i"), array("q", [0])
 
     def _numbers(self, parts: list[str]) -> np.ndarray:
         known = self.known
-        for part in parts:
-            if part not in known:
-                for ids in stream(part.replace(" ", BLANK), self.vocabulary):
-                    self.values += ids
-                known[part] = len(self.bounds) - 1
+        numbers = list(map(known.get, parts))
+        for i, number in enumerate(numbers):
+            if number is None:
+                for ids in stream(parts[i].replace(" ", BLANK), self.vocabulary):
+                    self.values.extend(ids)
+                numbers[i] = known[parts[i]] = len(self.bounds) - 1
                 self.bounds.append(len(self.values))
-        return np.fromiter((known[p] for p in parts), np.int64, len(parts))
+        return np.array(numbers, np.int64)
 
     def __call__(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the bounds of each text's ids."""
@@ -153,8 +156,8 @@ class PieceEncoder:
         parts = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data))
         parts = parts.dictionary_encode()
         numbers = self._numbers(parts.dictionary.to_pylist())
-        values, value_bounds = np.array(self.values, np.int64), np.array(self.bounds, np.int64)
-        ids, ends = gather(values, value_bounds, numbers[parts.indices.to_numpy()])
+        # Views, so nothing is copied; they are gone before either grows again.
+        ids, ends = gather(np.frombuffer(self.values, np.int32), np.frombuffer(self.bounds, np.int64), numbers[parts.indices.to_numpy()])
         return ids, ends[np.searchsorted(starts, offsets)]
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -12,8 +12,8 @@ Encoding goes through the library for each distinct word of a slice and not for
 space, so the ids of a text are those of its words. A word of letters with trailing ASCII punctuation is two units, as
 the tokenizer splits there anyhow; all other words go to the library whole.
 
-Defined results: null and empty texts have the end id only; rows of equal key are each written, in the order of a
-hash of their text; null keys come first; an empty table gives no rows; other columns are not read. Texts are whole.
+Defined results: null and empty texts have the end id only; rows of equal key are each written, in the order of their
+text's MD5 (a null text first), spread over files where they are many; null keys come first; an empty table gives no rows; other columns are not read. Texts are whole.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spacegauge.llm.tables import fingerprint
 from spacegauge.llm.words import sliced
 
 END_ID = 1
@@ -50,6 +51,14 @@ def gather(values: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> tuple[np.n
     return values[place], ends
 
 
+def _ends(texts: pa.Array, begin: np.ndarray) -> pa.Array:
+    """The texts from a byte on that begins a character."""
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    parts, bounds = gather(data, np.stack((at[:-1] + begin, at[1:]), 1).ravel(), np.arange(0, 2 * len(texts), 2))
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(parts))
+
+
 class WordEncoder:
     """Ids of whole texts, from a tokenizer that drops white space, marks word ends and lowers letters."""
 
@@ -86,14 +95,18 @@ class WordEncoder:
         """The numbers of distinct units, after encoding those not yet known."""
         words = units.to_pylist()
         known = self.known
-        new = [(w, a) for w, a in zip(words, pc.and_not(pc.utf8_is_alpha(units), pc.match_substring(units, "\u0130")).to_pylist(), strict=True) if w not in known]
-        for part, encode in (([w for w, a in new if a], self._letters), ([w for w, a in new if not a], self._library)):
-            if part:
-                for w, ids in zip(part, encode(part), strict=True):
-                    known[w] = len(self.bounds) - 1
+        numbers = list(map(known.get, words))
+        new = [i for i, n in enumerate(numbers) if n is None]
+        if new:
+            unknown = units.take(pa.array(new))
+            letters = pc.and_not(pc.utf8_is_alpha(unknown), pc.match_substring(unknown, "\u0130")).to_pylist()
+            for wanted, encode in ((True, self._letters), (False, self._library)):
+                part = [i for i, plain in zip(new, letters, strict=True) if plain == wanted]
+                for i, ids in zip(part, encode([words[i] for i in part]) if part else [], strict=True):
+                    numbers[i] = known[words[i]] = len(self.bounds) - 1
                     self.values.extend(ids)
                     self.bounds.append(len(self.values))
-        return np.fromiter((known[w] for w in words), np.int64, len(words))
+        return np.array(numbers, np.int64)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the bounds of each text's ids."""
@@ -107,7 +120,7 @@ class WordEncoder:
         # The one letter whose lower case isn't letters only must not be cut from what follows; nor anything else.
         plain = pc.and_not(pc.utf8_is_alpha(stem), pc.match_substring(stem, "\u0130"))
         stem = pc.if_else(plain, stem, lower)
-        rest = pa.array([w[len(s) :] for w, s in zip(lower.to_pylist(), stem.to_pylist(), strict=True)], pa.string())
+        rest = _ends(lower, pc.binary_length(stem).to_numpy())
         units = [x.dictionary_encode() for x in (stem, rest)]
         numbers = [self._units(u.dictionary)[u.indices.to_numpy()] for u in units]
         values, bounds = np.array(self.values), np.array(self.bounds)  # copies, so that both may grow again
@@ -129,7 +142,10 @@ def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarr
 def encoded(df: DataFrame, path: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_tokens, in_file, ids`` in ascending order of key, over partitions that follow each other."""
     rows = df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.hash("text"))
+    # A key that holds many rows is dealt out by text; equal rows go by where they were read.
+    by = ("doc_id", "print", "place")
+    rows = rows.withColumns({"print": fingerprint("text"), "place": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(*by).sortWithinPartitions(*by).drop("print", "place")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, before = word_encoder(path), 0
