@@ -1,16 +1,18 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard, and merged shard results.
 
-Distinct vectors are dealt to shards by hash, about ``SHARD_ROWS`` to one. A task builds one shard's graph and stores it
+Distinct vectors are dealt to shards by length and hash, about ``SHARD_ROWS`` to one; a query is searched in the shards of
+its own length. A task builds one shard's graph and stores it
 as one row of flat arrays: the vectors, the level of each node, and per level a fixed-width array of neighbour numbers
 filled up with -1. Queries travel to the shards in blocks; a task searches one block in one shard; the nearest of all
 shards are kept per query. Equal vectors are one node, and share its distance; of their ids only the ``k`` + 1 least can
 be among the ``k`` nearest, so these stand for all, and a vector that a third of the rows share is one node like any.
 
-The walk orders nodes by their distance less the query's norm; the distances returned are computed again from the
-original components, in double precision, and rank the results.
+The walk orders nodes by their squared distance less the query's norm, on vectors divided by the shard's largest component
+and less the shard's mean, so that neither large components nor a cluster far from zero cost it precision. The distances
+returned are computed again from the original components, in double precision, and rank the results.
 
-Defined results: vectors that are null, empty, zero, or hold a null or non-finite component take no part, nor do those
-of another length than most rows have; fewer than ``k`` candidates are all returned; ties go to the smaller id; rows of
+Defined results: vectors that are null, empty, zero, or hold a null or non-finite component take no part; vectors of
+different lengths are no neighbours; a distance too large for a double is infinite; fewer than ``k`` candidates are all returned; ties go to the smaller id; rows of
 equal id are one candidate per distinct vector; an empty table gives no rows; other columns are not read.
 """
 
@@ -152,19 +154,21 @@ def _taking_part(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.select(F.col(f"`{key}`").cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
 
 
-def index(vectors: DataFrame, shards: int, m: int, breadth: int) -> DataFrame:
-    """One row per shard: its number, its nodes' ids, vectors and levels, the neighbours by level, and the entry.
+def index(vectors: DataFrame, shards: DataFrame, m: int, breadth: int) -> DataFrame:
+    """One row per shard: its length and number, its nodes' ids, vectors and levels, the neighbours by level, and the entry.
 
-    ``vectors`` has distinct vectors ``v`` with an id each.
+    ``vectors`` has distinct vectors ``v`` with an id each; ``shards`` the number of shards for each ``length``.
     """
 
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id")
         ids = table["vec_id"].to_numpy()
         x = table["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        graph = Graph.build(x, m, breadth)
+        frame = Frame.of(x)
+        graph = Graph.build(frame(x), m, breadth)
         return pa.table(
             {
+                "length": pa.array([x.shape[1]], pa.int32()),
                 "shard": pa.array([table["shard"][0].as_py()], pa.int32()),
                 "ids": pa.array([ids.tobytes()], pa.binary()),
                 "vectors": pa.array([x.tobytes()], pa.binary()),
@@ -174,67 +178,96 @@ def index(vectors: DataFrame, shards: int, m: int, breadth: int) -> DataFrame:
             }
         )
 
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
-    return dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(
-        build, "shard int, ids binary, vectors binary, levels binary, links array<binary>, entry int"
+    dealt = vectors.join(shards, F.size("v") == F.col("length")).withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int"))
+    total = shards.agg(F.sum("shards")).first()[0] or 1
+    return dealt.select("vec_id", "v", "length", "shard").repartition(int(total), "length", "shard").groupBy("length", "shard").applyInArrow(
+        build, "length int, shard int, ids binary, vectors binary, levels binary, links array<binary>, entry int"
     )
 
 
-def _open(row: dict) -> tuple[np.ndarray, Graph]:
+class Frame:
+    """Where a shard's vectors lie: what they are divided by, and their mean after that."""
+
+    def __init__(self, scale: float, mean: np.ndarray):
+        self.scale, self.mean = scale, mean
+
+    @classmethod
+    def of(cls, vectors: np.ndarray) -> Frame:
+        scale = float(np.abs(vectors).max())
+        return cls(scale, (vectors / scale).mean(0))
+
+    def __call__(self, vectors: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return np.clip(vectors / self.scale, -1e100, 1e100) - self.mean
+
+
+def _open(row: dict) -> tuple[np.ndarray, np.ndarray, Frame, Graph]:
     ids, levels = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["levels"], np.int8)
     links = [np.frombuffer(a, np.int32).reshape(len(ids), -1) for a in row["links"]]
-    return ids, Graph(np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1), levels, links, row["entry"])
+    x = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1)
+    frame = Frame.of(x)
+    return ids, x, frame, Graph(frame(x), levels, links, row["entry"])
 
 
-def search(graphs: DataFrame, shards: int, queries: DataFrame, k: int, breadth: int) -> DataFrame:
-    """For each query (``query``, ``v``) the ``k`` nearest nodes of all shards: ``query, node, d2`` (squared, double)."""
+def distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances; where squares leave the range of doubles, of the gaps divided by their largest component."""
+    with np.errstate(over="ignore", under="ignore"):
+        gap = vectors - query
+        squares = np.einsum("ij,ij->i", gap, gap)
+        far = (squares > 1e300) | (squares < 1e-280)
+        out = np.sqrt(squares)
+        if far.any():
+            most = np.abs(gap[far]).max(1)
+            part = gap[far] / np.where((most > 0) & np.isfinite(most), most, 1)[:, None]
+            out[far] = np.where(most > 0, most * np.sqrt(np.einsum("ij,ij->i", part, part)), 0)
+    return out
+
+
+def search(graphs: DataFrame, shards: DataFrame, queries: DataFrame, k: int, breadth: int) -> DataFrame:
+    """For each query (``query``, ``v``) the ``k`` nearest nodes of all shards of its length: ``query, node, distance``."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = None
+        opened = None
         for batch in batches:
             for row in range(batch.num_rows):
-                if batch.column(0)[row].as_py() != number:
-                    number = batch.column(0)[row].as_py()
+                if (place := (batch.column(0)[row].as_py(), batch.column(1)[row].as_py())) != opened:
+                    opened = place
                     names = ("ids", "vectors", "levels", "links", "entry")
-                    ids, graph = _open({n: batch.column(i)[row].as_py() for i, n in enumerate(names, 1)})
-                queries = np.array(batch.column(6)[row].as_py())
-                x = np.array(batch.column(7)[row].as_py(), np.float64)
-                out = [(q, *part) for q, v in zip(queries.tolist(), x, strict=True) for part in _nearest(graph, ids, v, k, breadth)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["query", "node", "d2"])
+                    ids, vectors, frame, graph = _open({n: batch.column(i)[row].as_py() for i, n in enumerate(names, 2)})
+                asked = batch.column(7)[row].as_py()
+                x = np.array(batch.column(8)[row].as_py(), np.float64)
+                out: list[tuple] = []
+                for q, v in zip(asked, x, strict=True):
+                    nodes = np.array(graph.nearest(frame(v), k, breadth), np.int64)
+                    out += [(q, n, d) for n, d in zip(ids[nodes].tolist(), distances(vectors[nodes], v).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["query", "node", "distance"])
 
     block = F.pmod(F.xxhash64("query"), F.lit(max(1, -(-queries.count() // BLOCK))))
-    blocks = queries.groupBy(block.alias("block")).agg(F.collect_list("query").alias("queries"), F.collect_list("v").alias("vs"))
-    visits = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("to"), "queries", "vs")
-    work = graphs.join(visits, F.col("shard") == F.col("to")).drop("to")
-    found = work.mapInArrow(walk, "query long, node long, d2 double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("d2", "node"))
+    blocks = queries.groupBy(F.size("v").alias("to_length"), block.alias("block"))
+    blocks = blocks.agg(F.collect_list("query").alias("queries"), F.collect_list("v").alias("vs"))
+    visits = blocks.join(shards, F.col("to_length") == F.col("length")).select(
+        "to_length", F.explode(F.expr("sequence(0, cast(shards as int) - 1)")).alias("to"), "queries", "vs"
+    )
+    work = graphs.join(visits, (F.col("length") == F.col("to_length")) & (F.col("shard") == F.col("to"))).drop("to_length", "to")
+    found = work.mapInArrow(walk, "query long, node long, distance double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "node"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
 
 
-def _nearest(graph: Graph, ids: np.ndarray, v: np.ndarray, k: int, breadth: int) -> list[tuple[int, float]]:
-    if len(v) != graph.vectors.shape[1]:
-        return []
-    nodes = np.array(graph.nearest(v, k, breadth), np.int64)
-    gap = graph.vectors[nodes] - v
-    return list(zip(ids[nodes].tolist(), np.einsum("ij,ij->i", gap, gap).tolist(), strict=True))
-
-
 def neighbours(
     df: DataFrame, asks: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding",
     shard_rows: int = SHARD_ROWS, m: int = NEIGHBOURS, build: int = BUILD_BREADTH, breadth: int = SEARCH_BREADTH,
 ) -> DataFrame:
     """For each row whose id (``vec_id``) satisfies ``asks``: ``query_id``, ``rank``, ``vec_id`` and ``score``, the
     Euclidean distance, of the ``k`` nearest other rows."""
-    rows = _taking_part(df, key, vector)
-    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows = staged(rows.filter(F.size("v") == (common["n"] if common else 0)), "vectors")
+    rows = staged(_taking_part(df, key, vector), "vectors")
     nodes = staged(rows.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")), "nodes")
+    shards = staged(nodes.groupBy(F.size("v").alias("length")).agg(F.ceil(F.count("*") / shard_rows).alias("shards")), "shards")
     # Of equal vectors the k + 1 least ids: k, and one that may be the query. Spark limits groups before the shuffle.
     spread = Window.partitionBy("v", F.pmod("vec_id", F.lit(64))).orderBy("vec_id")
     least = rows.distinct().withColumn("r", F.row_number().over(spread)).filter(F.col("r") <= k + 1)
     least = least.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
     copies = least.join(nodes.filter("copies > 1").select("v", F.col("vec_id").alias("node")), "v").select("node", F.col("vec_id").alias("copy"))
-    shards = max(1, -(-nodes.count() // shard_rows))
     graphs = staged(index(nodes.select("vec_id", "v"), shards, m, build), "graphs")
     queries = rows.filter(asks).select("v", F.col("vec_id").alias("query_id")).distinct()
     asked = nodes.join(queries.select("v").distinct(), "v", "left_semi").select(F.col("vec_id").alias("query"), "v")
@@ -242,9 +275,9 @@ def neighbours(
     found = found.join(copies, "node", "left").withColumn("vec_id", F.coalesce("copy", "node"))
     of_node = queries.join(nodes.select("v", F.col("vec_id").alias("query")), "v").select("query", "query_id")
     found = found.join(of_node, "query").filter("vec_id != query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
     return (
         found.withColumn("rank", rank)
         .filter(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", F.sqrt("d2").alias("score"))
+        .select("query_id", "rank", "vec_id", F.col("distance").alias("score"))
     )

@@ -4,15 +4,18 @@ A classifier taught by the labelled table gives every document its probabilities
 on hashed words and document statistics, fitted on at most ``TRAIN_ROWS`` labelled rows (those with the least hash).
 A document then counts towards each domain with its tokens times the probability, and nonnegative rates r are sought:
 
-    minimise  1/2 sum_k (sum_d r_d t_d p_dk / T - target_k)^2 / share_k + ridge/2 sum_d t_d / T (r_d - 1)^2,   r >= 0
-
-where share_k is what domain k has at present, so that the ridge takes the same part of a rare domain as of a common
-one. The solution is r_d = max(1 - sum_k p_dk g_k / ridge, 0) with a number g_k per domain, and these few numbers
-minimise a convex function (the dual), by Newton steps. A step adds up some numbers per domain over all documents in
-Spark, at several step lengths at once, and steps end when the gradient is zero but for ``OPTIMAL`` of a domain's
-tokens. A document's rate follows from its own probabilities and g, so no state is kept per document, and any task
-can be run again. The totals reached come with the result; a target missed by more than ``TOLERANCE`` of itself (of
-the present share if it is zero), as nonnegative rates can't meet all, is logged.
+    minimise  1/2 sum_k (sum_d r_d t_d p_dk / T - target_k)^2 / base_k + ridge/2 sum_d t_d / T (r_d - 1)^2,   r >= 0
+
+where base_k is the less of what domain k has at present and is to have (what it has, if it is to have none), which
+preconditions rare domains, so that the ridge takes as little of a rare target as of a common one. It is solved by projected gradient steps with lazy projection: every step's gradient,
+which for a document is its probabilities times the domains' residuals, is added up before the projection, so the rates
+are r_d = max(1 - sum_k p_dk g_k / ridge, 0) with one accumulated number g_k per domain. A step adds up the tokens that
+the rates give each domain, over all documents in Spark; no state is kept per document, and any task can be run again.
+Steps are accelerated by Anderson mixing, that is by the combination of the last few steps whose gradients cancel best,
+and go back halfway where one grows the gradient. They end when the gradient is zero but for ``OPTIMAL`` of a domain's
+tokens; if it isn't after ``STEPS``, that is an error. The totals reached come with the result, and with them the
+domains whose target is missed by more than ``TOLERANCE`` of itself, as nonnegative rates can't meet all targets: every
+document has a little of every domain, so a target of zero is only approached.
 
 ``copies`` rounds a rate up or down by a hash of key and text, so that its expectation is the rate.
 
@@ -38,11 +41,10 @@ from spacegauge.llm.words import Texts, mix, sliced
 TRAIN_ROWS = 6_000
 BUCKETS = 1 << 16
 EPOCHS = 16
-RIDGE = 1e-3
-STEPS = 40
+RIDGE = 1e-4
+STEPS = 200
 TOLERANCE = 1e-2
 OPTIMAL = 1e-8
-_LENGTHS = 0.5 ** np.arange(8)
 
 _log = logging.getLogger(__name__)
 
@@ -203,47 +205,63 @@ def fit_rates(members: DataFrame, targets: Sequence[float], ridge: float = RIDGE
     total = present[-1]
     shares = present[:-1] / total
     own = shares > 0  # no rate changes a domain without tokens
+    base = weights_of(shares, targets)
     scale = np.maximum(shares, targets)
 
-    def looked_up(points: list[np.ndarray]) -> list[tuple]:
-        """For each point the dual's value, gradient and second derivatives, the shares reached, and itself."""
-
-        def add(t: np.ndarray, p: np.ndarray) -> np.ndarray:
-            out = []
-            for g in points:
-                rate, point = _rates(p, g, ridge)
-                out += [[t @ (rate * rate)], (t * rate) @ p, ((p * (t * (point > 0))[:, None]).T @ p).ravel()]
-            return np.concatenate(out)
-
-        found = []
-        for g, x in zip(points, np.split(_sums(members, add) / total, len(points)), strict=True):
-            reached = x[1 : k + 1]
-            value = g * g @ shares / 2 + ridge / 2 * x[0] + targets[own] @ g[own]
-            curve = np.diag(np.where(own, shares, 1)) + x[k + 1 :].reshape(k, k) / ridge
-            found.append((value, np.where(own, g * shares - reached + targets, 0), curve, reached, g))
-        return found
-
-    value, slope, curve, reached, g = looked_up([np.zeros(k)])[0]
+    def step(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The step that the gradient asks for at the rates by ``g``, and the shares reached."""
+        reached = _sums(members, lambda t, p: (t * _rates(p, g, ridge)[0]) @ p) / total
+        return np.where(own, (reached - targets) / base - g, 0), reached
+
+    def size(ahead: np.ndarray) -> float:
+        return float(np.abs(ahead * base / np.where(own, scale, 1)).max())
+
+    # Of a plain step; what the rates add to a domain grows no faster than its share.
+    length = ridge / ((shares / base).max() + ridge)
+    g = np.zeros(k)
+    ahead, reached = step(g)
+    points, steps_seen = [g], [ahead]
     for _ in range(steps):
-        if (np.abs(slope) <= OPTIMAL * scale).all():
+        if size(ahead) <= OPTIMAL:
             break
-        step = np.where(own, -np.linalg.solve(curve, slope), 0)
-        best = min(looked_up([g + length * step for length in _LENGTHS]), key=lambda x: x[0])
-        if best[0] >= value:  # as exact as the sums are
+        move = length * ahead
+        if len(points) > 1:
+            moved, turned = np.diff(points, axis=0).T, np.diff(steps_seen, axis=0).T
+            weights = np.linalg.lstsq(turned * base[:, None], ahead * base, rcond=1e-10)[0]
+            move = move - (moved + length * turned) @ weights
+        for _ in range(8):
+            tried = g + move
+            found, given = step(tried)
+            if size(found) < size(ahead):
+                break
+            move = move / 2
+        points, steps_seen = [*points, tried][-k - 1 :], [*steps_seen, found][-k - 1 :]
+        if size(found) >= size(ahead) and size(ahead) <= 1e-3 * tolerance:  # as exact as the sums are
             break
-        value, slope, curve, reached, g = best
-    if (np.abs(slope) > 1e-3 * tolerance * scale).any():
-        raise ArithmeticError(f"the rates are not settled after {steps} steps: gradient {slope}")
-    missed = np.abs(reached - targets) > tolerance * np.where(targets > 0, targets, shares)
-    if missed.any():
-        _log.warning("domains %s miss their targets: %s of %s reached", np.flatnonzero(missed).tolist(), reached.tolist(), targets.tolist())
+        g, ahead, reached = tried, found, given
+    if size(ahead) > 1e-3 * tolerance:
+        raise ArithmeticError(f"the rates are not settled after {steps} steps: gradient {ahead * base}")
+    if off := missed(targets, reached, tolerance):
+        _log.warning("domains %s miss their targets: %s of %s reached", off, reached.tolist(), targets.tolist())
     return g, reached
 
 
+def weights_of(shares: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """What a domain's miss is divided by; one for domains without tokens."""
+    base = np.where(targets > 0, np.minimum(shares, targets), shares)
+    return np.where(base > 0, base, 1)
+
+
+def missed(targets: Sequence[float], reached: np.ndarray, tolerance: float = TOLERANCE) -> list[int]:
+    """The domains that are off their target by more than the tolerance; of a target of zero, all that have tokens."""
+    targets = np.asarray(targets, float)
+    return np.flatnonzero(np.abs(reached - targets) > tolerance * targets).tolist()
+
+
 def mixed(df: DataFrame, labels: DataFrame, domain: Column, targets: Sequence[float], key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, ``text_no``, ``n_tokens``, the domains' probabilities ``p``, ``rate`` and ``copies``.
 
-    The metadata of ``rate`` hold the ``targets`` and the shares ``reached``.
+    The metadata of ``rate`` hold the ``targets``, the shares ``reached`` and the domains that ``missed``.
     """
     model = fitted(df, labels, domain, len(targets), key, text)
     members = staged(memberships(df, model, key, text), "memberships")
@@ -263,7 +281,7 @@ def mixed(df: DataFrame, labels: DataFrame, domain: Column, targets: Sequence[fl
     out = members.withColumn("draw", F.xxhash64("key", "text_no")).mapInArrow(
         rated, f"key {kind}, text_no long, n_tokens long, p array<double>, rate double, copies int"
     )
-    shares = {"targets": [float(x) for x in targets], "reached": reached.tolist()}
+    shares = {"targets": [float(x) for x in targets], "reached": reached.tolist(), "missed": missed(targets, reached)}
     return out.withColumn("rate", F.col("rate").alias("rate", metadata=shares)).withColumnRenamed("key", key)
 
 

@@ -33,9 +33,10 @@ def op4_kneser_ney_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.perplexities(docs.select("doc_id", "text", (_remainder(10) == 0).alias("held_out")))
 
 
-#: Domains by label: fit text, poor text, toxic text; and the tokens each is to have, as shares of all.
+#: Domains by label: fit text, poor text, toxic text; and the tokens each is to have, as shares of all. None is zero, which
+#: soft memberships can't reach.
 DOMAIN = "case when toxic = 1 then 2 when quality = 0 then 1 when quality = 1 then 0 end"
-TARGETS = (0.97, 0.0, 0.03)
+TARGETS = (0.96, 0.01, 0.03)
 
 
 def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
