@@ -25,6 +25,16 @@ def schema_spread(space_tables: DataFrame) -> DataFrame:
     )
 
 
+def spaces_to_split(space_tables: DataFrame, metric_views: DataFrame) -> DataFrame:
+    """Spaces with too many base tables, or tables of several schemas; one shuffle of partial sums by space."""
+    members = space_tables.withColumn("full_name", F.lower("table_id")).join(
+        metric_views.select("full_name", F.lit(1).alias("mv")), "full_name", "left"
+    )
+    by_schema = members.groupBy("space_id", X.schema_id(F.col("table_id")).alias("s")).agg(F.count_if(F.col("mv").isNull()).alias("n"))
+    spaces = by_schema.groupBy("space_id").agg(F.sum("n").alias("base"), F.count("s").alias("n_schemas"))
+    return spaces.where((budget_expr(F.col("base")) < 3) | (F.col("n_schemas") > 1)).select("space_id")
+
+
 def schema_spread_findings(spread: DataFrame) -> DataFrame:
     return spread.where("n_schemas > 1").select("space_id", "n_schemas")
 

@@ -141,20 +141,20 @@ def label_abbrevs(abbrevs: DataFrame, labels: DataFrame) -> DataFrame:
     return abbrevs.join(labels, "abbrev", "left")
 
 
-def mentioned_abbrevs(abbrevs: DataFrame, labels: DataFrame, space_text: DataFrame, **limits) -> DataFrame:
+def mentioned_abbrevs(abbrevs: DataFrame, labels: DataFrame, space_text: DataFrame) -> DataFrame:
     """Rows of ``abbrevs(space_id, abbrev)`` that occur, themselves or by full term, in their space's texts."""
     full_term = F.trim(F.element_at(F.split(F.lower("label"), "/"), 1))
     needles = label_abbrevs(abbrevs, labels).select(
         "space_id", "abbrev", F.explode(X.kept(F.col("abbrev"), full_term)).alias("needle")
     )
     texts = space_text.select("space_id", F.lower("text").alias("text"))
-    return contained(needles, texts, **limits).select("space_id", "abbrev")
+    return contained(needles, texts).select("space_id", "abbrev")
 
 
-def covered_abbrevs(abbrevs: DataFrame, labels: DataFrame, space_text: DataFrame, **limits) -> DataFrame:
+def covered_abbrevs(abbrevs: DataFrame, labels: DataFrame, space_text: DataFrame) -> DataFrame:
     """Whether an abbreviation, or its full term, occurs in the texts of its space."""
     distinct = abbrevs.select("space_id", "abbrev").distinct()
-    hits = mentioned_abbrevs(distinct, labels, space_text, **limits).distinct()
+    hits = mentioned_abbrevs(distinct, labels, space_text).distinct()
     return distinct.join(hits.withColumn("hit", F.lit(True)), ["space_id", "abbrev"], "left").select(
         "space_id", "abbrev", F.col("hit").isNotNull().alias("covered")
     )
@@ -166,11 +166,11 @@ def name_variants(space_tables: DataFrame) -> DataFrame:
     )
 
 
-def question_mentions(variants: DataFrame, questions: DataFrame, **limits) -> DataFrame:
+def question_mentions(variants: DataFrame, questions: DataFrame) -> DataFrame:
     """Tables that some question of their space mentions by any form of their name."""
     texts = questions.select("space_id", F.lower("question_text").alias("text"))
     needles = variants.withColumnRenamed("variant", "needle")
-    return contained(needles, texts, **limits).select("space_id", "table_id").distinct()
+    return contained(needles, texts).select("space_id", "table_id").distinct()
 
 
 def attach_recommendations(area_scores: DataFrame, recommendations: DataFrame) -> DataFrame:

@@ -6,35 +6,70 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-NUMBERED = 1 << 16  # rows of one key that are numbered in one task, where the order is even
+NUMBERED = 1 << 16  # rows of one key that are numbered in one part
+MOST_PARTS = 1 << 12
+SAMPLED = 16  # rows per part from which a key's parts are cut
+_STEP = 64
+
+
+def _same(columns: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(c).eqNullSafe(F.col(f"__their_{c}")) for c in columns])
+
+
+def _theirs(columns: Sequence[str]) -> list[Column]:
+    return [F.col(c).alias(f"__their_{c}") for c in columns]
+
+
+def in_parts(df: DataFrame, partition: Sequence[str], order: Sequence[str], size: int = NUMBERED) -> DataFrame:
+    """Distinct rows with their number as ``__n``, their ``__place`` in the order and the ``__part`` of their key they are in.
+
+    Keys of up to ``size`` rows are one part. Of a larger key, a sample is drawn by hash, a row as likely as it is
+    frequent, and quantiles of the sample's whole order, texts included, are where parts begin. So parts are about even
+    however uneven values are; rows equal in the order are told apart by a hash of the row, and equal rows are one row.
+    """
+    mine = [f"__their_{c}" for c in partition]
+    folded = df.groupBy(*df.columns).agg(F.count("*").alias("__n"))
+    folded = folded.withColumn("__place", F.struct(*order, F.xxhash64(*df.columns).alias("__hash")))
+    sizes = folded.groupBy(*_theirs(partition)).agg(F.sum("__n").alias("__total")).where(F.col("__total") > size)
+    sizes = sizes.withColumn("__parts", F.least(F.ceil(F.col("__total") / size), F.lit(MOST_PARTS)))
+    # A sampled row stands for as many rows as it has, or as one in so many that are drawn.
+    worth = F.col("__total") / (F.col("__parts") * SAMPLED)
+    chance = F.pmod(F.xxhash64(F.lit("sample"), "__place.__hash"), F.lit(1 << 30)) / (1 << 30)
+    drawn = folded.join(sizes, _same(partition)).where(chance < F.col("__n") / worth)
+    drawn = drawn.select(*mine, "__place", "__parts", F.greatest(F.col("__n"), worth).alias("__worth"))
+    upto = Window.partitionBy(*mine).orderBy("__place")
+    share = F.sum("__worth").over(Window.partitionBy(*mine)) / F.col("__parts")
+    cut = drawn.withColumn("__share", F.floor((F.sum("__worth").over(upto) - F.col("__worth")) / share))
+    begins = cut.groupBy(*mine, "__share").agg(F.min("__place").alias("__place"))
+    begins = begins.groupBy(*mine).agg(F.sort_array(F.collect_list("__place")).alias("__begins"))
+    begins = begins.withColumn("__steps", F.expr(f"transform(sequence(0, size(__begins) - 1, {_STEP}), i -> __begins[i])"))
+    rows = folded.join(begins, _same(partition), "left")
+    step = f"greatest(size(filter(__steps, s -> s <= __place)) - 1, 0) * {_STEP}"
+    part = f"{step} + size(filter(slice(__begins, {step} + 1, {_STEP}), s -> s <= __place))"
+    return rows.select(*df.columns, "__n", "__place", F.expr(f"if(__begins is null, 0, {part})").alias("__part"))
 
 
 def number_rows(df: DataFrame, partition: Sequence[str], order: Sequence[str], size: int = NUMBERED) -> DataFrame:
     """Number the rows of each partition from 1 in the given order, as ``seq``.
 
-    The range of a key's first order column, if that is a whole number, is split into as many parts as it has times
-    ``size`` rows. Rows are numbered within parts, and each part starts where those before it end, so a key that holds most of
-    the rows is spread over many tasks.
+    Rows are numbered within the parts of :func:`in_parts`, and each part starts where those before it end, so a key
+    that holds most of the rows is spread over many tasks.
     """
-    whole = df.schema[order[0]].dataType.typeName() in ("byte", "short", "integer", "long")
-    first = F.col(order[0]).cast("double") if whole else F.lit(0.0)
-    same = [F.col(c).eqNullSafe(F.col(f"__their_{c}")) for c in partition]
-    theirs = [F.col(c).alias(f"__their_{c}") for c in partition]
-    spans = df.groupBy(*theirs).agg(F.min(first).alias("__lo"), F.max(first).alias("__hi"), F.ceil(F.count("*") / size).alias("__parts"))
-    width = (F.col("__hi") - F.col("__lo") + 1) / F.col("__parts")
-    part = F.coalesce(F.floor((first - F.col("__lo")) / width), F.lit(-1)).alias("__part")  # null comes first
-    rows = df.join(spans, reduce(and_, same)).select(*df.columns, part)
-    sizes = rows.groupBy(*theirs, F.col("__part").alias("__their_part")).agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(*(f"__their_{c}" for c in partition)).orderBy("__their_part")) - F.col("__n")
-    starts = sizes.select(*(f"__their_{c}" for c in partition), "__their_part", before.alias("__before"))
-    # Dealt out by part too; the windows alone would be content with the join's partitions by key.
-    numbered = rows.repartition(*partition, "__part").withColumn("seq", F.row_number().over(Window.partitionBy(*partition, "__part").orderBy(*order)))
-    numbered = numbered.join(starts, reduce(and_, [*same, F.col("__part") == F.col("__their_part")]))
-    return numbered.select(*df.columns, (F.col("seq") + F.col("__before")).alias("seq"))
+    rows = in_parts(df, partition, order, size)
+    mine = [f"__their_{c}" for c in partition]
+    sizes = rows.groupBy(*_theirs(partition), F.col("__part").alias("__their_part")).agg(F.sum("__n").alias("__rows"))
+    before = F.sum("__rows").over(Window.partitionBy(*mine).orderBy("__their_part")) - F.col("__rows")
+    starts = sizes.select(*mine, "__their_part", before.alias("__before"))
+    # Dealt out by part too; the window alone would be content with partitions by key.
+    upto = F.sum("__n").over(Window.partitionBy(*partition, "__part").orderBy("__place"))
+    numbered = rows.repartition(*partition, "__part").withColumn("__upto", upto - F.col("__n"))
+    numbered = numbered.join(starts, _same(partition) & (F.col("__part") == F.col("__their_part")))
+    first = F.col("__before") + F.col("__upto")
+    return numbered.select(*df.columns, F.explode(F.sequence(first + 1, first + F.col("__n"))).alias("seq"))
 
 
 def ranked(df: DataFrame, partition: Sequence[str], order: Sequence, k: int, name: str = "rank") -> DataFrame:
@@ -55,12 +90,14 @@ def shown_items(items: DataFrame, k: int | None = None, order: Sequence[str] = (
 
 
 def first_k(items: DataFrame, k: int, order: Sequence[str] = ("ord", "sub", "item")) -> DataFrame:
-    """First ``k`` names per space and rule, with the number of names left out."""
-    by_rule = Window.partitionBy("space_id", "rule_id").orderBy(*order)
-    numbered = items.withColumn("rank", F.row_number().over(by_rule))
-    pairs = F.sort_array(F.collect_list(F.when(F.col("rank") <= k, F.struct("rank", "item"))))
-    return numbered.groupBy("space_id", "rule_id").agg(
-        F.transform(pairs, lambda p: p["item"]).alias("shown"), F.greatest(F.max("rank") - k, F.lit(0)).cast("bigint").alias("n_more")
+    """First ``k`` names per space and rule, with the number of names left out.
+
+    Names are cut to ``k`` before they are shuffled, and counted apart, so no key is ranked whole.
+    """
+    keys = ["space_id", "rule_id"]
+    sizes = items.groupBy(*keys).agg(F.count("*").alias("n"))
+    return shown_items(items, k, order).join(sizes, keys).select(
+        *keys, "shown", F.greatest(F.col("n") - k, F.lit(0)).alias("n_more")
     )
 
 

@@ -143,26 +143,23 @@ def restricted_findings(space_tables: DataFrame, tables: DataFrame) -> DataFrame
     return space_tables.join(sets.restricted_tables(tables), "table_id", "left_semi").select("space_id", "table_id")
 
 
-def unmapped_abbrevs(
-    space_tables: DataFrame,
-    columns: DataFrame,
-    space_text: DataFrame,
-    synonyms: DataFrame,
-    labels: DataFrame,
-    **limits,
-) -> DataFrame:
-    """Abbreviations in column names that neither a synonym nor an instruction of the space explains.
-
-    ``space_text(space_id, text)`` and ``synonyms(space_id, ordinal, place, synonym)`` hold one text per row. A full
-    term of several words may be spread over consecutive synonyms, which the joints between them cover.
-    """
+def space_abbrevs(space_tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """Short words in the names of each space's columns: distinct ``space_id, abbrev``."""
     tokens = sets.distinct_tokens(columns)
-    abbrevs = (
+    return (
         space_tables.select("space_id", "table_id")
         .join(tokens, "table_id")
         .select("space_id", F.col("token").alias("abbrev"))
         .distinct()
     )
+
+
+def explained_abbrevs(abbrevs: DataFrame, space_text: DataFrame, synonyms: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those of ``abbrevs`` that a synonym or an instruction of their space explains.
+
+    ``space_text(space_id, text)`` and ``synonyms(space_id, ordinal, place, synonym)`` hold one text per row. A full
+    term of several words may be spread over consecutive synonyms, which the joints between them cover.
+    """
     words = max(len(term.split()) for term in R.ABBREVIATION_LABELS.values())
     between = joints(
         synonyms, "space_id", ["ordinal", "place"], "synonym", " ", max(words - 1, 1), skip_blank=False
@@ -172,10 +169,20 @@ def unmapped_abbrevs(
         .unionByName(synonyms.select("space_id", F.col("synonym").alias("text")))
         .unionByName(between)
     )
-    mentioned = J.mentioned_abbrevs(abbrevs, labels, texts, **limits)
-    return J.label_abbrevs(abbrevs.join(mentioned, ["space_id", "abbrev"], "left_anti"), labels).select(
-        "space_id", "abbrev", "label"
-    )
+    return J.mentioned_abbrevs(abbrevs, labels, texts).distinct()
+
+
+def not_explained(abbrevs: DataFrame, explained: DataFrame, labels: DataFrame) -> DataFrame:
+    left = abbrevs.join(explained, ["space_id", "abbrev"], "left_anti")
+    return J.label_abbrevs(left, labels).select("space_id", "abbrev", "label")
+
+
+def unmapped_abbrevs(
+    space_tables: DataFrame, columns: DataFrame, space_text: DataFrame, synonyms: DataFrame, labels: DataFrame
+) -> DataFrame:
+    """Abbreviations in column names that neither a synonym nor an instruction of the space explains."""
+    abbrevs = space_abbrevs(space_tables, columns)
+    return not_explained(abbrevs, explained_abbrevs(abbrevs, space_text, synonyms, labels), labels)
 
 
 # ---- digests ----------------------------------------------------------------------------------

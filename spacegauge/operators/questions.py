@@ -69,7 +69,7 @@ def question_asks(questions: DataFrame) -> DataFrame:
     )
 
 
-def uncovered_tables(space_tables: DataFrame, questions: DataFrame, **limits) -> DataFrame:
+def uncovered_tables(space_tables: DataFrame, questions: DataFrame) -> DataFrame:
     """Tables no sample question mentions, in spaces with three questions and two tables at least."""
     asked = samples(questions).select("space_id", "question_text")
     enough = (
@@ -80,7 +80,7 @@ def uncovered_tables(space_tables: DataFrame, questions: DataFrame, **limits) ->
         .select("space_id")
     )
     members = space_tables.join(enough, "space_id", "left_semi")
-    mentioned = J.question_mentions(J.name_variants(members), asked, **limits)
+    mentioned = J.question_mentions(J.name_variants(members), asked)
     return members.join(mentioned, ["space_id", "table_id"], "left_anti").select("space_id", "table_id")
 
 

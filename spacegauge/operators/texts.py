@@ -6,7 +6,7 @@ around each joint: the last words before it and the first after it, however long
 
 A rule of ``n`` words spans a joint with at most ``n`` - 1 words on each side, so that many are kept. Where a text has
 fewer, the words before it are added, from as many texts as there can be words. Texts find their neighbours by number
-(:func:`spacegauge.operators.lists.number_rows`), so no group holds more than ``n`` rows.
+(:func:`spacegauge.operators.lists.number_rows`), for which only their ends are shuffled, so no group holds more than ``n`` rows.
 """
 
 from __future__ import annotations
@@ -45,14 +45,15 @@ def joints(
     blocks = texts.selectExpr(key, *order, f"coalesce({text}, '') as text")
     if skip_blank:
         blocks = blocks.where(r"text rlike '(?U)\\S'")
-    numbered = number_rows(blocks, [key], list(order)).selectExpr(
+    ends = blocks.selectExpr(
         key,
-        "seq",
+        *order,
         f"{_head(words)} as head",
         f"{_tail(words, 0)} as cut",
         f"{_tail(words, 1)} as line",
         "length(text) as size",
     )
+    numbered = number_rows(ends, [key], list(order))
     # A cut in the middle of a line is marked, lest it passes for a line's start.
     parts = numbered.selectExpr(
         key,

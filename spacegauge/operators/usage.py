@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spacegauge.operators.lists import ranked
+from spacegauge.sources.staging import staged
 
 BLOCK_ROWS = 256  # tables of one user-day paired within one group of the pair join
 
@@ -60,8 +61,8 @@ def access_sessions(audit: DataFrame) -> DataFrame:
     )
 
 
-def _pairs(rows: DataFrame, group: list[str], n: Column, block_rows: int) -> DataFrame:
-    """Pairs of ``table_name`` within ``group``, each once.
+def _pairs(rows: DataFrame, group: list[str], n: Column, block_rows: int, *carried: str) -> DataFrame:
+    """Pairs of ``table_name`` within ``group``, each once; of ``carried`` columns, both tables' values.
 
     A group of ``n`` tables is cut into blocks, and every two blocks meet in their own cell, so a user
     who reads very many tables in a day is spread over many tasks and no task pairs more than two blocks.
@@ -75,10 +76,11 @@ def _pairs(rows: DataFrame, group: list[str], n: Column, block_rows: int) -> Dat
         ),
     )
     placed = placed.withColumn("cell", F.explode(cells)).select("*", "cell.lo", "cell.hi").drop("cell")
-    a = placed.withColumnsRenamed({"table_name": "table_a", "block": "block_a"})
+    a = placed.withColumnsRenamed({"table_name": "table_a", "block": "block_a"} | {c: f"{c}_a" for c in carried})
     b = placed.select(
-        *group, "lo", "hi", F.col("table_name").alias("table_b"), F.col("block").alias("block_b")
-    )
+        *group, "lo", "hi", F.col("table_name").alias("table_b"), F.col("block").alias("block_b"),
+        *[F.col(c).alias(f"{c}_b") for c in carried],
+    )
     met = a.join(b, [*group, "lo", "hi"])
     return met.where(
         (F.col("table_a") < F.col("table_b"))
@@ -95,25 +97,28 @@ def session_pairs(sessions: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFram
     )
 
 
-def pair_counts(sessions: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Number of user-days in which two tables were read together.
+def _folded(sessions: DataFrame, *more: Column) -> DataFrame:
+    """User-days that read several tables, those with the same set of tables as one with a ``weight``.
 
-    User-days with the same set of tables are folded into one weighted set first: scheduled jobs read
-    the same tables day after day, and pairing each such set once removes most of the pair volume.
+    Scheduled jobs read the same tables day after day; pairing each such set once removes most of the pairs. ``more``
+    are further aggregates that depend on the tables alone.
     """
     shape = sessions.groupBy("user", "day").agg(
         F.count("*").alias("n"),
         F.bit_xor(F.xxhash64("table_name")).alias("h1"),
         F.bit_xor(F.xxhash64(F.lit("second"), "table_name")).alias("h2"),
         F.min("table_name").alias("least"),
+        *more,
     )
-    folded = (
-        shape.where("n > 1")
-        .groupBy("n", "h1", "h2", "least")
-        .agg(F.min(F.struct("user", "day")).alias("rep"), F.count("*").alias("weight"))
-        .select("rep.user", "rep.day", "n", "weight")
-    )
-    rows = sessions.join(folded, ["user", "day"])
+    kept = [c for c in shape.columns if c not in ("user", "day", "h1", "h2", "least")]
+    sets = shape.where("n > 1").groupBy("h1", "h2", "least", *kept)
+    folded = sets.agg(F.min(F.struct("user", "day")).alias("rep"), F.count("*").alias("weight"))
+    return folded.select("rep.user", "rep.day", *kept, "weight")
+
+
+def pair_counts(sessions: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Number of user-days in which two tables were read together."""
+    rows = sessions.join(_folded(sessions), ["user", "day"])
     return (
         _pairs(rows, ["user", "day"], F.col("n"), block_rows)
         .groupBy("table_a", "table_b")
@@ -131,6 +136,11 @@ def pairs_by_space(pairs: DataFrame, space_tables: DataFrame) -> DataFrame:
     sized = pairs.join(
         spread.withColumnsRenamed({"table_id": "table_a", "n_spaces": "spaces_a"}), "table_a"
     ).join(spread.withColumnsRenamed({"table_id": "table_b", "n_spaces": "spaces_b"}), "table_b")
+    return _placed(sized, members)
+
+
+def _placed(sized: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs with ``spaces_a`` and ``spaces_b``, in the spaces that hold both tables."""
     a_rarer = F.col("spaces_a") <= F.col("spaces_b")
     sided = sized.select(
         "table_a",
@@ -146,19 +156,85 @@ def pairs_by_space(pairs: DataFrame, space_tables: DataFrame) -> DataFrame:
     )
 
 
+def member_pairs(sessions: DataFrame, members: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Counts of all pairs of tables that share a space: ``space_id, table_a, table_b, n_sessions``.
+
+    ``members(space_id, table_id)`` are distinct. A user-day with fewer pairs than its tables have places in spaces is
+    paired as it is and its pairs are looked up; one with more, such as a service account's, is paired within spaces.
+    """
+    spread = members.groupBy(F.col("table_id").alias("table_name")).agg(F.count("*").alias("spaces"))
+    known = sessions.join(spread, "table_name")
+    folded = staged(_folded(known, F.sum("spaces").alias("reach")), "user-days")
+    within = F.col("n") * (F.col("n") - 1) / 2 > F.col("reach")
+    by_day = known.join(folded.where(~within), ["user", "day"])
+    # A pair's tables carry their spread, so that it need not be joined again.
+    by_day = _pairs(by_day, ["user", "day"], F.col("n"), block_rows, "spaces")
+    by_day = by_day.groupBy("table_a", "table_b", "spaces_a", "spaces_b").agg(F.sum("weight").alias("n_sessions"))
+    found = _placed(by_day, members)
+    if folded.where(within).isEmpty():
+        return found
+    placed = known.join(folded.where(within).drop("n"), ["user", "day"]).withColumnRenamed("table_name", "table_id")
+    placed = placed.join(members, "table_id").select("user", "day", "weight", "space_id", F.col("table_id").alias("table_name"))
+    sizes = placed.groupBy("user", "day", "space_id").agg(F.count("*").alias("n")).where("n > 1")
+    by_space = _pairs(placed.join(sizes, ["user", "day", "space_id"]), ["user", "day", "space_id"], F.col("n"), block_rows)
+    by_space = by_space.groupBy("space_id", "table_a", "table_b").agg(F.sum("weight").alias("n_sessions"))
+    return found.unionByName(by_space).groupBy("space_id", "table_a", "table_b").agg(F.sum("n_sessions").alias("n_sessions"))
+
+
 def top_pairs(space_pairs: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` most frequent pairs of each space."""
     return ranked(space_pairs, ["space_id"], [F.desc("n_sessions"), "table_a", "table_b"], k)
 
 
+def busiest_pairs(sessions: DataFrame, space_tables: DataFrame, k: int = 10, first: int | None = None) -> DataFrame:
+    """The ``k`` most frequent pairs of each space, found without pairing its other tables.
+
+    A pair is read together no more often than the less read of its tables. The ``first`` busiest tables of each space
+    (2 ``k`` unless given) are paired; where the next table is read less often than the k-th best pair, no other pair
+    can enter. Elsewhere all tables read as often as the k-th best pair are paired, or sixteen times as many of the
+    busiest while there are fewer than ``k`` pairs. Of pairs with equal counts those first in order of names are kept,
+    so a tie with the next table is settled if the k-th pair starts with the least name and ends before that table's.
+    """
+    first = first or 2 * k
+    members = staged(space_tables.select("space_id", "table_id").distinct(), "members")
+    tables = members.select(F.col("table_id").alias("table_name")).distinct()
+    sessions = staged(sessions.join(tables, "table_name", "left_semi"), "sessions")
+    reads = sessions.groupBy(F.col("table_name").alias("table_id")).agg(F.count("*").alias("reads"))
+    left = members.join(reads, "table_id")
+    out = few = None
+    while True:
+        order = [F.desc("reads"), "table_id"]
+        if few is None:
+            few = ranked(left, ["space_id"], order, first + 1)
+        else:  # more of the busiest, or all that are read as often as the last of enough pairs
+            left = left.join(open_spaces, "space_id")
+            more = ranked(left.where("kth_reads = 0"), ["space_id"], order, first + 1)
+            few = more.unionByName(left.where("kth_reads > 0 and reads >= kth_reads").withColumn("rank", F.lit(0))).drop("kth_reads")
+            left = left.drop("kth_reads")
+        few = staged(few, "busiest")
+        chosen = few.where(F.col("rank") <= first)
+        top = staged(top_pairs(member_pairs(sessions, chosen.select("space_id", "table_id")), k), "pairs")
+        last = top.where(F.col("rank") == k).select("space_id", F.struct("n_sessions", "table_a", "table_b").alias("kth"))
+        after = few.where(F.col("rank") == first + 1).join(last, "space_id", "left")
+        after = after.join(chosen.groupBy("space_id").agg(F.min("table_id").alias("least")), "space_id")
+        count = F.coalesce("kth.n_sessions", F.lit(0))
+        settled = (F.col("reads") < count) | (
+            (F.col("reads") == count) & (F.col("kth.table_a") == F.col("least")) & (F.col("kth.table_b") < F.col("table_id"))
+        )
+        unsettled = after.where(~F.coalesce(settled, F.lit(False))).select("space_id", count.alias("kth_reads"))
+        if unsettled.isEmpty():
+            return top if out is None else out.unionByName(top)
+        open_spaces = staged(unsettled, "open")
+        done = top.join(open_spaces, "space_id", "left_anti")
+        out = done if out is None else out.unionByName(done)
+        first *= 16
+
+
 def coaccess_pairs(
     audit: DataFrame, space_tables: DataFrame, as_of: str, days: int = 90, k: int = 10
 ) -> DataFrame:
-    """Top co-accessed pairs per space over the trailing window, over tables that belong to a space."""
-    sessions = access_sessions(since(audit, as_of, days)).join(
-        space_tables.select(F.col("table_id").alias("table_name")).distinct(), "table_name", "left_semi"
-    )
-    return top_pairs(pairs_by_space(pair_counts(sessions), space_tables), k)
+    """Top co-accessed pairs per space over the trailing window."""
+    return busiest_pairs(access_sessions(since(audit, as_of, days)), space_tables, k)
 
 
 def sample_audit(audit: DataFrame, rows: int | None = None) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +11,8 @@ from spacegauge.operators import findings as FD
 from spacegauge.operators import config_lint, metadata, recommend, scoring, usage
 from spacegauge.operators.findings import Sql, col, joined, say
 from spacegauge.plans.facts import Estate, column_items, space_facts, space_items
-from spacegauge.session import shared_folder
 from spacegauge.sources import readers, sinks
+from spacegauge.sources.staging import scratch, staged
 
 
 def scored_facts(estate: Estate, strict_compat: bool = False, items: DataFrame | None = None) -> DataFrame:
@@ -27,14 +25,6 @@ def scorecard(estate: Estate, strict_compat: bool = False) -> DataFrame:
     return scoring.scorecard(scored_facts(estate, strict_compat))
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a result to the shared folder and read it back, so that later steps start from there."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def staged_facts(estate: Estate, strict_compat: bool = False) -> tuple[DataFrame, DataFrame]:
     """Names behind the findings, and the scored wide rows that show them, each written once.
 
@@ -109,7 +99,18 @@ def run(
     audit: DataFrame | None = None,
 ) -> DataFrame:
     """Audit every space; write scorecard, area ratings, findings with their names, next steps, pattern gaps, spaces to
-    split, digests in pieces and reports under ``out``, and where there is lineage or audit, what it tells of use."""
+    split, digests in pieces and reports under ``out``, and where there is lineage or audit, what it tells of use.
+
+    Returns the written scorecard. What is staged on the way is removed.
+    """
+    with scratch(estate.spaces.sparkSession):
+        _written(estate, out, run_date, strict_compat, lineage, audit)
+    return estate.spaces.sparkSession.read.parquet(f"{out}/scorecard").where(F.col("run_date") == F.lit(run_date).cast("date"))
+
+
+def _written(
+    estate: Estate, out: str, run_date: str, strict_compat: bool, lineage: DataFrame | None, audit: DataFrame | None
+) -> None:
     items, scored = staged_facts(estate, strict_compat)
     tables = estate.space_tables
     flags = config_lint.pattern_flags(readers.sql_instructions(estate.instructions))
@@ -129,4 +130,3 @@ def run(
     sinks.write_table(column_items(estate.columns), f"{out}/column_items", run_date)
     sinks.write_recommendations(recommend.area_items(scored), f"{out}/recommendations", run_date)
     sinks.write_reports(report_rows(scored, run_date), f"{out}/reports", run_date)
-    return scored

@@ -1,11 +1,13 @@
 """The wide row of each space, from which scores, findings and recommendations are read.
 
-Inputs are reduced on their own key first (columns, tags and grants per table), tables are joined to
-their spaces once, and everything meets per space with each input aggregated before its shuffle.
+Inputs are reduced on their own key first (columns, tags and grants per table) and tables are joined to their spaces
+once. Then every input gives rows of ``space_id`` and its own measures, numbers to add up and flags to be or'ed; all of
+them are one union, added up in one aggregation, whose partial sums are taken before its only shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -124,21 +126,29 @@ MEMBER_COUNTS = {
 }
 
 
-def space_members(members: DataFrame) -> DataFrame:
-    """Counts over the tables of each space."""
+def member_measures(members: DataFrame) -> DataFrame:
+    """What each table of a space adds to the space."""
     sums = {
         "total_cols": "n_cols", "described": "n_described", "n_generic": "n_generic", "n_coded": "n_coded",
         "n_date_string": "n_date_string", "n_technical": "n_technical",
     }
-    aggregates = [
-        "count(*) as table_count",
-        "count_if(is_keyed) as keyed",
-        "count_if(is_tagged) as tagged",
-        "count_if(is_tagged and not is_mv) as base_tagged_count",
-        *[f"count_if({rule}) as {n}" for rule, n in MEMBER_COUNTS.items()],
-        *[f"sum({c}) as {n}" for n, c in sums.items()],
-    ]
-    return members.groupBy("space_id").agg(*[F.expr(x) for x in aggregates])
+    counts = {
+        "keyed": "is_keyed",
+        "tagged": "is_tagged",
+        "base_tagged_count": "is_tagged and not is_mv",
+        **{n: rule for rule, n in MEMBER_COUNTS.items()},
+    }
+    return members.selectExpr(
+        "space_id",
+        "1L as table_count",
+        *[f"if({cond}, 1L, 0L) as {n}" for n, cond in counts.items()],
+        *[f"cast({c} as bigint) as {n}" for n, c in sums.items()],
+    )
+
+
+def schema_measures(space_tables: DataFrame) -> DataFrame:
+    schemas = space_tables.select("space_id", X.schema_id(F.col("table_id")).alias("s")).distinct()
+    return schemas.selectExpr("space_id", "if(s is null, 0L, 1L) as n_schemas")
 
 
 # ---- names behind the findings ----------------------------------------------------------------
@@ -214,74 +224,75 @@ def extra_metric_views(space_tables: DataFrame, metric_views: DataFrame) -> Data
 
 
 # ---- instructions and questions ---------------------------------------------------------------
-def instruction_facts(instructions: DataFrame) -> DataFrame:
-    """Counts over all instructions of each space, from one pass over them."""
-    kind = F.col("instruction_type")
-    is_text, is_sql = kind == "TEXT_INSTRUCTION", kind == "SQL_INSTRUCTION"
-    is_join = kind == "FROM_SNIPPET"
+def instruction_measures(instructions: DataFrame) -> DataFrame:
+    """What each instruction adds to its space: example SQL, texts, joins and semantic expressions in one pass."""
+    kind, content = F.col("instruction_type"), F.col("content")
+    snippet = readers.snippet(content)
     rows = instructions.select(
         "space_id",
-        F.when(is_text, X.text_of(F.col("content"))).alias("text"),
-        F.when(is_sql, X.text_of(F.col("content"))).alias("sql"),
-        F.when(is_join, X.json_has_key(F.col("content"), "join")).alias("is_join"),
+        F.when(kind == "TEXT_INSTRUCTION", X.text_of(content)).alias("text"),
+        F.when(kind == "SQL_INSTRUCTION", X.text_of(content)).alias("example"),
+        F.when(kind == "FROM_SNIPPET", X.json_has_key(content, "join")).alias("is_join"),
+        F.when(kind == "SQL_SNIPPET", snippet).alias("snippet"),
     )
-    sql_rules, text_rules = C.sql_rules(), C.text_rules()
-    linted = rows.selectExpr(
+    rows = rows.withColumn("kind", C.classify_expression(F.col("snippet.expression_type"), F.col("snippet.code")))
+    sql_rules, text_rules = C.sql_rules("example"), C.text_rules()
+    return rows.selectExpr(
         "space_id",
-        "is_join",
-        "text is not null as is_text",
-        "sql is not null as is_sql",
-        *[f"if(sql is not null, {rule}, null) as {name}" for name, rule in sql_rules.items()],
+        "if(text is not null, 1L, 0L) as text_count",
+        "if(example is not null, 1L, 0L) as sql",
+        "if(is_join, 1L, 0L) as join_count",
+        "if(snippet is not null, 1L, 0L) as expr_count",
+        "if(snippet is not null and kind = 'measure', 1L, 0L) as n_measures",
+        "if(snippet is not null, cast(size(snippet.synonyms) as bigint), 0L) as n_synonyms",
+        f"if(example is not null and ({sql_rules['hardcoded']}), 1L, 0L) as n_hardcoded",
+        *[f"if(example is not null, {sql_rules[c]}, null) as {c}" for c in C.FLAGS],
         *[f"if(text is not null, cast({text_rules[m]} as bigint), null) as {m}" for m in C.TEXT_MEASURES],
     )
-    aggregates = [
-        "count_if(is_text) as text_count",
-        "count_if(is_sql) as sql",
-        "count_if(is_join) as join_count",
-        "count_if(hardcoded) as n_hardcoded",
-        *[f"coalesce(bool_or({c}), false) as {c}" for c in C.FLAGS],
-        *[f"coalesce(sum({m}), 0) as {m}" for m in C.TEXT_MEASURES],
-    ]
-    return linted.groupBy("space_id").agg(*[F.expr(x) for x in aggregates])
 
 
-def expression_facts(expressions: DataFrame) -> DataFrame:
-    kind = C.classify_expression(F.col("expression_type"), F.col("code"))
-    return expressions.select("space_id", kind.alias("kind"), F.size("synonyms").alias("n")).groupBy("space_id").agg(
-        F.count("*").alias("expr_count"),
-        F.count_if(F.col("kind") == "measure").alias("n_measures"),
-        F.sum("n").alias("n_synonyms"),
+def question_measures(question_rows: DataFrame) -> DataFrame:
+    """What each sample and benchmark adds to its space."""
+    sample, bench = "question_type = 'SAMPLE_QUESTION'", "question_type = 'BENCHMARK'"
+    counts = {
+        "samples": sample,
+        "benchmarks": bench,
+        "n_missing_gold": f"{bench} and not coalesce(answer_text, '') rlike r'(?U)\\S'",
+        "n_hardcoded_gold": f"{bench} and {R.HARDCODED_GOLD_SQL.hit_sql('answer_text')}",
+    }
+    return question_rows.selectExpr(
+        "space_id",
+        *[f"if({cond}, 1L, 0L) as {n}" for n, cond in counts.items()],
+        *[f"{sample} and {rule.hit_sql('lower(question_text)')} as {n}" for n, rule in R.QUESTION_PATTERNS.items()],
     )
 
 
-def question_facts(question_rows: DataFrame) -> DataFrame:
-    """Counts over samples and benchmarks of each space, from one pass over them."""
-    sample, bench = "question_type = 'SAMPLE_QUESTION'", "question_type = 'BENCHMARK'"
-    aggregates = [
-        f"count_if({sample}) as samples",
-        f"count_if({bench}) as benchmarks",
-        f"count_if({bench} and not coalesce(answer_text, '') rlike r'(?U)\\S') as n_missing_gold",
-        f"count_if({bench} and {R.HARDCODED_GOLD_SQL.hit_sql('answer_text')}) as n_hardcoded_gold",
-        *[
-            f"bool_or({sample} and {rule.hit_sql('lower(question_text)')}) as {n}"
-            for n, rule in R.QUESTION_PATTERNS.items()
-        ],
-    ]
-    return question_rows.groupBy("space_id").agg(*[F.expr(x) for x in aggregates])
+# ---- the whole --------------------------------------------------------------------------------
+def summed(pieces: Sequence[DataFrame]) -> DataFrame:
+    """Measures of all inputs per space: numbers added up, flags or'ed, whichever input they come from.
 
+    Flags are packed into the bits of one number, as rows of more than a hundred fields fall out of generated code.
+    """
+    kinds = {f.name: f.dataType.typeName() for piece in pieces for f in piece.schema.fields if f.name != "space_id"}
+    numbers = [n for n, kind in kinds.items() if kind != "boolean"]
+    flags = {n: 1 << i for i, n in enumerate(n for n, kind in kinds.items() if kind == "boolean")}
 
-def question_joints(question_rows: DataFrame) -> DataFrame:
-    asks = questions.question_joint_asks(questions.samples(question_rows))
-    return asks.groupBy("space_id").agg(*[F.bool_or(n).alias(f"joint_{n}") for n in R.QUESTION_PATTERNS])
+    def packed(piece: DataFrame) -> DataFrame:
+        own = [f"if({n}, {bit}L, 0L)" for n, bit in flags.items() if n in piece.columns]
+        added = [f"coalesce({n}, 0L) as {n}" if n in piece.columns else f"0L as {n}" for n in numbers]
+        return piece.selectExpr("space_id", *added, f"{' | '.join(own) or '0L'} as flags")
 
+    rows = reduce(lambda a, b: a.union(b), map(packed, pieces))
+    spaces = rows.groupBy("space_id").agg(*[F.sum(n).alias(n) for n in numbers], F.bit_or("flags").alias("flags"))
+    return spaces.selectExpr("space_id", *numbers, *[f"(flags & {bit}L) != 0 as {n}" for n, bit in flags.items()])
 
-# ---- the whole --------------------------------------------------------------------------------
-def _count(df: DataFrame, name: str) -> DataFrame:
-    return df.groupBy("space_id").agg(F.count("*").alias(name))
+
+def _each(df: DataFrame, name: str, n: int = 1) -> DataFrame:
+    return df.select("space_id", F.lit(n).cast("long").alias(name))
 
 
 def _flag(df: DataFrame, name: str) -> DataFrame:
-    return df.select("space_id").distinct().withColumn(name, F.lit(True))
+    return df.select("space_id", F.lit(True).alias(name))
 
 
 class _Parts:
@@ -293,19 +304,27 @@ class _Parts:
         self.members = member_facts(e, strict_compat)
         self.sqls = readers.sql_instructions(e.instructions)
         self.texts = readers.text_instructions(e.instructions)
-        self.expressions = readers.parse_expressions(e.instructions)
         self.unknown = C.unknown_table_refs(self.sqls, e.space_tables, strict_compat)
-        self.uncovered = questions.uncovered_tables(e.space_tables, e.questions)
-        readable = e.columns.join(e.tables.where("error is null").select("table_id"), "table_id", "left_semi")
-        self.unmapped = metadata.unmapped_abbrevs(
-            e.space_tables,
-            readable,
-            self.texts.select("space_id", "text"),
-            readers.explode_synonyms(self.expressions),
-            joins.label_table(e.spaces.sparkSession),
-        )
         self.extra = extra_metric_views(e.space_tables, readers.metric_views(e.tables))
 
+    def abbreviations(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Those in names of readable columns per space, those explained, and the fixed table of full terms."""
+        e = self.estate
+        readable = e.columns.join(e.tables.where("error is null").select("table_id"), "table_id", "left_semi")
+        synonyms = readers.explode_synonyms(readers.parse_expressions(e.instructions))
+        labels = joins.label_table(e.spaces.sparkSession)
+        abbrevs = metadata.space_abbrevs(e.space_tables, readable)
+        return abbrevs, metadata.explained_abbrevs(abbrevs, self.texts.select("space_id", "text"), synonyms, labels), labels
+
+    @property
+    def unmapped(self) -> DataFrame:
+        abbrevs, explained, labels = self.abbreviations()
+        return metadata.not_explained(abbrevs, explained, labels)
+
+    @property
+    def uncovered(self) -> DataFrame:
+        return questions.uncovered_tables(self.estate.space_tables, self.estate.questions)
+
 
 def space_items(estate: Estate, strict_compat: bool = False) -> DataFrame:
     """Every name behind the findings of a space: ``space_id, rule_id, ord, sub, item``.
@@ -342,59 +361,62 @@ def space_facts(estate: Estate, strict_compat: bool = False, items: DataFrame |
     per_warehouse = spaces.join(e.warehouses.select("warehouse_id", "is_serverless"), "warehouse_id", "left").join(
         locked_warehouses, "warehouse_id", "left"
     )
-    verdicts = e.description_verdicts.select("space_id", curation.missing_elements().alias("desc_missing"))
     locked_spaces = locked.where("object_type = 'space'").select(
         F.col("object_id").try_cast(spaces.schema["space_id"].dataType).alias("space_id")
     )
     parts = _Parts(estate, strict_compat)
+    lacking = [f"not coalesce({element}, true) as lacks_{element}" for element in R.DESCRIPTION_ELEMENTS]
     pieces = [
-        space_members(parts.members),
-        curation.schema_spread(e.space_tables),
-        instruction_facts(e.instructions),
-        C.text_joint_hits(parts.texts).withColumnsRenamed({n: f"joint_{n}" for n in C.JOINED_RULES}),
-        expression_facts(parts.expressions),
-        question_facts(e.questions),
-        question_joints(e.questions),
+        member_measures(parts.members),
+        schema_measures(e.space_tables),
+        instruction_measures(e.instructions),
+        C.text_joints(parts.texts),  # what spans two texts is added to what is in them
+        question_measures(e.questions),
+        questions.question_joint_asks(questions.samples(e.questions)),
         _flag(locked_spaces, "not_shared"),
-        verdicts,
+        e.description_verdicts.selectExpr("space_id", *lacking),
     ]
     if items is None:
-        pieces += [
-            _count(parts.unknown, "n_unknown"),
-            _count(parts.uncovered, "n_uncovered"),
-            _count(parts.unmapped, "n_unmapped"),
+        # Counts of what is left over are differences, so that no set is subtracted from another before the shuffle.
+        abbrevs, explained, _ = parts.abbreviations()
+        variants = joins.name_variants(e.space_tables)
+        counts = [
+            _each(parts.unknown, "n_unknown"),
+            _each(joins.question_mentions(variants, questions.samples(e.questions)), "n_mentioned"),
+            _each(abbrevs, "n_unmapped"),
+            _each(explained, "n_unmapped", -1),
             _flag(parts.extra, "has_extra_views"),
         ]
     else:
-        pieces += [_item_counts(items), shown_names(items, space_column_items(e, 5))]
-    wide = reduce(lambda a, b: a.join(b, "space_id", "left"), [per_warehouse, *pieces])
+        counted = {"unknown_tables": "n_unknown", "uncovered": "n_uncovered", "unmapped": "n_unmapped"}
+        counts = [
+            items.selectExpr(
+                "space_id",
+                *[f"if(rule_id = '{rule}', 1L, 0L) as {n}" for rule, n in counted.items()],
+                "rule_id = 'metric_views_extra' as has_extra_views",
+            )
+        ]
+    # Rows that only count are many; they are added up in narrow rows before they join the others.
+    pieces.append(summed(counts))
+    wide = per_warehouse.join(summed(pieces), "space_id", "left")
+    if items is None:
+        unasked = "if(samples >= 3 and table_count >= 2, table_count - coalesce(n_mentioned, 0), 0L)"
+        wide = wide.withColumn("n_uncovered", F.expr(unasked)).drop("n_mentioned")
+    else:
+        wide = wide.join(shown_names(items, space_column_items(e, 5)), "space_id", "left")
+    named = [F.when(F.col(f"lacks_{element}"), label) for element, label in R.DESCRIPTION_ELEMENTS.items()]
+    wide = wide.withColumn("desc_missing", X.kept(*named)).drop(*[f"lacks_{element}" for element in R.DESCRIPTION_ELEMENTS])
     return _completed(wide, with_names=items is not None)
 
 
-def _item_counts(items: DataFrame) -> DataFrame:
-    """The counts that only the items tell, in one pass over them."""
-    counted = {"unknown_tables": "n_unknown", "uncovered": "n_uncovered", "unmapped": "n_unmapped"}
-    return items.groupBy("space_id").agg(
-        *[F.expr(f"count_if(rule_id = '{rule}')").alias(n) for rule, n in counted.items()],
-        F.expr("bool_or(rule_id = 'metric_views_extra')").alias("has_extra_views"),
-    )
-
-
 def _completed(wide: DataFrame, with_names: bool) -> DataFrame:
-    """Defaults for spaces that lack an input, joints added in, and the columns derived from others."""
-    defaults = {"long": "0", "integer": "0", "boolean": "false"}
+    """Defaults for spaces that no input mentions, and the columns derived from others."""
+    defaults = {"long": "0L", "boolean": "false"}
     own = ("space_id", "title", "description", "warehouse_id", "is_serverless")
-    joint = [*C.JOINED_RULES, *R.QUESTION_PATTERNS]
-    skipped = {f"joint_{n}" for n in joint} | set(joint)
     filled = []
     for field in wide.schema.fields:
         name, default = field.name, defaults.get(field.dataType.typeName())
-        if name in own or (default is None and name not in skipped):
-            filled.append(name)
-        elif name not in skipped:
-            filled.append(f"coalesce({name}, {default}) as {name}")
-    filled += [f"coalesce({n}, 0) + coalesce(joint_{n}, 0) as {n}" for n in C.JOINED_RULES]
-    filled += [f"coalesce({n}, false) or coalesce(joint_{n}, false) as {n}" for n in R.QUESTION_PATTERNS]
+        filled.append(name if name in own or default is None else f"coalesce({name}, {default}) as {name}")
     if not with_names:
         filled.append("cast(map() as map<string, array<string>>) as shown")
     return wide.selectExpr(*filled).selectExpr(

@@ -6,7 +6,7 @@ that schema, so tables and views can be audited as well as files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spacegauge.functions import rules as R
@@ -114,26 +114,28 @@ def _of_kind(instructions: DataFrame, kind: str) -> DataFrame:
     return instructions.where(F.col("instruction_type") == kind)
 
 
-def parse_expressions(instructions: DataFrame) -> DataFrame:
-    """Semantic expressions (measures, dimensions, filters) from their JSON; malformed JSON leaves empty fields."""
-    parsed = _of_kind(instructions, "SQL_SNIPPET").select(
-        "space_id", "ordinal", F.from_json("content", S.SNIPPET).alias("j")
-    )
-    kind = X.text_of(F.col("j.type"))
-    return parsed.select(
-        "space_id",
-        "ordinal",
+def snippet(content: Column) -> Column:
+    """A semantic expression out of its JSON, as a struct; malformed JSON leaves empty fields."""
+    parsed = F.from_json(content, S.SNIPPET)
+    kind = X.text_of(parsed["type"])
+    return F.struct(
         F.when(kind.contains("MEASURE"), "MEASURE")
         .when(kind.contains("DIMENSION"), "DIMENSION")
         .when(kind.contains("FILTER"), "FILTER")
         .otherwise(kind)
         .alias("expression_type"),
-        X.text_of(X.first_present(F.col("j.display_name"), F.col("j.alias"))).alias("name"),
-        X.text_of(F.col("j.code")).alias("code"),
-        F.coalesce("j.synonyms", F.expr(X.NO_ARRAY)).alias("synonyms"),
+        X.text_of(X.first_present(parsed["display_name"], parsed["alias"])).alias("name"),
+        X.text_of(parsed["code"]).alias("code"),
+        F.coalesce(parsed["synonyms"], F.expr(X.NO_ARRAY)).alias("synonyms"),
     )
 
 
+def parse_expressions(instructions: DataFrame) -> DataFrame:
+    """Semantic expressions: measures, dimensions and filters."""
+    parsed = _of_kind(instructions, "SQL_SNIPPET").select("space_id", "ordinal", snippet(F.col("content")).alias("j"))
+    return parsed.select("space_id", "ordinal", "j.*")
+
+
 def explode_synonyms(expressions: DataFrame) -> DataFrame:
     """Every synonym, one per row, in the order of ``ordinal`` (its expression's) and ``place``."""
     return expressions.select("space_id", "ordinal", F.posexplode("synonyms").alias("place", "synonym"))

@@ -202,3 +202,45 @@ def test_read_events(spark, tmp_path):
     assert SRC.read_audit(spark, path, "2024-03-31", 14).count() == 0
     with pytest.raises(ValueError):
         SRC.load(spark, path, "a INT", "avro")
+
+
+# ---- results that are replaced -------------------------------------------------------------------
+def test_a_rerun_replaces_its_run_only(spark, tmp_path):
+    """A run that finds nothing any more leaves nothing; other runs stay, and a failing run leaves the former one whole."""
+    from spacegauge.sources import sinks
+
+    path = str(tmp_path / "findings")
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "space_id int, message string")
+    read = lambda: sorted(tuple(r) for r in spark.read.parquet(path).selectExpr("space_id", "message", "cast(run_date as string)").collect())
+    sinks.write_findings(rows, path, "2024-01-30")
+    sinks.write_findings(rows, path, "2024-01-31")
+    sinks.write_findings(rows.where("space_id = 1"), path, "2024-01-31")
+    assert read() == [(1, "a", "2024-01-30"), (1, "a", "2024-01-31"), (2, "b", "2024-01-30")]
+    with pytest.raises(Exception, match="USER_RAISED|boom"):
+        sinks.write_findings(rows.selectExpr("space_id", "if(space_id = 2, raise_error('boom'), message) as message"), path, "2024-01-31")
+    assert read() == [(1, "a", "2024-01-30"), (1, "a", "2024-01-31"), (2, "b", "2024-01-30")]
+    sinks.write_findings(rows.where("false"), path, "2024-01-31")
+    assert read() == [(1, "a", "2024-01-30"), (2, "b", "2024-01-30")]
+    assert sorted(p.name for p in (tmp_path / "findings").iterdir() if not p.name.startswith(".")) == ["run_date=2024-01-30", "run_date=2024-01-31"]
+
+
+def test_staged_tables_go_after_use(spark):
+    from pathlib import Path
+
+    from spacegauge.session import shared_folder
+    from spacegauge.sources import staging
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    with staging.scratch(spark):
+        kept = staging.staged(spark.range(5).toDF("x"), "scoped")
+        assert kept.count() == 5 and list(folder.glob("scoped-*"))
+    assert not list(folder.glob("scoped-*"))
+
+
+def test_lists_are_cut_before_the_shuffle(spark):
+    from spacegauge.operators.lists import first_k
+
+    items = spark.range(100).selectExpr("id % 2 as space_id", "'r' as rule_id", "id as ord", "0 as sub", "cast(id as string) as item")
+    few = first_k(items, 3)
+    assert "WindowGroupLimit" in few._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.space_id, r.shown, r.n_more) for r in few.collect()) == [(0, ["0", "2", "4"], 47), (1, ["1", "3", "5"], 47)]

@@ -134,3 +134,56 @@ def test_sample_audit_is_off_unless_asked(spark):
     assert U.sample_audit(audit).count() == audit.count()
     first = U.sample_audit(audit, 5).select(F.col("user_email")).collect()
     assert len(first) == 5 and {r[0] for r in first} == {"job"}
+
+
+# ---- the busiest pairs ---------------------------------------------------------------------------
+def top_by_all_pairs(sessions, members, k):
+    """(space, rank, pair, count) by pairing everything."""
+    days, counts = {}, Counter()
+    for user, day, table in sessions:
+        days.setdefault((user, day), set()).add(table)
+    for tables in days.values():
+        counts.update(itertools.combinations(sorted(tables), 2))
+    out = set()
+    for space in {s for s, _ in members}:
+        own = {t for s, t in members if s == space}
+        pairs = sorted((-n, p) for p, n in counts.items() if set(p) <= own)[:k]
+        out |= {(space, i, *p, -n) for i, (n, p) in enumerate(pairs, 1)}
+    return out
+
+
+def busiest(spark, sessions, members, k, first=None):
+    df = spark.createDataFrame(sorted(sessions), "user string, day int, table_name string")
+    tables = spark.createDataFrame(members, "space_id int, table_id string")
+    return {(r.space_id, r["rank"], r.table_a, r.table_b, r.n_sessions) for r in U.busiest_pairs(df, tables, k, first).collect()}
+
+
+@pytest.mark.parametrize("first", [1, 2, 5, None])
+def test_busiest_pairs_equal_all_pairs(spark, first):
+    """Ties, spaces of one table and of tables never read, a job that reads everything, and several rounds."""
+    rng = random.Random(first or 0)
+    sessions = {(f"u{rng.randint(0, 8)}", rng.randint(0, 5), f"t{min(rng.randint(0, 30), rng.randint(0, 30)):02d}") for _ in range(300)}
+    sessions |= {("job", d, f"t{t:02d}") for d in range(3) for t in range(40)}
+    members = sorted({(s, f"t{rng.randint(0, 45):02d}") for s in range(6) for _ in range(4 * s)} | {(7, "t00"), (8, "x"), (8, "y")})
+    assert busiest(spark, sessions, members, 3, first) == top_by_all_pairs(sessions, members, 3)
+
+
+def test_service_account_makes_few_pairs(spark, monkeypatch):
+    """An account that reads 20,000 tables of a space makes under 1 % of its pairs, whether busier tables stand out or all tie."""
+    made, pairs_of = [], U._pairs
+
+    def counted(rows, group, *args):
+        found = pairs_of(rows, group, *args)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(U, "_pairs", counted)
+    everything = spark.range(20_000).selectExpr("'job' as user", "1 as day", "concat('t', lpad(id, 5, '0')) as table_name")
+    people = spark.range(400).selectExpr("concat('u', id div 4) as user", "2 as day", "concat('t', lpad(19990 - id % 4, 5, '0')) as table_name")
+    members = everything.selectExpr("1 as space_id", "table_name as table_id")
+    tied = U.busiest_pairs(everything, members, 10).collect()
+    assert sorted((r.table_a, r.table_b, r.n_sessions) for r in tied) == [("t00000", f"t{i:05d}", 1) for i in range(1, 11)]
+    top = {(r.table_a, r.table_b): r.n_sessions for r in U.busiest_pairs(everything.union(people), members, 5).collect()}
+    names = [f"t{19990 - i:05d}" for i in range(4)]
+    assert len(top) == 5 and all(n == 101 and set(p) <= set(names) for p, n in top.items())
+    assert sum(made) <= 0.01 * (20_000 * 19_999 / 2)

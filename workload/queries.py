@@ -178,10 +178,14 @@ add("src20_audit", lambda d: U.since(SRC.audit(nested_audit(d)), AS_OF, DAYS).se
 
 # ---- sinks ------------------------------------------------------------------------------------
 def written(df: DataFrame, write: Callable) -> DataFrame:
-    """Write a result to a fresh folder of the shared place and read it back."""
-    path = f"{shared_folder(df.sparkSession)}/sink-{uuid.uuid4().hex}"
+    """Write a result where runs of that date and of another were written before, and read what is there of that date."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/sink-{uuid.uuid4().hex}"
+    stale = spark.range(3).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
+    for date in ("2024-01-30", AS_OF):
+        write(stale, path, date)
     write(df, path, AS_OF)
-    return df.sparkSession.read.parquet(path)
+    return spark.read.parquet(path).where(F.col("run_date") == F.lit(AS_OF).cast("date"))
 
 
 SCORES_SQL = ", ".join(f"s.score_{a}" for a in R.AREAS)
@@ -330,7 +334,7 @@ add("tk01_top_edges", lambda d: big(U.top_edges(U.edge_counts(U.since(d.b_lineag
 TOP_PAIRS_SQL = f"""select space_id, table_a, table_b, n_sessions, rank from (select *, row_number() over (partition by space_id
     order by n_sessions desc, table_a, table_b) as rank from (select a.space_id, p.* from ({PAIR_COUNTS_SQL}) p
     join b_space_tables a on a.table_id = p.table_a join b_space_tables b on b.space_id = a.space_id and b.table_id = p.table_b) j) r where rank <= {{k}}"""
-add("tk02_top_pairs", lambda d: big(U.top_pairs(U.pairs_by_space(U.pair_counts(sessions(d)), d.space_tables), 3), "rank"), TOP_PAIRS_SQL.format(k=3))
+add("tk02_top_pairs", lambda d: big(U.busiest_pairs(sessions(d), d.space_tables, 3), "rank"), TOP_PAIRS_SQL.format(k=3))
 add("tk03_sample_audit", lambda d: U.sample_audit(d.b_audit, 500).select("user_email", F.to_date("event_time").alias("day"), "table_name"),
     "select user_email, cast(event_time as date) as day, table_name from b_audit order by user_email, day, table_name, event_time limit 500")
 DIGEST_SQL = """select table_id, coalesce(string_agg(case when described then name || ': ' || substr(comment, 1, 60) end, '; ' order by ordinal)
@@ -721,7 +725,7 @@ GAP_PATTERNS = [
 add("rc08_pattern_gaps", lambda d: big(C.pattern_gaps(counts(d), C.pattern_flags(d.sqls)), "seq"),
     "select space_id, row_number() over (partition by space_id order by k) as seq, pattern from ("
     + " union all ".join(f"select space_id, {i} as k, {lit(t)} as pattern from o_facts where {c}" for i, (c, t) in enumerate(GAP_PATTERNS)) + ") g")
-add("rc09_needs_domain_split", lambda d: S.needs_domain_split(CU.table_budget_score(base(d)).withColumn("area", F.lit(1)), CU.schema_spread(d.space_tables)), "select space_id from o_scores where score_1 < 3 or n_schemas > 1")
+add("rc09_needs_domain_split", lambda d: CU.spaces_to_split(d.space_tables, d.metric_views), "select space_id from o_scores where score_1 < 3 or n_schemas > 1")
 add("rc10_metadata_digest", lambda d: M.metadata_digest(d.space_tables, d.tables, d.columns),
     f"""select m.space_id, string_agg('Table: ' || m.short || chr(10) || 'Description: ' || trim(coalesce(nullif(m.comment, ''), 'No description'))
         || chr(10) || 'Columns: ' || coalesce(g.digest, ''), chr(10) || chr(10) order by m.ordinal) as digest
