@@ -41,7 +41,7 @@ from spacegauge.llm.words import Texts, mix, sliced
 TRAIN_ROWS = 6_000
 BUCKETS = 1 << 16
 EPOCHS = 16
-RIDGE = 1e-4
+RIDGE = 1e-3
 STEPS = 200
 TOLERANCE = 1e-2
 OPTIMAL = 1e-8
