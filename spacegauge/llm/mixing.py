@@ -177,19 +177,15 @@ def _copies(rate: np.ndarray, draw: np.ndarray) -> np.ndarray:
     return np.floor(rate + (mix(draw.view(np.uint64)) >> np.uint64(11)) / 2.0**53).astype(np.int64)
 
 
-def _sums(members: DataFrame, values) -> np.ndarray:
-    """The sums over all rows of what ``values`` gives for a batch's tokens and probabilities."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
-        for batch in batches:
-            if batch.num_rows:
-                total = total + values(batch.column(0).to_numpy().astype(float), _matrix(batch.column(1)))
-        if not np.isscalar(total):
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["i", "v"])
-
-    sums = members.select("n_tokens", "p").mapInArrow(add, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-    return np.array([r["v"] for r in sorted(sums, key=lambda r: r["i"])])
+def _tokens(members: DataFrame, g: np.ndarray, ridge: float) -> tuple[np.ndarray, float]:
+    """The tokens that the rates by ``g`` give each domain, and all tokens at present; added up in generated code."""
+    p = [F.col("p")[i] for i in range(len(g))]
+    point = F.lit(1.0)
+    for share, number in zip(p, g, strict=True):
+        point = point - share * F.lit(float(number) / ridge)
+    weight = F.col("n_tokens") * F.greatest(point, F.lit(0.0))
+    row = members.agg(*[F.sum(weight * share) for share in p], F.sum("n_tokens")).first()
+    return np.array([x or 0.0 for x in row[:-1]], float), float(row[-1] or 0)
 
 
 def fit_rates(members: DataFrame, targets: Sequence[float], ridge: float = RIDGE, steps: int = STEPS, tolerance: float = TOLERANCE):
@@ -199,18 +195,17 @@ def fit_rates(members: DataFrame, targets: Sequence[float], ridge: float = RIDGE
     """
     targets = np.asarray(targets, float)
     k = len(targets)
-    present = _sums(members, lambda t, p: np.append(t @ p, t.sum()))
-    if not len(present) or not present[-1]:
+    present, total = _tokens(members, np.zeros(k), ridge)
+    if not total:
         return np.zeros(k), targets
-    total = present[-1]
-    shares = present[:-1] / total
+    shares = present / total
     own = shares > 0  # no rate changes a domain without tokens
     base = weights_of(shares, targets)
     scale = np.maximum(shares, targets)
 
     def step(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The step that the gradient asks for at the rates by ``g``, and the shares reached."""
-        reached = _sums(members, lambda t, p: (t * _rates(p, g, ridge)[0]) @ p) / total
+        reached = _tokens(members, g, ridge)[0] / total
         return np.where(own, (reached - targets) / base - g, 0), reached
 
     def size(ahead: np.ndarray) -> float:
