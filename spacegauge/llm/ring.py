@@ -9,8 +9,9 @@ fixed by the ring and does not grow with the data; keys then look up their cell.
 up to the rows exactly, so counts differ by one at most (law ``rows``); a larger load bounds every shard by that
 multiple of the mean and moves fewer keys when shards are added.
 
-Defined results: a null text has no bytes; rows of equal key share a cell and are numbered by checksum and size, and
-equal rows in any order; null keys share one cell; an empty table gives no rows; other columns are not read.
+Defined results: a null text has no bytes; rows of equal key share a cell and are numbered by checksum and size (by parts
+of the cell, if it has more than ``part`` rows), and equal rows in any order; null keys share one cell; an empty table gives
+no rows; other columns are not read. A ring with so few cells that a shard finds no place on it is an error.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ NODES = 64
 """Virtual nodes of a shard."""
 OVERHEAD = 16
 """Bytes that a row takes besides its text."""
+PART = 1 << 16
+"""Rows of a cell that are numbered together."""
 
 
 def ring(spark: SparkSession, shards: int, nodes: int = NODES, cells: int = CELLS) -> DataFrame:
@@ -92,9 +95,14 @@ _WALK = """
 """
 
 
-def _segments(settled: DataFrame) -> DataFrame:
+def _segments(settled: DataFrame, shards: int) -> DataFrame:
     per_shard = settled.groupBy("shard").agg((F.first("capacity") - F.sum("stays")).alias("room"), F.sum("stays").alias("own"))
-    rooms = per_shard.agg(F.expr("transform(array_sort(collect_list(struct(shard, room))), x -> x.room)").alias("room"))
+    rooms = per_shard.agg(
+        F.expr(
+            f"if(count(*) = {shards}, transform(array_sort(collect_list(struct(shard, room))), x -> x.room), "
+            "raise_error('a shard has no place on the ring: take more cells or fewer nodes'))"
+        ).alias("room")
+    )
     per_node = settled.groupBy("node", "shard").agg(F.sum(F.col("n") - F.col("stays")).alias("n"))
     walk = per_node.agg(
         F.expr("transform(array_sort(collect_list(struct(node, shard))), x -> x.shard)").alias("ring"),
@@ -106,8 +114,36 @@ def _segments(settled: DataFrame) -> DataFrame:
     )
 
 
+def _ranked(rows: DataFrame, home: DataFrame, part: int) -> DataFrame:
+    """Rows with their cell's columns of ``home`` and their ``rank`` in the cell, from 0.
+
+    Equal rows are one row with a number before they are shuffled, and then one row for every ``part`` of them. A cell
+    of more than ``part`` rows is dealt out by hash into as many parts, each of which starts where those before it end,
+    so neither a key that holds most of the rows nor a group of equal rows meets in one task.
+    """
+    folded = rows.groupBy("cell", "key", "size", "text_crc32").agg(F.count("*").alias("equal"))
+    pieces = folded.withColumn("piece", F.explode(F.expr(f"sequence(0L, (equal - 1) div {part})")))
+    pieces = pieces.withColumn("equal", F.expr(f"least({part}, equal - piece * {part})"))
+    dealt = pieces.join(home, "cell").withColumn(
+        "part", F.expr(f"pmod(xxhash64('part', key, size, text_crc32, piece), (n - 1) div {part} + 1)")
+    )
+    begins = dealt.groupBy("cell", "part").agg(F.sum("equal").alias("rows"))
+    begins = begins.selectExpr("cell", "part", "sum(rows) over (partition by cell order by part) - rows as begin")
+    order = "order by xxhash64(key), text_crc32, size, piece rows between unbounded preceding and current row"
+    within = dealt.withColumn("before", F.expr(f"sum(equal) over (partition by cell, part {order}) - equal"))
+    numbered = within.join(begins, ["cell", "part"])
+    return numbered.withColumn("rank", F.expr("explode(sequence(begin + before, begin + before + equal - 1))"))
+
+
 def sharded(
-    df: DataFrame, shards: int, load: float = 1.0, key: str = "doc_id", text: str = "text", nodes: int = NODES, cells: int = CELLS
+    df: DataFrame,
+    shards: int,
+    load: float = 1.0,
+    key: str = "doc_id",
+    text: str = "text",
+    nodes: int = NODES,
+    cells: int = CELLS,
+    part: int = PART,
 ) -> DataFrame:
     """Per row: key, ``size``, ``text_crc32``, ``home`` (the shard of an unbounded ring), ``shard`` and its ``slot``."""
     spark = df.sparkSession
@@ -120,14 +156,14 @@ def sharded(
         place.alias("cell"),
         (F.octet_length(content) + OVERHEAD).cast("long").alias("size"),
         F.crc32(content).alias("text_crc32"),
-    ).withColumn("rank", F.expr("cast(row_number() over (partition by cell order by xxhash64(key), text_crc32, size) - 1 as bigint)"))
+    )
     # Both tables have a size that the ring fixes: one row a cell, and at most a row a node and shard.
-    home = F.broadcast(settled.select("cell", "node", F.col("shard").alias("home"), "first_slot", "stays", "over_before"))
-    placed = rows.join(home, "cell").withColumn("over", F.expr("over_before + rank - stays"))
+    home = F.broadcast(settled.select("cell", "node", F.col("shard").alias("home"), "n", "first_slot", "stays", "over_before"))
+    placed = _ranked(rows, home, part).withColumn("over", F.expr("over_before + rank - stays"))
     stays = placed.filter("rank < stays").select(
         "key", "size", "text_crc32", "home", F.col("home").alias("shard"), F.expr("first_slot + rank").alias("slot")
     )
-    segments = F.broadcast(_segments(settled))
+    segments = F.broadcast(_segments(settled, shards))
     moves = placed.filter("rank >= stays").join(segments, F.expr("node = from_node and over >= lo and over < hi"))
     moves = moves.select("key", "size", "text_crc32", "home", F.col("next_shard").alias("shard"), F.expr("over + shift").alias("slot"))
     return stays.unionByName(moves).withColumnRenamed("key", key)

@@ -146,6 +146,30 @@ def test_ring_moves_little(documents):
     assert sum(one[i] != two[i] for i in one) < 0.25 * len(one)
 
 
+def test_ring_splits_a_hot_key(spark):
+    """A third of the rows have no key and half of those are equal: every slot is taken once, and no part is large."""
+    df = spark.range(6000).selectExpr("if(id % 3 = 0, null, id) as doc_id", "if(id % 6 = 0, 'same', cast(id as string)) as text")
+    out = ring.sharded(df, 7, nodes=4, cells=64, part=100)
+    rows = out.collect()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and {len(s) for s in slots.values()} <= {857, 858}
+    expected = Counter((r.doc_id, len(r.text) + 16, zlib.crc32(r.text.encode())) for r in df.collect())
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == expected
+    cells = ring._ranked(
+        df.selectExpr("doc_id as key", "0L as cell", "1L as size", "crc32(text) as text_crc32"), spark.sql("select 0L as cell, 6000L as n"), 100
+    )
+    assert sorted(r["rank"] for r in cells.collect()) == list(range(6000))
+    sizes = [r["count"] for r in cells.groupBy("part").count().collect()]
+    assert len(sizes) == 60 and max(sizes) < 300
+
+
+def test_ring_without_room_for_a_shard(spark):
+    with pytest.raises(Exception, match="no place on the ring"):
+        ring.sharded(spark.range(300).selectExpr("id as doc_id", "'t' as text"), 7, cells=64).collect()
+
+
 def test_ring_of_awkward_rows(messy, none, rows):
     out = ring.sharded(messy, 3, cells=64).collect()
     assert Counter(r.doc_id for r in out) == Counter(i for i, _ in rows) and {r.size for r in out if r.doc_id == 1} == {16}
