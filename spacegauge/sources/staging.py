@@ -26,6 +26,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, wherever Spark can read."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder wherever Spark can write."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -187,3 +187,52 @@ def test_service_account_makes_few_pairs(spark, monkeypatch):
     names = [f"t{19990 - i:05d}" for i in range(4)]
     assert len(top) == 5 and all(n == 101 and set(p) <= set(names) for p, n in top.items())
     assert sum(made) <= 0.01 * (20_000 * 19_999 / 2)
+
+
+# ---- pairs kept current --------------------------------------------------------------------------
+@pytest.mark.parametrize("block_rows", [3, 256])
+def test_kept_pairs_equal_the_batch(spark, tmp_path, block_rows):
+    """Batches out of order, with a row within the watermark, one beyond it and one that an earlier batch had."""
+    rows = audit_rows()
+    random.Random(2).shuffle(rows)
+    source, out, checkpoint = (str(tmp_path / name) for name in ("audit", "out", "checkpoint"))
+    late = [
+        (datetime(2024, 1, 8, 12), "u0", "getTable", "t00"),
+        (datetime(2024, 1, 3, 13), "u0", "getTable", "within"),
+        (datetime(2024, 1, 1, 3), "job", "getTable", "beyond"),
+    ]
+    # A watermark holds from the batch after the next on.
+    slices = [rows[part::4] + rows[:5] for part in range(4)] + [late[:1], late[:1], late[1:]]
+    for part in slices:
+        spark.createDataFrame(part, AUDIT).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(AUDIT).option("maxFilesPerTrigger", 1).parquet(source)
+    run = lambda: coaccess.write_pairs(coaccess.coaccess_stream(stream, "5 days"), out, checkpoint, block_rows=block_rows)
+    query = run()
+    query.awaitTermination()
+    assert coaccess.rows_too_late(query) == 1
+    _, pairs = brute(rows + late[:2])
+    counts = lambda **kw: {(r[0], r[1]): r[2] for r in coaccess.kept_pairs(spark, out, **kw).collect()}
+    assert counts() == dict(pairs)
+    assert len({r.batch_id for r in spark.read.parquet(f"{out}/pairs").select("batch_id").distinct().collect()}) > 3
+    _, recent = brute([r for r in rows + late[:2] if r[0] >= datetime(2024, 1, 3)])
+    assert counts(as_of="2024-01-04", days=1) == dict(recent)
+    assert "PartitionFilters: [isnotnull(day" in _plan(coaccess.kept_pairs(spark, out, "2024-01-04", 1))
+    run().awaitTermination()  # nothing new, nothing added
+    assert counts() == dict(pairs)
+
+
+def test_a_batch_that_is_run_again_replaces_its_part(spark, tmp_path):
+    """The last batch's commit is lost, so it is run again on a stream that starts from its checkpoint."""
+    rows = audit_rows()
+    source, out, checkpoint = (str(tmp_path / name) for name in ("audit", "out", "checkpoint"))
+    for part in range(2):
+        spark.createDataFrame(rows[part::2], AUDIT).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(AUDIT).option("maxFilesPerTrigger", 1).parquet(source)
+    run = lambda: coaccess.write_pairs(coaccess.coaccess_stream(stream, "9 days"), out, checkpoint).awaitTermination()
+    run()
+    last = max(int(p.name) for p in (tmp_path / "checkpoint" / "commits").iterdir() if p.name.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        (tmp_path / "checkpoint" / "commits" / name).unlink(missing_ok=True)
+    run()
+    _, pairs = brute(rows)
+    assert {(r[0], r[1]): r[2] for r in coaccess.kept_pairs(spark, out).collect()} == dict(pairs)
