@@ -11,9 +11,15 @@ from spacegauge.sources.staging import staged
 BLOCK_ROWS = 256  # tables of one user-day paired within one group of the pair join
 
 
-def since(df: DataFrame, as_of: str, days: int, ts: str = "event_time") -> DataFrame:
-    """Rows of the trailing window that starts ``days`` before ``as_of``."""
-    return df.where(F.col(ts) >= F.date_sub(F.lit(as_of).cast("date"), days).cast("timestamp_ntz"))
+def since(df: DataFrame, as_of: str, days: int, ts: str = "event_time", day: str = "event_date") -> DataFrame:
+    """Rows of the trailing window that starts ``days`` before ``as_of``.
+
+    Where events lie by ``day``, only the days of the window are read, and the one before, as days may have been taken in
+    another time zone. Rows without a day are judged by their time alone.
+    """
+    first = F.date_sub(F.lit(as_of).cast("date"), days)
+    recent = df.where(F.col(ts) >= first.cast("timestamp_ntz"))
+    return recent.where(F.col(day).isNull() | (F.col(day) >= F.date_sub(first, 1))) if day in df.columns else recent
 
 
 # ---- lineage ----------------------------------------------------------------------------------

@@ -255,7 +255,7 @@ def metric_views(tables: DataFrame) -> DataFrame:
 
 # ---- events -----------------------------------------------------------------------------------
 def read_lineage(spark: SparkSession, path: str, as_of: str, days: int = 90, fmt: str = "parquet") -> DataFrame:
-    return since(lineage(load(spark, path, S.LINEAGE, fmt)), as_of, days)
+    return lineage(since(load(spark, path, S.LINEAGE, fmt), as_of, days))
 
 
 def lineage(df: DataFrame) -> DataFrame:
@@ -279,7 +279,7 @@ def read_audit(
     spark: SparkSession, path: str, as_of: str, days: int = 90, fmt: str = "parquet", sample_rows: int | None = None
 ) -> DataFrame:
     """Table reads of the trailing window, nested fields taken out; ``sample_rows`` keeps the first rows only."""
-    return sample_audit(since(audit(load(spark, path, S.AUDIT, fmt)), as_of, days), sample_rows)
+    return sample_audit(audit(since(load(spark, path, S.AUDIT, fmt), as_of, days)), sample_rows)
 
 
 def audit(df: DataFrame) -> DataFrame:

@@ -28,12 +28,13 @@ ACL = (
 )
 WAREHOUSES = ("warehouse_id STRING, enable_serverless_compute BOOLEAN, error STRING")
 VERDICTS = ("space_id STRING, metrics BOOLEAN, dimensions BOOLEAN, grain BOOLEAN, users BOOLEAN")
+# Events may lie in a folder a day, named by event_date.
 LINEAGE = (
-    "source_table_full_name STRING, target_table_full_name STRING, event_time TIMESTAMP"
+    "source_table_full_name STRING, target_table_full_name STRING, event_time TIMESTAMP, event_date DATE"
 )
 AUDIT = (
     "request_params STRUCT<full_name_arg: STRING>, user_identity STRUCT<email: STRING>, "
-    "action_name STRING, event_time TIMESTAMP"
+    "action_name STRING, event_time TIMESTAMP, event_date DATE"
 )
 
 # Content of an instruction of kind SQL_SNIPPET.

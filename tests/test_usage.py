@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spacegauge.operators import usage as U
+from spacegauge.sources import readers
 from spacegauge.streaming import coaccess
 
 AUDIT = "event_time timestamp, user_email string, action_name string, table_name string"
@@ -129,6 +131,36 @@ def test_stream_drops_only_rows_past_the_watermark(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(day" in _plan(recent)
 
 
+@pytest.mark.parametrize("by_day", [True, False])
+def test_events_are_read_by_day(spark, tmp_path, by_day):
+    """Equal results with and without folders by day; with them, only those of the window are read."""
+    rows = [(datetime(2024, 1, d, h), f"t{d}", f"u{h}") for d in range(1, 11) for h in (0, 23)] + [(None, "t", "u")]
+    events = spark.createDataFrame(rows, "event_time timestamp, a string, b string").withColumn("event_date", F.to_date("event_time"))
+    edges = events.withColumnsRenamed({"a": "source_table_full_name", "b": "target_table_full_name"})
+    reads = events.select(
+        F.struct(F.col("a").alias("full_name_arg")).alias("request_params"),
+        F.struct(F.col("b").alias("email")).alias("user_identity"),
+        F.lit("getTable").alias("action_name"),
+        "event_time",
+        "event_date",
+    )
+    for df, name in ((edges, "lineage"), (reads, "audit")):
+        if by_day:
+            df.write.partitionBy("event_date").parquet(str(tmp_path / name))
+        else:
+            df.drop("event_date").write.parquet(str(tmp_path / name))
+    found = readers.read_lineage(spark, str(tmp_path / "lineage"), "2024-01-10", 3)
+    expected = sorted(r for r in rows if r[0] and r[0] >= datetime(2024, 1, 7))
+    assert sorted(map(tuple, found.collect())) == expected
+    audit = readers.read_audit(spark, str(tmp_path / "audit"), "2024-01-10", 3)
+    assert sorted((r.event_time, r.table_name, r.user_email) for r in audit.collect()) == expected
+    for df in (found, audit):
+        assert set(df.columns) & {"event_date"} == set()
+        if by_day:
+            # The window and the day before it, and rows without a day.
+            assert re.search(r"PartitionFilters: \[\(isnull\(event_date#\d+\) OR \(event_date#\d+ >= 2024-01-06\)\)\]", _plan(df))
+
+
 def test_sample_audit_is_off_unless_asked(spark):
     audit = spark.createDataFrame(audit_rows(), AUDIT)
     assert U.sample_audit(audit).count() == audit.count()
