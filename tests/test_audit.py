@@ -244,3 +244,16 @@ def test_lists_are_cut_before_the_shuffle(spark):
     few = first_k(items, 3)
     assert "WindowGroupLimit" in few._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.space_id, r.shown, r.n_more) for r in few.collect()) == [(0, ["0", "2", "4"], 47), (1, ["1", "3", "5"], 47)]
+
+
+def test_metric_views_are_unfolded_last(spark, monkeypatch):
+    """The rows of every space and view are made above all joins, so that none of them is shuffled."""
+    monkeypatch.setattr(J, "VIEWS", 3)
+    views = spark.createDataFrame([(f"m.{s}", f"m.{s}.v{i}") for s in "ab" for i in range(20)], "schema_id string, full_name string")
+    members = [(1, "M.a.v3"), (1, "m.A.v3"), (1, "m.a.t"), (2, "m.b.v19"), (2, "m.a.v0"), (3, "m.c.v1"), (4, "v1"), (None, "m.a.v1")]
+    out = J.split_metric_views(views, spark.createDataFrame(members, "space_id int, table_id string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline" in plan and plan.index("Generate inline") < plan.index("Join")
+    expected = [(s, f"m.{c}.v{i}", (s, c, i) in {(1, "a", 3), (2, "b", 19), (2, "a", 0)})
+                for s, c in ((1, "a"), (2, "a"), (2, "b"), (None, "a")) for i in range(20)]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, expected))
