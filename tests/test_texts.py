@@ -172,3 +172,19 @@ def test_question_wording_across_questions(spark):
     got = {r["space_id"]: r["asks_compare"] for r in question_asks(df).collect()}
     assert got == {1: True, 2: False, 3: True}
     assert R.QUESTION_PATTERNS["asks_time"].pattern.startswith(r"\btrend")
+
+
+def test_small_keys_are_numbered_as_they_are(spark):
+    """Only rows of large keys go through parts; null keys, ties and equal rows are numbered either way."""
+    rows = [(k, i % 7, "ab"[i % 2]) for k, n in ((1, 40), (2, 5), (None, 30), (None, 3), (3, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k int, pos int, v string")
+    out = number_rows(df, ["k"], ["pos"], 10)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "LeftSemi" in plan
+    for size in (10, 1000):
+        found = sorted(number_rows(df, ["k"], ["pos"], size).collect(), key=str)
+        assert sorted(((r.k, r.pos, r.v) for r in found), key=str) == sorted(rows, key=str)
+        for key in (1, 2, 3, None):
+            mine = sorted((r.seq, r.pos) for r in found if r.k == key)
+            assert [n for n, _ in mine] == list(range(1, len(mine) + 1))
+            assert [p for _, p in mine] == sorted(p for _, p in mine)
