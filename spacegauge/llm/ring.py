@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spacegauge.llm.tables import staged
+
 CELLS = 1 << 16
 NODES = 64
 """Virtual nodes of a shard."""
@@ -149,7 +151,10 @@ def sharded(
     spark = df.sparkSession
     place = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(cells))
     counts = df.select(place.alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
-    settled = _settled(counts, spark, shards, load, nodes, cells)
+    # Both tables have a size that the ring fixes: one row a cell, and at most a row a node and shard. They are written, so
+    # that the plan over the rows does not hold the ring once for every place that looks it up.
+    settled = staged(_settled(counts, spark, shards, load, nodes, cells), "cells")
+    segments = staged(_segments(settled, shards), "segments")
     content = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))
     rows = df.select(
         F.col(f"`{key}`").alias("key"),
@@ -157,13 +162,10 @@ def sharded(
         (F.octet_length(content) + OVERHEAD).cast("long").alias("size"),
         F.crc32(content).alias("text_crc32"),
     )
-    # Both tables have a size that the ring fixes: one row a cell, and at most a row a node and shard.
     home = F.broadcast(settled.select("cell", "node", F.col("shard").alias("home"), "n", "first_slot", "stays", "over_before"))
-    placed = _ranked(rows, home, part).withColumn("over", F.expr("over_before + rank - stays"))
-    stays = placed.filter("rank < stays").select(
-        "key", "size", "text_crc32", "home", F.col("home").alias("shard"), F.expr("first_slot + rank").alias("slot")
-    )
-    segments = F.broadcast(_segments(settled, shards))
-    moves = placed.filter("rank >= stays").join(segments, F.expr("node = from_node and over >= lo and over < hi"))
-    moves = moves.select("key", "size", "text_crc32", "home", F.col("next_shard").alias("shard"), F.expr("over + shift").alias("slot"))
-    return stays.unionByName(moves).withColumnRenamed("key", key)
+    placed = _ranked(rows, home, part).withColumn("over", F.expr("if(rank >= stays, over_before + rank - stays, null)"))
+    moved = placed.join(F.broadcast(segments), F.expr("node = from_node and over >= lo and over < hi"), "left")
+    return moved.select(
+        F.col("key").alias(key), "size", "text_crc32", "home",
+        F.expr("if(rank < stays, home, next_shard)").alias("shard"), F.expr("if(rank < stays, first_slot + rank, over + shift)").alias("slot"),
+    )

@@ -170,6 +170,12 @@ def test_ring_without_room_for_a_shard(spark):
         ring.sharded(spark.range(300).selectExpr("id as doc_id", "'t' as text"), 7, cells=64).collect()
 
 
+def test_ring_is_not_run_through_again_for_the_rows(documents):
+    """The ring and what moves are tables by the time rows are placed; the plan over the rows numbers these once."""
+    plan = ring.sharded(documents, 40)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 2 and "Union" not in plan
+
+
 def test_ring_of_awkward_rows(messy, none, rows):
     out = ring.sharded(messy, 3, cells=64).collect()
     assert Counter(r.doc_id for r in out) == Counter(i for i, _ in rows) and {r.size for r in out if r.doc_id == 1} == {16}
