@@ -268,3 +268,25 @@ def test_a_batch_that_is_run_again_replaces_its_part(spark, tmp_path):
     run()
     _, pairs = brute(rows)
     assert {(r[0], r[1]): r[2] for r in coaccess.kept_pairs(spark, out).collect()} == dict(pairs)
+
+
+def test_edges_go_to_spaces_as_lists(spark, monkeypatch):
+    """No row is ranked per edge and space, and a space of many tables, repeated members and null ends give the same edges."""
+    rng = random.Random(8)
+    seen = {(f"t{rng.randint(0, 40)}", rng.choice([None, f"t{rng.randint(0, 40)}"])): rng.randint(1, 3) for _ in range(300)}
+    members = [(s, f"t{t}") for s in range(40) for t in ((s % 41, 3) if s else range(41))] + [(5, "t3"), (None, "t3"), (7, None)]
+    monkeypatch.setattr(U, "BLOCK_ROWS", 8)
+    rows = []
+    ranked = U.ranked
+    monkeypatch.setattr(U, "ranked", lambda df, *more: rows.append(df.count()) or ranked(df, *more))
+    edges = spark.createDataFrame([(*e, n) for e, n in seen.items()], "source_table string, target_table string, n long")
+    out = U.top_edges(edges, spark.createDataFrame(members, "space_id int, table_id string"), 6)
+    found = sorted(((r.space_id, r["rank"], r.source_table, r.target_table, r.n) for r in out.collect()), key=str)
+    expected = []
+    for space in {s for s, _ in members}:
+        held = {t for s, t in members if s == space and t}
+        mine = [e for e in seen if held & set(e)]
+        best = sorted(mine, key=lambda e: (-seen[e], e[0], e[1] is not None, e[1] or ""))[:6]
+        expected += [(space, i + 1, *e, seen[e]) for i, e in enumerate(best)]
+    assert found == sorted(expected, key=str)
+    assert max(rows) <= 2 * len(seen)
