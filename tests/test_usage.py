@@ -290,3 +290,27 @@ def test_edges_go_to_spaces_as_lists(spark, monkeypatch):
         expected += [(space, i + 1, *e, seen[e]) for i, e in enumerate(best)]
     assert found == sorted(expected, key=str)
     assert max(rows) <= 2 * len(seen)
+
+
+def test_pairs_of_long_user_days_share_lists(spark, monkeypatch):
+    """User-days go to the spaces as lists of numbers, cut where long; weights, ties of lists and small days add up."""
+    monkeypatch.setattr(U, "LISTED", 4)
+    joined = []
+    pairs = U._pairs
+    monkeypatch.setattr(U, "_pairs", lambda rows, group, n, *more: joined.append((group, rows)) or pairs(rows, group, n, *more))
+    rng = random.Random(9)
+    day = datetime(2024, 1, 1).date()
+    visits = {f"u{u}": {rng.randint(0, 29) for _ in range(rng.choice([2, 8, 12]))} for u in range(60)}
+    visits |= {f"job{i}": {1, 2, 3, 4, 5, 6, 7} for i in range(5)}
+    sessions = spark.createDataFrame([(u, day, f"t{t:02d}") for u, ts in visits.items() for t in ts], "user string, day date, table_name string")
+    spaces = {s: {rng.randint(0, 29) for _ in range(5)} for s in range(30)} | {99: set(range(30))}
+    members = spark.createDataFrame([(s, f"t{t:02d}") for s, ts in spaces.items() for t in ts], "space_id int, table_id string")
+    found = {(r.space_id, r.table_a, r.table_b): r.n_sessions for r in U.member_pairs(sessions, members, 4).collect()}
+    expected = Counter()
+    for s, held in spaces.items():
+        for ts in visits.values():
+            expected.update((s, f"t{a:02d}", f"t{b:02d}") for a, b in itertools.combinations(sorted(held & ts), 2))
+    assert found == expected
+    by_space = [rows for group, rows in joined if "space_id" in group]
+    places = sum(len(ts & held) for ts in visits.values() for held in spaces.values())
+    assert by_space and by_space[0].count() < places and "user" not in by_space[0].columns
