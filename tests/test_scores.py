@@ -172,3 +172,19 @@ def test_external_grants(spark):
     assert got == {"a": False, "b": True, "c": False, "d": True}
     strict = {r["table_id"]: r["has_external_grant"] for r in external_grants(grants, tables, strict_compat=True).collect()}
     assert strict == {"a": False, "b": False, "c": False, "d": True}
+
+
+def test_semantic_findings_join_nothing(spark):
+    """Repeated and null spaces, spaces that only inputs know, and held metric views; all inputs meet in one aggregation."""
+    spaces = spark.createDataFrame([(i,) for i in (1, 2, 2, 3, 4, 5, None)], "space_id int")
+    code = [(1, "MEASURE", "x"), (2, "FILTER", "a"), (3, "MEASURE", "y"), (9, "FILTER", "b"), (None, "MEASURE", "z")]
+    code += [(4, kind, "c") for kind in ("MEASURE", "FILTER", "FILTER")]
+    expressions = spark.createDataFrame(code, "space_id int, expression_type string, code string")
+    synonyms = spark.createDataFrame([(1, "s"), (1, "t"), (4, "u"), (None, "v")], "space_id int, synonym string")
+    held = spark.createDataFrame([(3, "a.b.c"), (3, "a.b.d"), (None, "a.b.e")], "space_id int, full_name string")
+    out = C.semantic_findings(spaces, expressions, synonyms, held)
+    found = sorted((str(r.space_id), r.message.split(";")[0]) for r in out.collect())
+    none = "Expressions: no measure, dimension, filter or synonym"
+    lacks = ["Expressions: no measure", "Expressions: no synonym", "Expressions: only 1"]
+    assert found == sorted([("1", lacks[2]), *[("2", x) for x in lacks * 2], ("5", none), ("None", none)])
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
