@@ -270,6 +270,19 @@ def test_a_batch_that_is_run_again_replaces_its_part(spark, tmp_path):
     assert {(r[0], r[1]): r[2] for r in coaccess.kept_pairs(spark, out).collect()} == dict(pairs)
 
 
+def test_a_batch_writes_few_files_a_day(spark, tmp_path, monkeypatch):
+    """Rows are dealt out by day before they are written, so not every task writes a file for every day."""
+    monkeypatch.setattr(coaccess, "FILES", 1)
+    rows = audit_rows()
+    source, out, checkpoint = (str(tmp_path / name) for name in ("audit", "out", "checkpoint"))
+    spark.createDataFrame(rows, AUDIT).coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(AUDIT).parquet(source)
+    coaccess.write_pairs(coaccess.coaccess_stream(stream, "9 days"), out, checkpoint).awaitTermination()
+    files = Counter(p.parent for name in ("pairs", "sessions") for p in (tmp_path / "out" / name).rglob("*.parquet"))
+    assert len(files) == 8 and max(files.values()) <= 2
+    assert {(r[0], r[1]): r[2] for r in coaccess.kept_pairs(spark, out).collect()} == dict(brute(rows)[1])
+
+
 def test_edges_go_to_spaces_as_lists(spark, monkeypatch):
     """No row is ranked per edge and space, and a space of many tables, repeated members and null ends give the same edges."""
     rng = random.Random(8)
