@@ -79,3 +79,36 @@ def test_whole_percent_rounds_half_to_even(spark):
 def test_fixed_lists():
     assert len(R.ABBREVIATION_LABELS) == 33
     assert len(R.COMMON_SHORT_WORDS) == len(set(R.COMMON_SHORT_WORDS))
+
+
+def test_rules_that_need_words_find_the_same(spark):
+    # Whole texts, texts cut from the rules themselves, and letters that only Unicode takes for the same.
+    rules = [r for r in all_rules() if r.needs]
+    pieces = {w for r in rules for w in re.split(r"[\\()\[\]{}|?:*+.]+", r.pattern) if w}
+    texts = [n for r in rules for n in r.needs] + sorted(pieces) + [
+        "SUM OF", "divided\nby", "Revenue = x", "count (", "link a table", "relates to", "Foreign  Key", "try\tto", "if possible",
+        "handle nulls", "ask follow-up", "you might", "- When asked", "if a user", "* do  not", "# Role", "## fiscal date", "!! x",
+        "SELECT a, b FROM t", "**IMPORTANT: x**", "This sales space contains", "The Following Tables", "year-to-date", "rolling 7",
+        "default x filter", "case-insensitive", "NULL can mean", "missing any value", "do not ever join", "prefer a join", "KPIs",
+        "ORDER BY x LIMIT 5", "LAG (", "prior_period", "previous year", "GROUP BY", "= 'OPEN'", "WHERE a = 'x'", "= 12345",
+        ":p", "{{ p }}", "getArgument(", "ſum of", "try to aſk follow up", "dİvided by", "fiſcal", "KPI", "KPı",
+        "ſELECT abcde FROM t", "ſhould", "## Critical rules", "# Business terms", "case-sensitive", "", None, *TEXTS,
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    df = df.selectExpr("*", f"{R.lowered('text')} as low")
+    pairs = [(r.count_sql("text"), r.count_sql("text", "low")) for r in rules]
+    pairs += [(r.hit_sql("text"), r.hit_sql("text", "low")) for r in rules]
+    same = [f"({a}) <=> ({b}) as same_{n}" for n, (a, b) in enumerate(pairs)]
+    rows = df.selectExpr(*same, *[f"{a} as found_{n}" for n, (a, _) in enumerate(pairs)]).collect()
+    for n in range(len(pairs)):
+        assert all(row[f"same_{n}"] for row in rows), pairs[n]
+        assert any(row[f"found_{n}"] for row in rows), pairs[n]
+
+
+def test_shortest_forms_are_found_where_any_form_is(spark):
+    names = ["a.b.order_1_events", "a.b.categories", "a.b.classes", "a.b.x_s", "a.b._x", "a.b.", "a.b.stg_2_accounts", "a.b.events"]
+    df = spark.createDataFrame([(t,) for t in names], "t string").select("t", X.name_variants(F.col("t")).alias("v"))
+    for row in df.select("v", X.shortest(F.col("v")).alias("s")).collect():
+        assert set(row.s) <= set(row.v)
+        assert all(any(s in v for s in row.s) for v in row.v)
+        assert not any(a != b and a in b for a in row.s for b in row.s)
