@@ -31,16 +31,16 @@ PART = 1 << 16
 
 
 def ring(spark: SparkSession, shards: int, nodes: int = NODES, cells: int = CELLS) -> DataFrame:
-    """Per cell: the virtual node it belongs to (numbered clockwise) and that node's shard."""
-    points = spark.range(shards * nodes).selectExpr(
+    """Per cell: the virtual node it belongs to (numbered clockwise) and that node's shard, in one partition."""
+    points = spark.range(0, shards * nodes, 1, 1).selectExpr(
         f"cast(id % {shards} as int) as shard", f"pmod(xxhash64('node', id % {shards}, id div {shards}), {cells}) as cell"
     )
     points = points.groupBy("cell").agg(F.min("shard").alias("shard"))  # a place taken twice belongs to the first
     numbered = points.selectExpr("cell", "shard", "cast(row_number() over (order by cell) - 1 as int) as node")
     return (
-        spark.range(cells)
+        spark.range(0, cells, 1, 1)
         .withColumnRenamed("id", "cell")
-        .join(numbered, "cell", "left")
+        .join(F.broadcast(numbered), "cell", "left")
         .selectExpr(
             "cell",
             "last_value(if(shard is null, null, struct(node, shard)), true) "
@@ -54,7 +54,10 @@ def ring(spark: SparkSession, shards: int, nodes: int = NODES, cells: int = CELL
 
 
 def _settled(counts: DataFrame, spark: SparkSession, shards: int, load: float, nodes: int, cells: int) -> DataFrame:
-    """Per cell: node, home shard, keys before it in its shard, how many stay, and overflow before it in its node."""
+    """Per cell: node, home shard, keys before it in its shard, how many stay, and overflow before it in its node.
+
+    Of the data this has one number a cell at most, so all is in one partition, that of the ring.
+    """
     exact = load <= 1
     total = "sum(n) over ()"
     capacity = (
@@ -65,7 +68,7 @@ def _settled(counts: DataFrame, spark: SparkSession, shards: int, load: float, n
     before = "order by cell rows between unbounded preceding and current row"
     return (
         ring(spark, shards, nodes, cells)
-        .join(counts, "cell", "left")
+        .join(F.broadcast(counts), "cell", "left")
         .selectExpr("cell", "node", "shard", "coalesce(n, 0L) as n")
         .selectExpr("*", f"{capacity} as capacity", f"sum(n) over (partition by shard {before}) - n as first_slot")
         .selectExpr("*", "greatest(0L, least(n, capacity - first_slot)) as stays")
@@ -98,6 +101,8 @@ _WALK = """
 
 
 def _segments(settled: DataFrame, shards: int) -> DataFrame:
+    """How the overflow of each node is dealt to the shards after it, in one partition like ``settled``."""
+    settled = settled.coalesce(1)
     per_shard = settled.groupBy("shard").agg((F.first("capacity") - F.sum("stays")).alias("room"), F.sum("stays").alias("own"))
     rooms = per_shard.agg(
         F.expr(
@@ -110,8 +115,8 @@ def _segments(settled: DataFrame, shards: int) -> DataFrame:
         F.expr("transform(array_sort(collect_list(struct(node, shard))), x -> x.shard)").alias("ring"),
         F.expr("array_sort(collect_list(if(n > 0, struct(node, n), null)))").alias("overflow"),
     )
-    moved = walk.join(rooms, F.lit(True)).select(F.expr(f"inline({_WALK})"))
-    return moved.join(per_shard.select("shard", "own"), "shard").selectExpr(
+    moved = walk.join(F.broadcast(rooms), F.lit(True)).select(F.expr(f"inline({_WALK})"))
+    return moved.join(F.broadcast(per_shard.select("shard", "own")), "shard").selectExpr(
         "node as from_node", "lo", "hi", "shard as next_shard", "own + taken - lo as shift"
     )
 
@@ -121,7 +126,8 @@ def _ranked(rows: DataFrame, home: DataFrame, part: int) -> DataFrame:
 
     Equal rows are one row with a number before they are shuffled, and then one row for every ``part`` of them. A cell
     of more than ``part`` rows is dealt out by hash into as many parts, each of which starts where those before it end,
-    so neither a key that holds most of the rows nor a group of equal rows meets in one task.
+    so neither a key that holds most of the rows nor a group of equal rows meets in one task. Where parts start is looked
+    up for such cells only, so at most two numbers are broadcast for every ``part`` rows, and the rows are shuffled by part once.
     """
     folded = rows.groupBy("cell", "key", "size", "text_crc32").agg(F.count("*").alias("equal"))
     pieces = folded.withColumn("piece", F.explode(F.expr(f"sequence(0L, (equal - 1) div {part})")))
@@ -129,12 +135,12 @@ def _ranked(rows: DataFrame, home: DataFrame, part: int) -> DataFrame:
     dealt = pieces.join(home, "cell").withColumn(
         "part", F.expr(f"pmod(xxhash64('part', key, size, text_crc32, piece), (n - 1) div {part} + 1)")
     )
-    begins = dealt.groupBy("cell", "part").agg(F.sum("equal").alias("rows"))
+    begins = dealt.filter(f"n > {part}").groupBy("cell", "part").agg(F.sum("equal").alias("rows"))
     begins = begins.selectExpr("cell", "part", "sum(rows) over (partition by cell order by part) - rows as begin")
     order = "order by xxhash64(key), text_crc32, size, piece rows between unbounded preceding and current row"
     within = dealt.withColumn("before", F.expr(f"sum(equal) over (partition by cell, part {order}) - equal"))
-    numbered = within.join(begins, ["cell", "part"])
-    return numbered.withColumn("rank", F.expr("explode(sequence(begin + before, begin + before + equal - 1))"))
+    numbered = within.join(F.broadcast(begins), ["cell", "part"], "left").withColumn("first", F.expr("coalesce(begin, 0L) + before"))
+    return numbered.withColumn("rank", F.expr("explode(sequence(first, first + equal - 1))"))
 
 
 def sharded(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_points
 import corpus_pipeline
 from spacegauge.llm import hnsw, kneser_ney, mixing, qda, queries, ring
+from spacegauge.llm.tables import staged
 from tests.llm.conftest import SF
 from tests.llm.test_texts import words
 
@@ -176,6 +177,23 @@ def test_ring_is_not_run_through_again_for_the_rows(documents):
     assert plan.count("Window [") == 2 and "Union" not in plan
 
 
+def test_ring_looks_up_its_tables_without_a_shuffle(spark, documents, monkeypatch):
+    """But for the counts by cell nothing of the ring is shuffled, and numbered rows are not shuffled to find where parts start."""
+    plans = []
+
+    def plan(df):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        plans.append((text.count("Exchange hashpartitioning"), text.count("SortMergeJoin")))
+
+    monkeypatch.setattr(ring, "staged", lambda df, name: plan(df) or staged(df, name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan(ring.sharded(documents, 40))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plans[:2] == [(1, 0), (0, 0)] and plans[2][1] == 0
+
+
 def test_ring_of_awkward_rows(messy, none, rows):
     out = ring.sharded(messy, 3, cells=64).collect()
     assert Counter(r.doc_id for r in out) == Counter(i for i, _ in rows) and {r.size for r in out if r.doc_id == 1} == {16}
