@@ -257,3 +257,37 @@ def test_metric_views_are_unfolded_last(spark, monkeypatch):
     expected = [(s, f"m.{c}.v{i}", (s, c, i) in {(1, "a", 3), (2, "b", 19), (2, "a", 0)})
                 for s, c in ((1, "a"), (2, "a"), (2, "b"), (None, "a")) for i in range(20)]
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, expected))
+
+
+def test_metric_views_are_split_whole(spark, monkeypatch):
+    """Every row comes once per listed view, however views and spaces are cut up, repeat or lack values."""
+    for name, size in {"PART": 7, "VIEWS": 3, "SPREAD": 2, "BLOCK": 4}.items():
+        monkeypatch.setattr(J, name, size)
+    views = [(f"m.{s}", f"m.{s}.v{i}") for s in "ab" for i in range(25)]
+    # Listed twice, under another schema, in two schemas, without a name or a schema.
+    views += [("m.a", "m.a.v7"), ("m.b", "m.a.w"), ("m.b", "m.a.v8"), ("m.a", None), (None, "m.a.x"), ("m.c", None)]
+    members = [(s, f"m.{c}.v{i}") for s in range(30) for c in "ab" for i in range(s)]
+    members += [(40, "M.A.v7"), (41, "m.a.v8"), (42, "m.a.w"), (42, "m.b.t"), (43, "m.a.x"), (44, "m.c.y"), (45, "m.d.y"), (46, "a.v"),
+                (None, "m.a.v8"), (None, "m.b.v1"), (47, None), (40, "m.a.v7")]
+    out = J.split_metric_views(
+        spark.createDataFrame(views, "schema_id string, full_name string"),
+        spark.createDataFrame(members, "space_id int, table_id string"),
+    )
+    full = {(s, t.lower()) for s, t in members if t and t.count(".") == 2}
+    touched = {(s, t.rsplit(".", 1)[0]) for s, t in full}
+    expected = [(s, v, s is not None and (s, v) in full) for s, schema in touched for at, v in views if at == schema]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, expected))
+
+
+def test_split_metric_views_take_little_room(spark, monkeypatch, tmp_path):
+    """``space_tables`` is read once, and the same few names are written after each other: about a bit and a half a row."""
+    monkeypatch.setattr(J, "SPREAD", 1)
+    path = str(tmp_path / "members")
+    spark.range(1000).selectExpr("id as space_id", "'Main.s.v' || id as table_id").write.parquet(path)
+    views = spark.range(2048).selectExpr("'main.s' as schema_id", "'main.s.v' || id as full_name")
+    out = J.split_metric_views(views, spark.read.parquet(path))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    out.coalesce(1).write.parquet(str(tmp_path / "split"))
+    back = spark.read.parquet(str(tmp_path / "split"))
+    assert back.count() == 1000 * 2048 and back.where("in_space").count() == 1000
+    assert sum(f.stat().st_size for f in (tmp_path / "split").glob("*.parquet")) < 0.3 * 1000 * 2048
